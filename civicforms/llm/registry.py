@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicforms.llm import exact_dedup
+from civicforms.llm import bpe, exact_dedup, packing, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": bpe.op1_bpe,
+        "op2_packing": packing.op2_packing,
+        "op7_token_output": token_output.op7_token_output,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
