@@ -1,15 +1,7 @@
-"""Helpers that the operators of this subpackage share.
-
-Intermediate tables go to the folder named by ``spark.checkpoint.dir`` so that
-every executor can read them again after another one is lost.  They are written
-with Spark's own Parquet writer, so the folder may lie in any store Spark knows.
-"""
+"""Helpers that the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,53 +9,11 @@ import pyarrow.compute  # noqa: F401  makes pa.compute usable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicforms.storage import Workspace, shared_dir  # noqa: F401  used by the operators
+
 #: Characters that the word and equality rules treat as white space: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
-_fallback: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _fallback:
-        _fallback.append("file://" + tempfile.mkdtemp(prefix="spark-civicforms-"))
-    return _fallback[0]
-
-
-class Workspace:
-    """Written intermediate tables of one query.
-
-    A lazily returned result may still read them, so they are removed when the
-    driver ends; ``drop`` removes a table earlier when nothing reads it any more.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
-
-    def write(self, df: DataFrame, table: str, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
-        path = f"{self.root}/{table}"
-        writer = df.write.option("compression", codec)
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, table: str) -> None:
-        self._remove(f"{self.root}/{table}")
-
-    def _remove(self, path: str) -> None:
-        try:
-            context = self.spark.sparkContext
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may have ended already; a leftover folder is harmless
-            pass
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
