@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from civicforms.operators.votes import valid_votes
@@ -69,7 +70,8 @@ def incremental_ingest(source: DataFrame, root: str, key: str, problem: F.Column
 
     query = source.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(schema.add("batch", "int") if "batch" not in schema.names else schema).parquet(f"{root}/rows").drop("batch")
+    numbered = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    rows = spark.read.schema(numbered).parquet(f"{root}/rows").drop("batch")
     return rows, spark.read.parquet(f"{root}/dead").drop("batch")
 
 
