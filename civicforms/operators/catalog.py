@@ -192,3 +192,8 @@ def sitemap_rows(slim: DataFrame, site: str, generated_at: str) -> DataFrame:
 def sitemap_lines(rows: DataFrame) -> DataFrame:
     """Sitemap rows as XML elements, one a row."""
     return rows.select(F.format_string("  <url>\n    <loc>%s</loc>\n    <lastmod>%s</lastmod>\n    <changefreq>%s</changefreq>\n    <priority>%s</priority>\n  </url>", "loc", "lastmod", "changefreq", "priority").alias("value"))
+
+
+def by_id(df: DataFrame, value: str, key: str = "id") -> DataFrame:
+    """The row with an identifier (J20); the filter reaches the scan."""
+    return df.where(F.col(key) == value)

@@ -703,3 +703,102 @@ def merge_field_annotations(spark, d):
     new = rows.select("template_id", "name", "pos", F.col("type").alias("label"), "section").withColumns(empty)
     old = rows.where("pos % 2 = 0").select("template_id", "name", F.when(F.col("pos") % 4 != 0, F.lit("old")).alias("label"), F.lit("old").alias("section")).withColumns(empty)
     return validation.merge_field_annotations(new, old).select("template_id", "pos", "label", "section")
+
+
+# Further single operators -------------------------------------------------------------
+
+
+@query(f"WITH {ENTRIES} SELECT procedure_id, id FROM entries WHERE procedure_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY procedure_id ORDER BY ordinal) = 1")
+def first_wins(spark, d):
+    return linkage.keep_by_order(_entries(spark, d).where("procedure_id IS NOT NULL"), "procedure_id", "ordinal").select("procedure_id", "id")
+
+
+@query(f"WITH {ENTRIES} SELECT procedure_id, id FROM entries WHERE procedure_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY procedure_id ORDER BY ordinal DESC) = 1")
+def last_wins(spark, d):
+    return linkage.keep_by_order(_entries(spark, d).where("procedure_id IS NOT NULL"), "procedure_id", "ordinal", "last").select("procedure_id", "id")
+
+
+@query("SELECT procedure_id, pos AS doc_pos, name, required FROM {v_proc_docs}")
+def flatten_documents(spark, d):
+    nested = linkage.nest_documents(view(spark, d, "v_proc_docs").withColumn("doc_pos", F.col("pos")))
+    return html.flatten(nested, "documents", "procedure_id").select("procedure_id", "doc_pos", "name", "required")
+
+
+@query(r"""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS l, string_split(text, ', ') AS v FROM documents), b AS (SELECT *, least(len(l), len(v)) AS n FROM a)
+  SELECT doc_id, n::BIGINT AS n, l[n] AS last_label, v[n] AS last_value FROM b""")
+def zip_label_values(spark, d):
+    rows = view(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("labels"), F.split("text", ", ").alias("field_values"))
+    pairs = html.zip_label_values(rows)
+    last = F.element_at("raw_fields", -1)
+    return pairs.select("doc_id", F.size("raw_fields").cast("long").alias("n"), last["label"].alias("last_label"), last["value"].alias("last_value"))
+
+
+FIELD_LABELS = ("Taxe", "Căi de atac ", "DATE DE CONTACT", "Altceva", "taxe")
+
+
+@query("""SELECT id, CASE WHEN ordinal % 5 IN (0, 4) THEN organization ELSE NULL END AS taxe, CASE ordinal % 5 WHEN 1 THEN organization END AS cai, CASE ordinal % 5 WHEN 2 THEN organization END AS contact FROM {v_templates}""")
+def procedure_fields(spark, d):
+    rows = view(spark, d, "v_templates")
+    label = F.element_at(F.array(*[F.lit(x) for x in FIELD_LABELS]), (F.col("ordinal") % 5 + 1).cast("int"))
+    pair = lambda value: F.struct(label.alias("label"), value.alias("value"))
+    known = html.label_key_map(F.array(pair(F.lit("old")), pair(F.col("organization"))))
+    keyed = rows.select("id", known.alias("m"))
+    return keyed.select("id", F.col("m")["taxe"].alias("taxe"), F.col("m")["caiDeAtac"].alias("cai"), F.col("m")["dateContact"].alias("contact"))
+
+
+@query("SELECT id, name AS adresa, concat('', ordinal) AS telefon FROM {v_templates}")
+def contact_block(spark, d):
+    raw = F.concat(F.lit("Telefon: 1\n Adresa : "), "name", F.lit("\nfără cheie\nTELEFON:"), F.col("ordinal").cast("string"))
+    found = view(spark, d, "v_templates").select("id", t.contact_block(raw).alias("m"))
+    return found.select("id", F.col("m")["adresa"].alias("adresa"), F.col("m")["telefon"].alias("telefon"))
+
+
+@query("""WITH p AS (SELECT doc_id, pos, round(CASE WHEN pos % 4 = 0 THEN confidence * 0.7 ELSE 0.6 * confidence + 0.4 * 0.9 END, 6) AS combined FROM {v_detected}) SELECT * FROM p""")
+def combined_confidence(spark, d):
+    given = F.when(F.col("pos") % 4 != 0, F.lit(0.9))
+    return view(spark, d, "v_detected").select("doc_id", "pos", F.round(layout.combined_confidence(F.col("confidence"), given), 6).alias("combined"))
+
+
+@query(f"WITH {_STATS} SELECT doc_id, CASE WHEN fields = 0 THEN 'NO_FIELDS' WHEN round(avg_confidence, 9) >= 0.75 THEN 'PROCESSED' ELSE 'NEEDS_REVIEW' END AS status FROM stats")
+def doc_status(spark, d):
+    stats = layout.doc_confidence(view(spark, d, "v_elements"), view(spark, d, "v_detected"))
+    return layout.doc_status(stats.withColumn("avg_confidence", F.round("avg_confidence", 9))).select("doc_id", "status")
+
+
+@query("SELECT doc_id, page, pos, y::DOUBLE AS band FROM {v_elements} WHERE kind = 'rect'")
+def cluster_rows_by_y(spark, d):
+    # Rows of this table lie 60 apart, so each is its own band.
+    rects = view(spark, d, "v_elements").where("kind = 'rect'").withColumn("y", F.col("y").cast("double"))
+    return layout.cluster_rows_by_y(rects).select("doc_id", "page", "pos", "band")
+
+
+@query()
+def dedupe_near(spark, d):
+    rows = _first_fields(spark, d).withColumns({c: F.col(c).cast("double") for c in ("x", "y", "w", "h", "confidence")})
+    return layout.dedupe_near(rows)
+
+
+@query("SELECT id, name, organization FROM {v_templates} WHERE id = 't17'")
+def template_by_id(spark, d):
+    return catalog.by_id(view(spark, d, "v_templates"), "t17").select("id", "name", "organization")
+
+
+@query(f"WITH {TEMPLATES} SELECT id FROM templates WHERE contains(lower(coalesce(organization, 'Altele')), 'primaria') AND NOT archived")
+def filter_org_contains(spark, d):
+    return catalog.filter_active(catalog.filter_org_contains(view(spark, d, "v_templates"), "Primaria")).select("id")
+
+
+@query("SELECT procedure_id, coalesce(nullif(institution, ''), nullif(trim(split_part(responsible, ',', 1)), ''), 'Necunoscut') AS institution, (SELECT count(*) FROM {v_proc_docs} x WHERE x.procedure_id = p.procedure_id) AS n_docs FROM {v_procedures} p")
+def project_slim_procedure(spark, d):
+    slim = catalog.project_slim_procedure(_nested_procedures(spark, d))
+    return slim.select("procedure_id", "institution", F.size("documents").cast("long").alias("n_docs"))
+
+
+@query("SELECT procedure_id FROM {v_procedures} WHERE title IS NULL AND procedure_id NOT IN (SELECT procedure_id FROM {v_proc_docs})")
+def no_title_no_docs(spark, d):
+    return catalog.no_title_no_docs(_nested_procedures(spark, d)).select("procedure_id")
+
+
+@query("SELECT page_id, CASE WHEN contains(html, '<h1') THEN 'ok' ELSE 'empty' END AS status FROM pages")
+def empty_page_gate(spark, d):
+    return html.empty_page_gate(view(spark, d, "pages"), "<h1").select("page_id", "status")

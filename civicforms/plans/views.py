@@ -104,6 +104,8 @@ def with_views(sql: str) -> str:
     plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
     heads = ",\n".join(f"{n} AS ({plain(VIEWS[n])})" for n in order)
     body = plain(sql).strip()
+    if not order:
+        return body
     if body.upper().startswith("WITH "):
         return f"WITH {heads},\n{body[5:]}"
-    return f"WITH {heads}\n{body}" if heads else body
+    return f"WITH {heads}\n{body}"
