@@ -8,6 +8,7 @@ executor can read them again after another one is lost.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: dict[str, str] = {}
         atexit.register(self._remove, self.root)
 
     def write(self, df: DataFrame, table: str, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -46,7 +48,22 @@ class Workspace:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+        """A table dealt and sorted by ``key``, so that joins on it need not move it again."""
+        name = f"t{uuid.uuid4().hex}"
+        writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{table}")
+        writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        self.names[table] = name
+        return self.spark.table(name)
+
+    def release(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of phases whose results are written."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, table: str) -> None:
+        if table in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(table)}")
         self._remove(f"{self.root}/{table}")
 
     def _remove(self, path: str) -> None:
