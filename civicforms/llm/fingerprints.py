@@ -13,8 +13,8 @@ buffers come from 63 shifted comparisons and one running sum, all in integers:
 the same text gives the same features wherever it lies.
 
 Edge cases: a null text counts as empty, and an empty text has no feature; two
-empty texts are alike (1), an empty and another are not (0).  A text shorter than
-a window is one feature.  Windows of nearly constant bytes are features only in
+empty texts are alike (1), an empty and another are not (0).  Texts
+below SHORT bytes are told by all their small windows, or as a whole.  Windows of nearly constant bytes are features only in
 texts that have no others.  Equal identifiers are ordered by text.  Repeated rows
 follow each other.  A table of one row is its own next document; an empty table
 gives an empty result.  Other input columns are dropped.
@@ -36,6 +36,8 @@ from pyspark.sql.window import Window
 from civicforms.llm.common import Workspace, read, shuffle_width, text_slices
 
 WINDOW, RUN, VOTES = 64, 64, 16
+#: Texts below SHORT bytes have too few windows to choose from: all their windows of SMALL bytes count.
+SHORT, SMALL = 128, 16
 PER_FILTER, FILTER_BITS, HASHES = 160, 2048, 5
 #: Entropy in bits of a window of ordinary prose, and below which a window says too little.
 TYPICAL, LEAST = 4.0, 1.0
@@ -85,14 +87,15 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
     starts = ends - sizes
     hashes, owners = [], []
-    short = np.flatnonzero((sizes > 0) & (sizes < WINDOW))
-    hashes.append(np.array([xxhash.xxh3_64_intdigest(texts[k]) for k in short], np.uint64))
-    owners.append(short)
+    for k in np.flatnonzero((sizes > 0) & (sizes < SHORT)):
+        small = dict.fromkeys(texts[k][i : i + SMALL] for i in range(max(1, sizes[k] - SMALL + 1)))
+        hashes.append(np.array([xxhash.xxh3_64_intdigest(w) for w in small], np.uint64))
+        owners.append(np.full(len(small), k))
     if len(data) >= WINDOW:
         sums = window_sums(data)
         own = np.repeat(np.arange(len(texts)), sizes)[: len(sums)]
         place = np.arange(len(sums))
-        inside = place + WINDOW <= ends[own]
+        inside = (place + WINDOW <= ends[own]) & (sizes[own] >= SHORT)
         # Rarest first: greatest distance from the typical entropy; flat windows last.
         distance = np.abs(sums - _TYPICAL_SUM) >> 12
         rank = np.where(sums < _FLAT_SUM, (1 << 20) - np.minimum(distance, 1 << 20), (1 << 20) + 1)
@@ -100,14 +103,14 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         chosen = []
         if len(keys) >= RUN:
             low = _votes(keys)
-            whole = place[: len(low)] + RUN - 1 + WINDOW <= ends[own[: len(low)]]
+            whole = inside[: len(low)] & (place[: len(low)] + RUN - 1 + WINDOW <= ends[own[: len(low)]])
             votes = np.bincount(low[whole] & 0xFFFFFFFF, minlength=len(sums))
             chosen.append(np.flatnonzero(votes >= VOTES))
         # A text with fewer windows than a run, or none with enough votes, gives its rarest window.
         has = np.zeros(len(texts), bool)
         if chosen:
             has[own[chosen[0]]] = True
-        for k in np.flatnonzero(~has & (sizes >= WINDOW)):
+        for k in np.flatnonzero(~has & (sizes >= SHORT)):
             chosen.append(starts[k] + np.array([keys[starts[k] : ends[k] - WINDOW + 1].argmin()]))
         at = np.sort(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
         words = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at].copy().view("<u8")
@@ -117,6 +120,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint64(32)
         hashes.append(h)
         owners.append(own[at])
+    if not owners:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return np.concatenate(hashes)[order], owner[order]
@@ -161,7 +166,7 @@ def likeness(a: bytes, b: bytes) -> float:
         chance = bits_a[k] * bits_b.astype(float) / FILTER_BITS
         share = (common - chance) / np.maximum(most - chance, 1e-9)
         total += na[k] * max(0.0, min(1.0, float(share.max())))
-    return total / float(na.sum())
+    return float(total / na.sum())
 
 
 def edited(text: str, following: str) -> str:
