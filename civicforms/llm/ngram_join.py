@@ -29,18 +29,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from civicforms.llm.common import Workspace, read, text_slices
+from civicforms.llm.common import Workspace, read, shuffle_width, text_slices
 from civicforms.llm.components import connected
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-BIN_BITS, SLICES = 20, 16
+BIN_BITS, SLICES = 24, 16
 #: Cost of one prefix row that meets another, and of one verification.
 MEET_COST, VERIFY_COST, MOST_MATCHES = 1.0, 8.0, 4
 STAR_ROUNDS = 2
+#: Level of a bin with the usual load.
+BACKGROUND = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,41 +72,50 @@ def shingles(text: str, words: _WordHashes, n: int = WORDS) -> np.ndarray:
     return np.unique(total ^ (total >> np.uint64(32)))
 
 
-def bin_counts(docs: DataFrame, n: int = WORDS) -> np.ndarray:
-    """How many documents' n-grams fall in each of 2**BIN_BITS hash bins: a table of fixed size over all documents."""
+def bin_loads(docs: DataFrame, n: int = WORDS) -> np.ndarray:
+    """How full each of 2**BIN_BITS hash bins is with the n-grams of all documents, in 256 levels.
+
+    The table has the same size for every corpus: 16 MB.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = _WordHashes(), np.zeros(1 << BIN_BITS, np.int64)
+        words, total = _WordHashes(), np.zeros(1 << BIN_BITS, np.uint16)
         for _, texts in text_slices(batches):
             grams = np.concatenate([shingles(t, words, n) for t in texts])
-            total += np.bincount((grams >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS)
+            bins, counts = np.unique((grams >> np.uint64(64 - BIN_BITS)).astype(np.int64), return_counts=True)
+            total[bins] += np.minimum(counts, 0xFFFF - total[bins]).astype(np.uint16)
         parts = [zlib.compress(p.tobytes(), 1) for p in np.split(total, SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << BIN_BITS) // SLICES, np.int64)
+        total = np.zeros((1 << BIN_BITS) // SLICES, np.uint32)
         for batch in batches:
-            for blob in batch.column("counts").to_pylist():
-                total += np.frombuffer(zlib.decompress(blob), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+            for blob in batch.column("counts"):
+                total += np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
 
     parts = docs.select("text").mapInArrow(count, "slice int, counts binary")
     # SLICES rows of fixed size.
     rows = parts.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    found = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in rows}
-    return np.concatenate([found.get(k, np.zeros((1 << BIN_BITS) // SLICES, np.int64)) for k in range(SLICES)])
+    total = np.zeros((SLICES, (1 << BIN_BITS) // SLICES), np.uint32)
+    for r in rows:
+        total[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    total = total.ravel()
+    # Loads about the usual one are told apart up to their chance spread; what is far above is all full.
+    usual = float(np.median(total[:: 1 << 8]))
+    return np.clip((total - usual) / max(1.0, usual**0.5 / 8) + BACKGROUND, 0, 255).astype(np.uint8)
 
 
-def prefix(grams: np.ndarray, bins: np.ndarray, background: int) -> tuple[np.ndarray, int]:
+def prefix(grams: np.ndarray, loads: np.ndarray) -> tuple[np.ndarray, int]:
     """The n-grams of a set that stand for it in the join, and how many of them a partner must share."""
     size = len(grams)
     if not size:
         return grams, 0
-    load = bins[(grams >> np.uint64(64 - BIN_BITS)).astype(np.int64)]
+    load = loads[(grams >> np.uint64(64 - BIN_BITS)).astype(np.int64)]
     order = np.lexsort((grams, load))
     least = size - -(-NUMERATOR * size // DENOMINATOR)  # n - ceil(t n)
     longest = min(size, least + MOST_MATCHES)
-    met = np.cumsum(np.maximum(load[order[:longest]] - background, 0))
+    met = np.cumsum(np.maximum(load[order[:longest]].astype(np.int64) - BACKGROUND, 0))
     # A partner must share all l, so about a l-th of those met are verified.
     costs = [met[least + k - 1] * (MEET_COST + VERIFY_COST / k) for k in range(1, longest - least + 1)]
     matches = int(np.argmin(costs)) + 1
@@ -116,11 +127,11 @@ def _set_id(grams: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, bins: np.ndarray, n: int = WORDS, whole: bool = False) -> DataFrame:
-    """doc_id, n_shingles, set_id, matches, prefix; with ``whole`` also the set itself.
+    """doc_id, n_shingles, set_id, matches, prefix; with ``whole`` also the set itself and the column ``expected``.
 
     Without ``whole`` a set that was seen before in the same partition has its prefix left out.
     """
-    spread, background = docs.sparkSession.sparkContext.broadcast(bins), int(np.median(bins))
+    spread = docs.sparkSession.sparkContext.broadcast(bins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, table = _WordHashes(), set(), spread.value
@@ -129,7 +140,7 @@ def signatures(docs: DataFrame, bins: np.ndarray, n: int = WORDS, whole: bool =
             for text in texts:
                 grams = shingles(text, words, n)
                 own = _set_id(grams) if len(grams) else None
-                first, need = prefix(grams, table, background) if whole or own not in seen else (grams[:0], 0)
+                first, need = prefix(grams, table) if whole or own not in seen else (grams[:0], 0)
                 seen.add(own)
                 counts.append(len(grams))
                 ids.append(own)
@@ -139,11 +150,11 @@ def signatures(docs: DataFrame, bins: np.ndarray, n: int = WORDS, whole: bool =
             columns = [part.column("doc_id"), pa.array(counts, pa.int32()), pa.array(ids, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
             names = ["doc_id", "n_shingles", "set_id", "matches", "prefix"]
             if whole:
-                columns, names = [*columns, pa.array(sets, pa.list_(pa.int64()))], [*names, "grams"]
+                columns, names = [*columns, pa.array(sets, pa.list_(pa.int64())), part.column("expected")], [*names, "grams", "expected"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    types = "doc_id long, n_shingles int, set_id long, matches int, prefix array<long>" + (", grams array<long>" if whole else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, types)
+    types = "doc_id long, n_shingles int, set_id long, matches int, prefix array<long>" + (", grams array<long>, expected long" if whole else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *["expected"] * whole).mapInArrow(run, types)
 
 
 def _candidates(signed: DataFrame) -> DataFrame:
@@ -154,13 +165,16 @@ def _candidates(signed: DataFrame) -> DataFrame:
     return rows.where("least <> most").drop("least", "most").dropDuplicates(["token", "set_id"])
 
 
+def _by_size(a: str, b: str) -> Column:
+    """Whether two sets can meet the threshold by their sizes."""
+    return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets that share enough prefix n-grams and meet the threshold."""
     left = sets.select(F.col("set_id").alias("a"), F.col("grams").alias("ga"), F.col("prefix").alias("pa"), F.col("matches").alias("ma"))
     right = sets.select(F.col("set_id").alias("b"), F.col("grams").alias("gb"), F.col("prefix").alias("pb"), F.col("matches").alias("mb"))
-    both = pairs.join(left, "a").join(right, "b")
-    small, large = F.least(F.size("ga"), F.size("gb")), F.greatest(F.size("ga"), F.size("gb"))
-    both = both.where(DENOMINATOR * small >= NUMERATOR * large)
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     both = both.where(F.size(F.array_intersect("pa", "pb")) >= F.least("ma", "mb"))
     common = F.size(F.array_intersect("ga", "gb"))
     union = F.size("ga") + F.size("gb") - common
@@ -170,10 +184,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """For each n-gram one member of each component, paired with a member of its largest component."""
     drawn = F.xxhash64("set_id", "token", F.lit(turn))
-    members = rows.groupBy("token", "label").agg(F.min_by("set_id", drawn).alias("member"), F.count(F.lit(1)).alias("size"))
+    members = rows.groupBy("token", "label").agg(F.min_by(F.struct("set_id", "n_shingles"), drawn).alias("member"), F.count(F.lit(1)).alias("size"))
     hub = members.groupBy("token").agg(F.max_by(F.struct("label", "member"), F.struct("size", -F.col("label"))).alias("hub"), F.count(F.lit(1)).alias("labels"))
     pairs = members.join(hub.where("labels > 1"), "token").where("label <> hub.label")
-    return pairs.select(F.least("member", "hub.member").alias("a"), F.greatest("member", "hub.member").alias("b")).distinct()
+    pairs = pairs.select("member", F.col("hub.member").alias("other")).where(_by_size("member.n_shingles", "other.n_shingles"))
+    return pairs.select(F.least("member.set_id", "other.set_id").alias("a"), F.greatest("member.set_id", "other.set_id").alias("b")).distinct()
 
 
 def _remaining_pairs(rows: DataFrame) -> DataFrame:
@@ -182,8 +197,7 @@ def _remaining_pairs(rows: DataFrame) -> DataFrame:
     rows = rows.join(open_tokens, "token", "left_semi")
     a = rows.select("token", F.col("set_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("matches").alias("ma"))
     b = rows.select("token", F.col("set_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("matches").alias("mb"))
-    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
-    met = met.where(DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb"))
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _by_size("na", "nb"))
     shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("ma", "mb")).alias("need"))
     return shared.where("shared >= need").select("a", "b")
 
@@ -200,18 +214,24 @@ def _relabel(labels: DataFrame, edges: DataFrame, space: Workspace, name: str) -
 def components(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
     space = Workspace(docs.sparkSession, "ngram-join")
-    bins = bin_counts(docs, n)
+    bins = bin_loads(docs, n)
     signed = space.write(signatures(docs, bins, n), "signatures")
     rows = space.write(_candidates(signed), "candidates")
+    members = space.write(signed.select("doc_id", "n_shingles", "set_id"), "members")
+    del signed
+    space.drop("signatures")
+    space.release()
     nodes = rows.select("set_id").distinct()
 
-    # The whole sets of the candidates alone, from one document each.
-    chosen = signed.join(nodes, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("doc_id"))
-    chosen = chosen.select("doc_id", F.col("set_id").alias("expected"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "text")
-    wanted = keyed.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = signatures(wanted, bins, n, whole=True).join(chosen, "doc_id").where("set_id = expected")
-    sets = space.write(found.dropDuplicates(["set_id"]).select("set_id", "matches", "prefix", "grams"), "sets")
+    # The whole sets of the candidates alone, from one document each; dealt once by set, for all rounds.
+    highest, width = F.lit((1 << 63) - 1), shuffle_width(docs.sparkSession)
+    chosen = members.join(nodes, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.coalesce("doc_id", highest)).alias("doc_id"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), highest).alias("doc_id"), "text")
+    wanted = keyed.join(chosen.withColumnRenamed("set_id", "expected"), "doc_id")
+    found = signatures(wanted, bins, n, whole=True).where("set_id = expected").select("set_id", "matches", "prefix", "grams")
+    sets = space.write_bucketed(found.repartition(width, "set_id").dropDuplicates(["set_id"]), "sets", "set_id", width)
+    del found
+    space.release()
 
     labels = space.write(nodes.withColumn("label", F.col("set_id")), "labels")
     for turn in range(star_rounds + 1):
@@ -219,8 +239,11 @@ def components(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_ROUNDS)
         pairs = _star_pairs(labelled, turn) if turn < star_rounds else _remaining_pairs(labelled)
         edges = space.write(_verified(pairs, sets), f"edges-{turn}")
         labels = _relabel(labels, edges, space, f"turn-{turn}")
+        del labelled, pairs, edges
+        space.release()
+    space.drop("sets")
 
-    placed = signed.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    placed = members.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = placed.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
     placed = placed.join(least, "label", "left")
     return placed.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
