@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicforms.llm.bpe import SUFFIX, _types, byte_alphabet
-from civicforms.llm.chunks import TwoGenerations
+from civicforms.llm.chunks import lower_chunks
 from civicforms.llm.common import id_hash, read, text_slices
 
 SAMPLE_DOCS = 20_000
@@ -41,6 +41,8 @@ ROUNDS = 3
 PIECE_LETTERS = 10
 WORD_PART = 24
 FLOOR = 1e-8
+TABLE_BITS = 20
+CACHE_ENTRIES = 400_000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -63,8 +65,29 @@ class Pieces:
                 texts.add(text)
         self.texts = sorted(texts)
         keys = np.array([self._key(t) for t in self.texts], np.uint64)
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+        # Two hash tables without chains: what finds its place taken in the first goes to the second.
+        order = np.arange(len(keys))
+        self.tables, left = [], order
+        for multiplier in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            slots, first = np.unique(self._slots(keys[left], multiplier), return_index=True)
+            held, number = np.zeros(1 << TABLE_BITS, np.uint64), np.full(1 << TABLE_BITS, -1, np.int32)
+            held[slots], number[slots] = keys[left[first]], left[first]
+            self.tables.append((multiplier, held, number))
+            left = np.delete(left, first)
+        if len(left):
+            raise ValueError("the vocabulary needs larger tables")
+
+    @staticmethod
+    def _slots(keys: np.ndarray, multiplier: int) -> np.ndarray:
+        return ((keys * np.uint64(multiplier)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of the piece with each key, or -1."""
+        out = np.full(len(keys), -1, np.int32)
+        for multiplier, held, number in self.tables:
+            slots = self._slots(keys, multiplier)
+            out = np.where(held[slots] == keys, number[slots], out)
+        return out
 
     @staticmethod
     def _key(text: str) -> int:
@@ -87,9 +110,7 @@ class Pieces:
         found = {}
         for end in range(1, n + 1):
             for size in range(1, min(end, PIECE_LETTERS) + 1):
-                keys = prefix[end] - prefix[end - size] * powers[size]
-                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-                found[end - size, end] = np.where(self.keys[at] == keys, self.order[at], -1)
+                found[end - size, end] = self.find(prefix[end] - prefix[end - size] * powers[size])
         return n, found
 
 
@@ -241,25 +262,32 @@ def predict(docs: DataFrame, model: Model, path: str, keep: tuple[str, ...] = ("
         langs, prior, probs = spread.value
         table = pieces(path)
 
-        def score(chunks: list[str]) -> list:
-            words = [letter_words(c) for c in chunks]
-            distinct = list({w for ws in words for w in ws})
-            row = dict(zip(distinct, word_scores(table, probs, distinct), strict=True))
-            # None: no letter
-            return [row[ws[0]] if len(ws) == 1 else sum(row[w] for w in ws) if ws else None for ws in words]
+        cache: dict[str, int] = {}
+        # Row 0 stands for chunks without a letter.
+        scores_of, used = np.zeros((CACHE_ENTRIES + (1 << 20), len(langs))), 1
 
-        cache = TwoGenerations(score, 100_000)
         for part, texts in text_slices(batches, text_col, 2 << 20):
-            chunked = [Counter(t.lower().split()) for t in texts]
-            cache.ensure(set().union(*chunked))
+            chunked = [lower_chunks(t) for t in texts]
+            if len(cache) > CACHE_ENTRIES:
+                cache.clear()
+                used = 1
+            new = list(set().union(*chunked) - cache.keys())
+            words = [letter_words(c) for c in new]
+            distinct = list({w for ws in words for w in ws})
+            score = dict(zip(distinct, word_scores(table, probs, distinct), strict=True)) if langs else {}
+            for chunk, ws in zip(new, words, strict=True):
+                cache[chunk] = used if ws and langs else 0
+                if cache[chunk]:
+                    scores_of[used] = score[ws[0]] if len(ws) == 1 else sum(score[w] for w in ws)
+                    used += 1
             names, scores = [], []
             for chunks in chunked:
-                hits = [(s, n) for c, n in chunks.items() if (s := cache[c]) is not None]
-                if not hits or not langs:
+                rows = np.fromiter(map(cache.__getitem__, chunks), np.int64, len(chunks))
+                if not rows.any():
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                total = np.log(prior) + np.array([n for _, n in hits], float) @ np.stack([s for s, _ in hits])
+                total = np.log(prior) + scores_of[rows].sum(axis=0)
                 best = int(total.argmax())
                 names.append(langs[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
