@@ -122,7 +122,7 @@ class _Group:
         return np.bincount(self.word_of[self.training], minlength=len(self.words)), np.bincount(self.pair_of[self.training], minlength=len(self.pairs))
 
 
-def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
+def cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins and ends among sorted hashes: equal ranges of hash values."""
     borders = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(hashes, borders), [len(hashes)]])
@@ -144,7 +144,7 @@ def _send(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         group = _Group(table.column("payload").to_pylist())
         word_counts, pair_counts = group.counts()
-        words, pairs = _cuts(group.words, buckets), _cuts(group.pairs, buckets)
+        words, pairs = cuts(group.words, buckets), cuts(group.pairs, buckets)
         rows = [
             (k, key[0].as_py(), group.words[a:b].tobytes(), _pack(word_counts[a:b]), group.pairs[c:d].tobytes(), _pack(pair_counts[c:d]))
             for k, (a, b, c, d) in enumerate(zip(words, words[1:], pairs, pairs[1:], strict=False))

@@ -1,8 +1,8 @@
 """Similarity join on word n-grams: adaptive multi-match prefixes, exact verification.
 
 A document is the set of its distinct word n-grams, as 64-bit hashes.  All sets are
-sorted by one global order, rare n-grams first (a count table of fixed size over
-the whole corpus says which are rare).  Two sets that meet the threshold share at
+sorted by one global order, rare n-grams first; document frequencies are exact and
+cover the whole corpus.  Two sets that meet the threshold share at
 least ``l`` n-grams within their prefixes of length ``n - ceil(t n) + l``.  Each
 document picks the ``l`` with the least estimated cost, so one whose prefix holds
 frequent n-grams gets a longer prefix, and a pair is verified only if it shares
@@ -35,14 +35,12 @@ from pyspark.sql.window import Window
 
 from civicforms.llm.common import Workspace, read, shuffle_width, text_slices
 from civicforms.llm.components import connected
+from civicforms.llm.lm_score import cuts, deal
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-BIN_BITS, SLICES = 24, 16
 #: Cost of one prefix row that meets another, and of one verification.
 MEET_COST, VERIFY_COST, MOST_MATCHES = 1.0, 8.0, 4
 STAR_ROUNDS = 2
-#: Level of a bin with the usual load.
-BACKGROUND = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,102 +70,142 @@ def shingles(text: str, words: _WordHashes, n: int = WORDS) -> np.ndarray:
     return np.unique(total ^ (total >> np.uint64(32)))
 
 
-def bin_loads(docs: DataFrame, n: int = WORDS) -> np.ndarray:
-    """How full each of 2**BIN_BITS hash bins is with the n-grams of all documents, in 256 levels.
+def prefix(grams: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The n-grams of a set that stand for it in the join, their places in its order, and how many a partner must share.
 
-    The table has the same size for every corpus: 16 MB.
+    N-grams of one set alone meet nothing, so they take up places but are left out.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = _WordHashes(), np.zeros(1 << BIN_BITS, np.uint16)
-        for _, texts in text_slices(batches):
-            grams = np.concatenate([shingles(t, words, n) for t in texts])
-            bins, counts = np.unique((grams >> np.uint64(64 - BIN_BITS)).astype(np.int64), return_counts=True)
-            total[bins] += np.minimum(counts, 0xFFFF - total[bins]).astype(np.uint16)
-        parts = [zlib.compress(p.tobytes(), 1) for p in np.split(total, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << BIN_BITS) // SLICES, np.uint32)
-        for batch in batches:
-            for blob in batch.column("counts"):
-                total += np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
-
-    parts = docs.select("text").mapInArrow(count, "slice int, counts binary")
-    # SLICES rows of fixed size.
-    rows = parts.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    total = np.zeros((SLICES, (1 << BIN_BITS) // SLICES), np.uint32)
-    for r in rows:
-        total[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    total = total.ravel()
-    # Loads about the usual one are told apart up to their chance spread; what is far above is all full.
-    usual = float(np.median(total[:: 1 << 8]))
-    return np.clip((total - usual) / max(1.0, usual**0.5 / 8) + BACKGROUND, 0, 255).astype(np.uint8)
-
-
-def prefix(grams: np.ndarray, loads: np.ndarray) -> tuple[np.ndarray, int]:
-    """The n-grams of a set that stand for it in the join, and how many of them a partner must share."""
     size = len(grams)
     if not size:
-        return grams, 0
-    load = loads[(grams >> np.uint64(64 - BIN_BITS)).astype(np.int64)]
-    order = np.lexsort((grams, load))
+        return grams, np.zeros(0, np.int64), 0
+    order = np.lexsort((grams, frequency))
     least = size - -(-NUMERATOR * size // DENOMINATOR)  # n - ceil(t n)
     longest = min(size, least + MOST_MATCHES)
-    met = np.cumsum(np.maximum(load[order[:longest]].astype(np.int64) - BACKGROUND, 0))
+    met = np.cumsum(frequency[order[:longest]].astype(np.int64) - 1)
     # A partner must share all l, so about a l-th of those met are verified.
     costs = [met[least + k - 1] * (MEET_COST + VERIFY_COST / k) for k in range(1, longest - least + 1)]
     matches = int(np.argmin(costs)) + 1
-    return grams[order[: least + matches]], matches
+    chosen = order[: least + matches]
+    places = np.flatnonzero(frequency[chosen] > 1)
+    return grams[chosen[places]], places, matches
 
 
 def _set_id(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))
 
 
-def signatures(docs: DataFrame, bins: np.ndarray, n: int = WORDS, whole: bool = False) -> DataFrame:
-    """doc_id, n_shingles, set_id, matches, prefix; with ``whole`` also the set itself and the column ``expected``.
+class _Group:
+    """A group's documents, their sets, and the distinct n-grams of its distinct sets in order of hash."""
+
+    def __init__(self, payloads: list[bytes], n: int) -> None:
+        words = _WordHashes()
+        self.ids: list[int | None] = []
+        self.sets: list[np.ndarray] = []
+        for payload in sorted(payloads):
+            for batch in pa.ipc.open_stream(payload):
+                for part, texts in text_slices([batch]):
+                    self.ids += part.column("doc_id").to_pylist()
+                    self.sets += [shingles(t, words, n) for t in texts]
+        self.set_ids = [_set_id(g) if len(g) else None for g in self.sets]
+        first = {s: k for k, s in reversed(list(enumerate(self.set_ids))) if s is not None}
+        self.first = sorted(first.values())
+        together = np.concatenate([self.sets[k] for k in self.first] or [np.zeros(0, np.uint64)])
+        self.grams, self.place, self.counts = np.unique(together, return_inverse=True, return_counts=True)
+
+
+_SENT = "bucket int, group int, grams binary, counts binary"
+
+
+def _send(n: int, buckets: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        group = _Group(table.column("payload").to_pylist(), n)
+        at = cuts(group.grams, buckets)
+        rows = [(k, key[0].as_py(), group.grams[a:b].tobytes(), zlib.compress(group.counts[a:b].astype("<u4").tobytes(), 1)) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "group", "grams", "counts"])
+
+    return run
+
+
+def _add_up(key: tuple, table: pa.Table) -> pa.Table:
+    """Document frequency of each n-gram that a group asked for, in the order asked, at most 255."""
+    rows = table.sort_by("group").to_pylist()
+    grams = [np.frombuffer(r["grams"], np.uint64) for r in rows]
+    counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), "<u4") for r in rows])
+    _, place = np.unique(np.concatenate(grams), return_inverse=True)
+    totals = np.minimum(np.bincount(place, counts), 255).astype(np.uint8)[place]
+    ends = np.cumsum([len(g) for g in grams])
+    answers = [zlib.compress(totals[e - len(g) : e].tobytes(), 1) for e, g in zip(ends, grams, strict=True)]
+    return pa.table({"group": pa.array([r["group"] for r in rows], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "totals": pa.array(answers, pa.binary())})
+
+
+_SIGNED = "doc_id long, n_shingles int, set_id long, matches int, prefix array<struct<token: long, place: int>>"
+
+
+def _sign(n: int):
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int32()), ("set_id", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())])))])
+
+    def run(key: tuple, texts: pa.Table, totals: pa.Table) -> pa.Table:
+        group = _Group(texts.column("payload").to_pylist(), n)
+        answers = [zlib.decompress(r["totals"]) for r in totals.sort_by("bucket").to_pylist()]
+        frequency = np.frombuffer(b"".join(answers), np.uint8)[group.place] if len(group.place) else np.zeros(0, np.uint8)
+        found, at = {}, 0
+        for k in group.first:
+            size = len(group.sets[k])
+            tokens, places, matches = prefix(group.sets[k], frequency[at : at + size])
+            found[k] = (matches, [{"token": t, "place": i} for t, i in zip(tokens.view(np.int64).tolist(), places.tolist(), strict=True)])
+            at += size
+        rows = [(i, len(g), s, *found.get(k, (0, []))) for k, (i, g, s) in enumerate(zip(group.ids, group.sets, group.set_ids, strict=True))]
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    Without ``whole`` a set that was seen before in the same partition has its prefix left out.
+    return run
+
+
+def signatures(docs: DataFrame, space: Workspace, n: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, set_id, matches, prefix.  Equal sets of one group have the prefix once.
+
+    Frequencies are exact: groups of documents send their distinct n-grams to buckets by hash, and get the totals back in the same order.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(bins)
+    width = shuffle_width(docs.sparkSession)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = deal(plain, width)
+    sent = dealt.groupBy("group").applyInArrow(_send(n, width), _SENT)
+    totals = space.write(sent.groupBy("bucket").applyInArrow(_add_up, "group int, bucket int, totals binary"), "totals", codec="none")
+    del sent
+    space.release()
+    return dealt.groupBy("group").cogroup(totals.groupBy("group")).applyInArrow(_sign(n), _SIGNED)
+
+
+def whole_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """set_id, matches, prefix (n-grams) and grams of documents (text, expected set_id, matches, prefix) whose set is as expected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, table = _WordHashes(), set(), spread.value
+        words = _WordHashes()
         for part, texts in text_slices(batches):
-            counts, ids, matches, prefixes, sets = [], [], [], [], []
-            for text in texts:
-                grams = shingles(text, words, n)
-                own = _set_id(grams) if len(grams) else None
-                first, need = prefix(grams, table) if whole or own not in seen else (grams[:0], 0)
-                seen.add(own)
-                counts.append(len(grams))
-                ids.append(own)
-                matches.append(need)
-                prefixes.append(first.view(np.int64))
-                sets.append(grams.view(np.int64) if whole else None)
-            columns = [part.column("doc_id"), pa.array(counts, pa.int32()), pa.array(ids, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            names = ["doc_id", "n_shingles", "set_id", "matches", "prefix"]
-            if whole:
-                columns, names = [*columns, pa.array(sets, pa.list_(pa.int64())), part.column("expected")], [*names, "grams", "expected"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    types = "doc_id long, n_shingles int, set_id long, matches int, prefix array<long>" + (", grams array<long>, expected long" if whole else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *["expected"] * whole).mapInArrow(run, types)
+            grams = [shingles(t, words, n) for t in texts]
+            right = pa.array([_set_id(g) == e for g, e in zip(grams, part.column("expected").to_pylist(), strict=True)])
+            columns = [part.column("expected"), part.column("matches"), part.column("prefix"), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_id", "matches", "prefix", "grams"]).filter(right)
+
+    return docs.select("text", "expected", "matches", "prefix").mapInArrow(run, "set_id long, matches int, prefix array<long>, grams array<long>")
 
 
 def _candidates(signed: DataFrame) -> DataFrame:
-    """(token, set_id, n_shingles, matches) of prefix n-grams that at least two different sets hold."""
-    rows = signed.where(F.size("prefix") > 0).select("set_id", "n_shingles", "matches", F.explode("prefix").alias("token"))
+    """(token, place, set_id, n_shingles, matches) of prefix n-grams that at least two different sets hold."""
+    rows = signed.where(F.size("prefix") > 0).select("set_id", "n_shingles", "matches", F.inline("prefix"))
     of_token = Window.partitionBy("token")
     rows = rows.withColumns({"least": F.min("set_id").over(of_token), "most": F.max("set_id").over(of_token)})
     return rows.where("least <> most").drop("least", "most").dropDuplicates(["token", "set_id"])
 
 
-def _by_size(a: str, b: str) -> Column:
-    """Whether two sets can meet the threshold by their sizes."""
-    return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
+def _could_link(na: Column, ia: Column, nb: Column, ib: Column) -> Column:
+    """Whether two sets can meet the threshold if they share an n-gram at these places as one of their first ``MOST_MATCHES``.
+
+    By size, and because all that they share from there on lies behind these places.
+    """
+    by_size = DENOMINATOR * F.least(na, nb) >= NUMERATOR * F.greatest(na, nb)
+    most = F.least(na - ia, nb - ib) + MOST_MATCHES - 1
+    return by_size & ((DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (na + nb))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,21 +222,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """For each n-gram one member of each component, paired with a member of its largest component."""
     drawn = F.xxhash64("set_id", "token", F.lit(turn))
-    members = rows.groupBy("token", "label").agg(F.min_by(F.struct("set_id", "n_shingles"), drawn).alias("member"), F.count(F.lit(1)).alias("size"))
-    hub = members.groupBy("token").agg(F.max_by(F.struct("label", "member"), F.struct("size", -F.col("label"))).alias("hub"), F.count(F.lit(1)).alias("labels"))
-    pairs = members.join(hub.where("labels > 1"), "token").where("label <> hub.label")
-    pairs = pairs.select("member", F.col("hub.member").alias("other")).where(_by_size("member.n_shingles", "other.n_shingles"))
-    return pairs.select(F.least("member.set_id", "other.set_id").alias("a"), F.greatest("member.set_id", "other.set_id").alias("b")).distinct()
+    members = rows.groupBy("token", "label").agg(F.min_by(F.struct("set_id", "n_shingles", "place"), drawn).alias("m"), F.count(F.lit(1)).alias("size"))
+    hub = members.groupBy("token").agg(F.max_by(F.struct("label", "m"), F.struct("size", -F.col("label"))).alias("hub"), F.count(F.lit(1)).alias("labels"))
+    pairs = members.join(hub.where("labels > 1"), "token").where("label <> hub.label").select("m", F.col("hub.m").alias("o"))
+    pairs = pairs.where(_could_link(*[F.col(c) for c in ("m.n_shingles", "m.place", "o.n_shingles", "o.place")]))
+    return pairs.select(F.least("m.set_id", "o.set_id").alias("a"), F.greatest("m.set_id", "o.set_id").alias("b")).distinct()
 
 
 def _remaining_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs in different components that share enough prefix n-grams and could meet the threshold by size."""
+    """Pairs in different components that share enough prefix n-grams and could meet the threshold by size and place."""
     open_tokens = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     rows = rows.join(open_tokens, "token", "left_semi")
-    a = rows.select("token", F.col("set_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("matches").alias("ma"))
-    b = rows.select("token", F.col("set_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("matches").alias("mb"))
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _by_size("na", "nb"))
-    shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("ma", "mb")).alias("need"))
+    side = lambda x: rows.select(F.col("token").alias(f"t{x}"), *[F.col(c).alias(f"{k}{x}") for c, k in (("set_id", "s"), ("label", "l"), ("n_shingles", "n"), ("matches", "m"), ("place", "i"))])
+    apart = (F.col("sa") < F.col("sb")) & (F.col("la") != F.col("lb"))
+    met = side("a").join(side("b"), (F.col("ta") == F.col("tb")) & apart & _could_link(*[F.col(c) for c in ("na", "ia", "nb", "ib")]))
+    shared = met.groupBy(F.col("sa").alias("a"), F.col("sb").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("ma", "mb")).alias("need"))
     return shared.where("shared >= need").select("a", "b")
 
 
@@ -214,23 +252,23 @@ def _relabel(labels: DataFrame, edges: DataFrame, space: Workspace, name: str) -
 def components(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
     space = Workspace(docs.sparkSession, "ngram-join")
-    bins = bin_loads(docs, n)
-    signed = space.write(signatures(docs, bins, n), "signatures")
+    signed = space.write(signatures(docs, space, n), "signatures")
+    space.drop("totals")
+    space.release()
     rows = space.write(_candidates(signed), "candidates")
     members = space.write(signed.select("doc_id", "n_shingles", "set_id"), "members")
-    del signed
-    space.drop("signatures")
-    space.release()
     nodes = rows.select("set_id").distinct()
 
     # The whole sets of the candidates alone, from one document each; dealt once by set, for all rounds.
     highest, width = F.lit((1 << 63) - 1), shuffle_width(docs.sparkSession)
-    chosen = members.join(nodes, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.coalesce("doc_id", highest)).alias("doc_id"))
+    source = F.struct(F.coalesce("doc_id", highest).alias("doc_id"), "matches", F.col("prefix.token").alias("prefix"))
+    chosen = signed.where(F.size("prefix") > 0).join(nodes, "set_id", "left_semi").groupBy("set_id").agg(F.min_by(source, source["doc_id"]).alias("of"))
+    chosen = chosen.select(F.col("set_id").alias("expected"), "of.doc_id", "of.matches", "of.prefix")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), highest).alias("doc_id"), "text")
-    wanted = keyed.join(chosen.withColumnRenamed("set_id", "expected"), "doc_id")
-    found = signatures(wanted, bins, n, whole=True).where("set_id = expected").select("set_id", "matches", "prefix", "grams")
+    found = whole_sets(keyed.join(chosen, "doc_id"), n)
     sets = space.write_bucketed(found.repartition(width, "set_id").dropDuplicates(["set_id"]), "sets", "set_id", width)
-    del found
+    del signed, chosen, found
+    space.drop("signatures")
     space.release()
 
     labels = space.write(nodes.withColumn("label", F.col("set_id")), "labels")
