@@ -9,8 +9,10 @@ number of rounds grows with the logarithm of the number of partitions.
 
 Edge cases: a null text counts as empty, so null, empty and blank texts form one
 group.  Ties in length go to the smallest identifier; repeated identical rows all
-stay in the output and share one ``keep_id``.  A null identifier sorts last.  An
-empty table gives an empty result.  Other input columns are never read.
+stay in the output and share one ``keep_id``.  A null identifier sorts last; if only
+such rows are the longest of a group, one of them is kept.  An empty table gives an
+empty result.  Other input columns are never read.  Rows that stay are found again
+by identifier and text, so identifiers may be missing or repeated.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``check`` is a second, independent digest with the normalised length.  Rows
     are merged only where both agree, which is the verification of a match.
+    ``raw`` tells texts of one group apart.  ``row`` is fixed once these rows are written.
     """
     bare = F.translate(text_or_empty(text_col), SPACES, "")
     return docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(id_col).cast("long").alias("doc_id"),
         F.length(text_or_empty(text_col)).cast("long").alias("n_points"),
         F.sha2(bare.cast("binary"), 256).alias("text_sha256"),
         F.xxhash64(bare, F.octet_length(bare)).alias("check"),
+        F.xxhash64(text_or_empty(text_col)).alias("raw"),
+        F.monotonically_increasing_id().alias("row"),
         F.spark_partition_id().alias("run"),
     )
 
@@ -42,38 +47,46 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def merge_runs(rows: DataFrame, last_run: int, bits: int = MERGE_BITS) -> DataFrame:
     """Merge sorted runs pairwise up the tree until one winner per digest is left."""
     key = ["text_sha256", "check"]
-    # The greatest (length, -id) is the longest text with the smallest identifier.
-    best = F.struct("n_points", (-F.col("doc_id")).alias("minus_id"))
+    # The greatest (length, ~id) is the longest text with the smallest identifier.
+    best = F.struct("n_points", F.bitwise_not("doc_id").alias("not_id"), "raw", "row")
     runs = rows.groupBy("run", *key).agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
     while last_run > 0:
         last_run >>= bits
         node = F.shiftright("run", bits).alias("run")
         runs = runs.groupBy(node, *key).agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
-    return runs.select(*key, (-F.col("best.minus_id")).alias("keep_id"), "group_size")
+    return runs.select(*key, F.bitwise_not("best.not_id").alias("keep_id"), "best.raw", F.col("best.row").alias("keep_row"), "group_size")
+
+
+def _winners(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The digests of all rows, and the winner of each group."""
+    rows = Workspace(docs.sparkSession, "exact-dedup").write(digests(docs, id_col, text_col), "digests")
+    last_run = rows.agg(F.max("run")).first()[0] or 0
+    return rows, merge_runs(rows, last_run)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    space = Workspace(docs.sparkSession, "exact-dedup")
-    rows = space.write(digests(docs, id_col, text_col), "digests")
-    last_run = rows.agg(F.max("run")).first()[0] or 0
-    winners = merge_runs(rows, last_run)
-    return rows.join(winners, ["text_sha256", "check"]).select(
+    rows, winners = _winners(docs, id_col, text_col)
+    # Rows without an identifier are not the same row, so of those one alone is kept.
+    kept = F.when(F.col("keep_id").isNull(), F.col("row") == F.col("keep_row")).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return rows.drop("raw").join(winners.drop("raw"), ["text_sha256", "check"]).select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
+        kept.alias("kept"),
         "text_sha256",
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one for each group of equal texts."""
-    missing = F.lit(-(1 << 63))
-    stay = exact_groups(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", missing).alias("__key"))
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), missing))
+    _, winners = _winners(docs, id_col, text_col)
+    stay = winners.select(F.coalesce("keep_id", F.lit(0)).alias("__id"), F.col("keep_id").isNull().alias("__none"), F.col("text_sha256").alias("__text"), F.col("raw").alias("__raw"))
+    bare = F.translate(text_or_empty(text_col), SPACES, "")
+    own_id = F.col(id_col).cast("long")
+    key = {"__id": F.coalesce(own_id, F.lit(0)), "__none": own_id.isNull(), "__text": F.sha2(bare.cast("binary"), 256), "__raw": F.xxhash64(text_or_empty(text_col))}
     # Both steps need rows dealt by the same key, so the texts move once.
-    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return docs.withColumns(key).join(stay, list(key), "left_semi").dropDuplicates(list(key)).drop(*key)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

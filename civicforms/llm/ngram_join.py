@@ -23,6 +23,7 @@ are never read.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from civicforms.llm.common import Workspace, read, shuffle_width, text_slices
+from civicforms.llm.common import SPACES, Workspace, read, shuffle_width, text_or_empty, text_slices
 from civicforms.llm.components import connected
 from civicforms.llm.lm_score import cuts, deal
 
@@ -100,11 +101,13 @@ class _Group:
     def __init__(self, payloads: list[bytes], n: int) -> None:
         words = _WordHashes()
         self.ids: list[int | None] = []
+        self.text_keys: list[bytes] = []
         self.sets: list[np.ndarray] = []
         for payload in sorted(payloads):
             for batch in pa.ipc.open_stream(payload):
                 for part, texts in text_slices([batch]):
                     self.ids += part.column("doc_id").to_pylist()
+                    self.text_keys += [hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts]
                     self.sets += [shingles(t, words, n) for t in texts]
         self.set_ids = [_set_id(g) if len(g) else None for g in self.sets]
         first = {s: k for k, s in reversed(list(enumerate(self.set_ids))) if s is not None}
@@ -139,11 +142,11 @@ def _add_up(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"group": pa.array([r["group"] for r in rows], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "totals": pa.array(answers, pa.binary())})
 
 
-_SIGNED = "doc_id long, n_shingles int, set_id long, matches int, prefix array<struct<token: long, place: int>>"
+_SIGNED = "doc_id long, text_key binary, n_shingles int, set_id long, matches int, prefix array<struct<token: long, place: int>>"
 
 
 def _sign(n: int):
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int32()), ("set_id", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())])))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_shingles", pa.int32()), ("set_id", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())])))])
 
     def run(key: tuple, texts: pa.Table, totals: pa.Table) -> pa.Table:
         group = _Group(texts.column("payload").to_pylist(), n)
@@ -155,14 +158,19 @@ def _sign(n: int):
             tokens, places, matches = prefix(group.sets[k], frequency[at : at + size])
             found[k] = (matches, [{"token": t, "place": i} for t, i in zip(tokens.view(np.int64).tolist(), places.tolist(), strict=True)])
             at += size
-        rows = [(i, len(g), s, *found.get(k, (0, []))) for k, (i, g, s) in enumerate(zip(group.ids, group.sets, group.set_ids, strict=True))]
+        rows = [(i, t, len(g), s, *found.get(k, (0, []))) for k, (i, t, g, s) in enumerate(zip(group.ids, group.text_keys, group.sets, group.set_ids, strict=True))]
         return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     return run
 
 
+def text_key() -> Column:
+    """Tells rows with one identifier, or none, apart by their text."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def signatures(docs: DataFrame, space: Workspace, n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_id, matches, prefix.  Equal sets of one group have the prefix once.
+    """doc_id, text_key, n_shingles, set_id, matches, prefix.  Equal sets of one group have the prefix once.
 
     Frequencies are exact: groups of documents send their distinct n-grams to buckets by hash, and get the totals back in the same order.
     """
@@ -249,23 +257,23 @@ def _relabel(labels: DataFrame, edges: DataFrame, space: Workspace, name: str) -
     return space.write(merged.select("set_id", F.coalesce("into", "label").alias("label")), f"{name}-labels")
 
 
-def components(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
+def _placed(docs: DataFrame, n: int, star_rounds: int) -> DataFrame:
+    """One row per document: doc_id, text_key, n_shingles, label (of its component; null if the set is empty)."""
     space = Workspace(docs.sparkSession, "ngram-join")
     signed = space.write(signatures(docs, space, n), "signatures")
     space.drop("totals")
     space.release()
     rows = space.write(_candidates(signed), "candidates")
-    members = space.write(signed.select("doc_id", "n_shingles", "set_id"), "members")
+    members = space.write(signed.select("doc_id", "text_key", "n_shingles", "set_id"), "members")
     nodes = rows.select("set_id").distinct()
 
     # The whole sets of the candidates alone, from one document each; dealt once by set, for all rounds.
     highest, width = F.lit((1 << 63) - 1), shuffle_width(docs.sparkSession)
-    source = F.struct(F.coalesce("doc_id", highest).alias("doc_id"), "matches", F.col("prefix.token").alias("prefix"))
-    chosen = signed.where(F.size("prefix") > 0).join(nodes, "set_id", "left_semi").groupBy("set_id").agg(F.min_by(source, source["doc_id"]).alias("of"))
-    chosen = chosen.select(F.col("set_id").alias("expected"), "of.doc_id", "of.matches", "of.prefix")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), highest).alias("doc_id"), "text")
-    found = whole_sets(keyed.join(chosen, "doc_id"), n)
+    source = F.struct(F.coalesce("doc_id", highest).alias("doc_id"), "text_key", "matches", F.col("prefix.token").alias("prefix"))
+    chosen = signed.where(F.size("prefix") > 0).join(nodes, "set_id", "left_semi").groupBy("set_id").agg(F.min_by(source, F.struct(source["doc_id"], "text_key")).alias("of"))
+    chosen = chosen.select(F.col("set_id").alias("expected"), "of.doc_id", "of.text_key", "of.matches", "of.prefix")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), highest).alias("doc_id"), text_key().alias("text_key"), "text")
+    found = whole_sets(keyed.join(chosen, ["doc_id", "text_key"]), n)
     sets = space.write_bucketed(found.repartition(width, "set_id").dropDuplicates(["set_id"]), "sets", "set_id", width)
     del signed, chosen, found
     space.drop("signatures")
@@ -281,17 +289,25 @@ def components(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_ROUNDS)
         space.release()
     space.drop("sets")
 
-    placed = members.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    return members.join(labels, "set_id", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("label", "set_id").alias("label"))
+
+
+def components(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
+    placed = _placed(docs, n, star_rounds).drop("text_key")
     least = placed.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
     placed = placed.join(least, "label", "left")
     return placed.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: the smallest doc_id of each component."""
-    stay = components(docs, n).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    return keyed.join(stay, "__key", "left_semi").drop("__key")
+    """The rows of ``docs`` that stay, with all their columns: of each component one with the smallest doc_id, and all blank texts."""
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_key").alias("__text")))
+    stay = _placed(docs, n, STAR_ROUNDS).where("label IS NOT NULL").groupBy("label").agg(smallest.alias("of")).select("of.*")
+    own_id, blank = F.col("doc_id").cast("long"), F.translate(text_or_empty(), SPACES, "") == ""
+    key = {"__none": own_id.isNull(), "__id": F.coalesce(own_id, F.lit(0)), "__text": text_key()}
+    linked = docs.where(~blank).withColumns(key).join(stay, list(key), "left_semi").dropDuplicates(list(key)).drop(*key)
+    return linked.unionByName(docs.where(blank))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
