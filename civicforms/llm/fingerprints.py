@@ -13,8 +13,11 @@ buffers come from 63 shifted comparisons and one running sum, all in integers:
 the same text gives the same features wherever it lies.
 
 Edge cases: a null text counts as empty, and an empty text has no feature; two
-empty texts are alike (1), an empty and another are not (0).  Texts
-below SHORT bytes are told by all their small windows, or as a whole.  Windows of nearly constant bytes are features only in
+empty texts are alike (1), an empty and another are not (0).  Texts below BOTH
+bytes, where runs are few, are told by their small windows, or as a whole; from
+SHORT bytes on also by their features, which come first in the chain, so that texts
+on either side of a border share windows of one size.  All small windows count, or
+where they would not fit in one filter, those of every second, fourth or eighth hash.  Windows of nearly constant bytes are features only in
 texts that have no others.  Equal identifiers are ordered by text.  Repeated rows
 follow each other.  A table of one row is its own next document; an empty table
 gives an empty result.  Other input columns are dropped.
@@ -36,8 +39,8 @@ from pyspark.sql.window import Window
 from civicforms.llm.common import Workspace, read, shuffle_width, text_slices
 
 WINDOW, RUN, VOTES = 64, 64, 16
-#: Texts below SHORT bytes have too few windows to choose from: all their windows of SMALL bytes count.
-SHORT, SMALL = 128, 16
+#: Texts below BOTH bytes have few windows to choose from: windows of SMALL bytes count, about MOST_SMALL at most.  From SHORT bytes on the chosen ones count.
+SHORT, BOTH, SMALL, MOST_SMALL = 128, 512, 16, 120
 PER_FILTER, FILTER_BITS, HASHES = 160, 2048, 5
 #: Entropy in bits of a window of ordinary prose, and below which a window says too little.
 TYPICAL, LEAST = 4.0, 1.0
@@ -87,10 +90,6 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
     starts = ends - sizes
     hashes, owners = [], []
-    for k in np.flatnonzero((sizes > 0) & (sizes < SHORT)):
-        small = dict.fromkeys(texts[k][i : i + SMALL] for i in range(max(1, sizes[k] - SMALL + 1)))
-        hashes.append(np.array([xxhash.xxh3_64_intdigest(w) for w in small], np.uint64))
-        owners.append(np.full(len(small), k))
     if len(data) >= WINDOW:
         sums = window_sums(data)
         own = np.repeat(np.arange(len(texts)), sizes)[: len(sums)]
@@ -120,6 +119,16 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint64(32)
         hashes.append(h)
         owners.append(own[at])
+    for k in np.flatnonzero((sizes > 0) & (sizes < BOTH)):
+        small = dict.fromkeys(texts[k][i : i + SMALL] for i in range(max(1, sizes[k] - SMALL + 1)))
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in small], np.uint64)
+        step = 1
+        while sizes[k] - SMALL + 1 > MOST_SMALL * step:
+            step *= 2
+        # By high bits, which take no part in the filters; a window kept in a longer text is kept in a shorter one.
+        h = h[(h >> np.uint64(58)) % np.uint64(step) == 0]
+        hashes.append(h)
+        owners.append(np.full(len(h), k))
     if not owners:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     owner = np.concatenate(owners)

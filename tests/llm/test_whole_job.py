@@ -1,8 +1,9 @@
 """Rows and texts that an earlier version lost or could not take."""
 
+import numpy as np
 import pytest
 
-from civicforms.llm import exact_dedup, ngram_join
+from civicforms.llm import exact_dedup, fingerprints, ngram_join
 
 LINE = " ".join(f"w{k}" for k in range(40))
 ROWS = [
@@ -52,3 +53,30 @@ def test_near_dedup_without_unique_ids(odd_ids):
     assert [w for w in words if w] == sorted(near - {""})
     assert words.count("") == 2
     assert dict((t, i) for i, t in found)[LINE] == 3
+
+
+def prose(size, seed):
+    words = np.random.default_rng(seed)
+    out = ""
+    while len(out) < size:
+        out += "".join(words.choice(list("eeeetaoinshrdlu"), words.integers(2, 9))) + " "
+    return out[:size]
+
+
+@pytest.mark.parametrize("size", [120, 127, 128, 135, 141, 150, 175, 200, 250, 300, 400, 511, 512, 600])
+def test_edits_of_short_texts_stay_alike(size):
+    for seed in range(20):
+        text = prose(size, seed)
+        changed = fingerprints.edited(text, prose(size, 1000 + seed))
+        own, new, other = fingerprints.fingerprints([t.encode() for t in (text, changed, prose(size, 2000 + seed))])
+        # Three quarters are unchanged.  Large windows alone, from BOTH bytes on, are fewer and vary more.
+        assert fingerprints.likeness(own, new) > (0.5 if size < fingerprints.BOTH else 0.2)
+        assert fingerprints.likeness(own, other) < 0.2
+
+
+@pytest.mark.parametrize("size", [120, 127, 500, 511])
+def test_texts_on_either_side_of_a_border_are_alike(size):
+    for seed in range(20):
+        longer = prose(size + 20, seed)
+        a, b = fingerprints.fingerprints([longer[:size].encode(), longer.encode()])
+        assert fingerprints.likeness(a, b) > 0.5
