@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,6 +44,10 @@ _ROW = [
 ]
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, node long, ids binary"
 
+#: The pattern of the pieces takes one step back for each sign of a run of white space, and tiktoken fails near a million.
+SAFE_SPACES = 100_000
+_SPACES = re.compile(r"\s+")
+
 #: doc_id, start, packed ids (u32), ids of the whole document
 Piece = tuple[int | None, int, bytes, int]
 
@@ -134,6 +139,24 @@ def byte_encoder(path: str):
     return tiktoken.Encoding(f"bytes-{base64.b16encode(path.encode()).decode()}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def whole_encoder(path: str):
+    """The library's own encoder for a vocabulary file; slower, but takes any text."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def token_ids(path: str, text: str) -> np.ndarray:
+    """The ids of a whole text, packed in u32."""
+    if len(text) > SAFE_SPACES and any(m.end() - m.start() > SAFE_SPACES for m in _SPACES.finditer(text)):
+        return np.array(whole_encoder(path).encode(text, add_special_tokens=False).ids, "<u4")
+    return byte_encoder(path).encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+
 def _sequence_base(level: int, node: int) -> int:
     return (level << 56) + (node << 32)
 
@@ -143,11 +166,11 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, windows:
     end = np.array([end_id], "<u4").tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, node = byte_encoder(path), TaskContext.get().partitionId()
+        node = TaskContext.get().partitionId()
         packer = Packer(_sequence_base(0, node), window, windows)
         for part, texts in text_slices(batches, text_col, 4 << 20):
             for doc_id, text in zip(part.column(id_col).to_pylist(), texts, strict=True):
-                ids = encoder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() + end
+                ids = token_ids(path, text).tobytes() + end
                 packer.add((doc_id, 0, ids, len(ids) // 4))
             yield packer.batch()
         packer.leave(node)

@@ -1,9 +1,13 @@
 """Rows and texts that an earlier version lost or could not take."""
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
-from civicforms.llm import exact_dedup, fingerprints, ngram_join
+from civicforms.llm import exact_dedup, fingerprints, ngram_join, packing
+
+BYTE = P.path("byte_bpe_50k.json")
 
 LINE = " ".join(f"w{k}" for k in range(40))
 ROWS = [
@@ -80,3 +84,15 @@ def test_texts_on_either_side_of_a_border_are_alike(size):
         longer = prose(size + 20, seed)
         a, b = fingerprints.fingerprints([longer[:size].encode(), longer.encode()])
         assert fingerprints.likeness(a, b) > 0.5
+
+
+def test_packing_takes_long_white_space(spark):
+    texts = ["a" + " " * 2_000_000 + "b", " \n" * 1_000_000, "x <|endoftext|>" + "\n" * 150_000 + " y", "z" * 150_000, "w " * 60_000]
+    tokenizer = Tokenizer.from_file(BYTE)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [packing.token_ids(BYTE, t).tolist() for t in texts] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = {}
+    for p in packing.pack(df, BYTE, 1).collect():
+        packed[p["doc_id"]] = packed.get(p["doc_id"], 0) + p["length"]
+    assert packed == {k: len(ids) + 1 for k, ids in enumerate(want)}
