@@ -43,6 +43,8 @@ WORD_PART = 24
 FLOOR = 1e-8
 TABLE_BITS = 20
 CACHE_ENTRIES = 400_000
+#: Chunks, and words of one length, that are scored together: bounds on memory, not on texts.
+CHUNKS_AT_ONCE, WORDS_AT_ONCE = 100_000, 50_000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -146,13 +148,52 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
 def word_scores(table: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarray:
     """log P(word | language), summed over all segmentations: one row a word."""
     out = np.zeros((len(words), probs.shape[1]))
-    for members in _by_length(words).values():
-        n, found = table.substrings([words[k] for k in members])
-        alpha, _ = _forward(n, found, probs, len(members))
-        out[members] = np.log(alpha[n])
+    for same_length in _by_length(words).values():
+        for start in range(0, len(same_length), WORDS_AT_ONCE):
+            members = same_length[start : start + WORDS_AT_ONCE]
+            n, found = table.substrings([words[k] for k in members])
+            alpha, _ = _forward(n, found, probs, len(members))
+            out[members] = np.log(alpha[n])
     return out
 
 
+class ChunkScores:
+    """Scores of chunks of text, kept from document to document; grows with the distinct chunks of one slice of texts."""
+
+    def __init__(self, table: Pieces, probs: np.ndarray, limit: int = CACHE_ENTRIES) -> None:
+        self.table, self.probs, self.limit = table, probs, limit
+        self.place: dict[str, int] = {}
+        # Row 0 stands for chunks without a letter.
+        self.scores, self.used = np.zeros((1 << 16, probs.shape[1])), 1
+
+    def ensure(self, wanted: set[str]) -> None:
+        if len(self.place) > self.limit:
+            self.place.clear()
+            self.scores, self.used = np.zeros((1 << 16, self.probs.shape[1])), 1
+        new = list(wanted - self.place.keys())
+        if self.used + len(new) > len(self.scores):
+            more = max(len(self.scores), self.used + len(new) - len(self.scores))
+            self.scores = np.concatenate([self.scores, np.zeros((more, self.probs.shape[1]))])
+        for start in range(0, len(new), CHUNKS_AT_ONCE):
+            self._add(new[start : start + CHUNKS_AT_ONCE])
+
+    def _add(self, new: list[str]) -> None:
+        words = [letter_words(c) for c in new]
+        distinct = list({w for ws in words for w in ws})
+        langs = self.probs.shape[1]
+        score = dict(zip(distinct, word_scores(self.table, self.probs, distinct), strict=True)) if langs else {}
+        for chunk, ws in zip(new, words, strict=True):
+            self.place[chunk] = self.used if ws and langs else 0
+            if self.place[chunk]:
+                self.scores[self.used] = score[ws[0]] if len(ws) == 1 else sum(score[w] for w in ws)
+                self.used += 1
+
+    def of(self, chunks: list[str]) -> np.ndarray | None:
+        """The summed scores of the chunks of a text; nothing if no chunk has a letter."""
+        rows = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        return self.scores[rows].sum(axis=0) if rows.any() else None
+
+
 def expected_counts(table: Pieces, probs: np.ndarray, words: list[str], lang: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language, given word counts of one language each."""
     total = np.zeros((len(table), probs.shape[1]))
@@ -260,34 +301,19 @@ def predict(docs: DataFrame, model: Model, path: str, keep: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, probs = spread.value
-        table = pieces(path)
-
-        cache: dict[str, int] = {}
-        # Row 0 stands for chunks without a letter.
-        scores_of, used = np.zeros((CACHE_ENTRIES + (1 << 20), len(langs))), 1
+        cache = ChunkScores(pieces(path), probs)
 
         for part, texts in text_slices(batches, text_col, 2 << 20):
             chunked = [lower_chunks(t) for t in texts]
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-                used = 1
-            new = list(set().union(*chunked) - cache.keys())
-            words = [letter_words(c) for c in new]
-            distinct = list({w for ws in words for w in ws})
-            score = dict(zip(distinct, word_scores(table, probs, distinct), strict=True)) if langs else {}
-            for chunk, ws in zip(new, words, strict=True):
-                cache[chunk] = used if ws and langs else 0
-                if cache[chunk]:
-                    scores_of[used] = score[ws[0]] if len(ws) == 1 else sum(score[w] for w in ws)
-                    used += 1
+            cache.ensure(set().union(*chunked))
             names, scores = [], []
             for chunks in chunked:
-                rows = np.fromiter(map(cache.__getitem__, chunks), np.int64, len(chunks))
-                if not rows.any():
+                total = cache.of(chunks)
+                if total is None:
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                total = np.log(prior) + scores_of[rows].sum(axis=0)
+                total = np.log(prior) + total
                 best = int(total.argmax())
                 names.append(langs[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))

@@ -5,9 +5,9 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from civicforms.llm import exact_dedup, fingerprints, ngram_join, packing
+from civicforms.llm import exact_dedup, fingerprints, langid, ngram_join, packing
 
-BYTE = P.path("byte_bpe_50k.json")
+WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
 
 LINE = " ".join(f"w{k}" for k in range(40))
 ROWS = [
@@ -96,3 +96,18 @@ def test_packing_takes_long_white_space(spark):
     for p in packing.pack(df, BYTE, 1).collect():
         packed[p["doc_id"]] = packed.get(p["doc_id"], 0) + p["length"]
     assert packed == {k: len(ids) + 1 for k, ids in enumerate(want)}
+
+
+def test_language_id_takes_any_number_of_words(spark):
+    en, fr = "the house of the river and the green tree with stones", "la maison de la rivière et des arbres verts avec pierres"
+    model = langid.fit(spark.createDataFrame([(k, en if k % 2 else fr, "en" if k % 2 else "fr") for k in range(40)], "doc_id long, text string, lang string"), WORD)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[k // 26**p % 26] for p in range(5)) for k in range(1_500_000)]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, en), (2, "12")], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in langid.predict(df, model, WORD).collect()}
+    assert (got[1]["lang_pred"], got[2]["lang_pred"]) == ("en", "und")
+    assert got[0]["lang_pred"] in model.langs
+    cache = langid.ChunkScores(langid.pieces(WORD), model.probs, limit=10)
+    for part in (words[:40], words[:70_000], words[20:60]):
+        cache.ensure(set(part))
+        assert np.allclose(cache.of(part), langid.word_scores(langid.pieces(WORD), model.probs, part).sum(axis=0))
