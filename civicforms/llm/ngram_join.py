@@ -1,8 +1,8 @@
 """Similarity join on word n-grams: adaptive multi-match prefixes, exact verification.
 
 A document is the set of its distinct word n-grams, as 64-bit hashes.  All sets are
-sorted by one global order, rare n-grams first; document frequencies are exact and
-cover the whole corpus.  Two sets that meet the threshold share at
+sorted by one global order, rare n-grams first; document frequencies cover
+the whole corpus and are exact up to 255, where they are clipped.  Two sets that meet the threshold share at
 least ``l`` n-grams within their prefixes of length ``n - ceil(t n) + l``.  Each
 document picks the ``l`` with the least estimated cost, so one whose prefix holds
 frequent n-grams gets a longer prefix, and a pair is verified only if it shares
@@ -172,7 +172,7 @@ def text_key() -> Column:
 def signatures(docs: DataFrame, space: Workspace, n: int = WORDS) -> DataFrame:
     """doc_id, text_key, n_shingles, set_id, matches, prefix.  Equal sets of one group have the prefix once.
 
-    Frequencies are exact: groups of documents send their distinct n-grams to buckets by hash, and get the totals back in the same order.
+    Frequencies are exact up to 255: groups of documents send their distinct n-grams to buckets by hash, and get the totals back in the same order.
     """
     width = shuffle_width(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
