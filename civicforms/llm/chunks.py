@@ -2,8 +2,9 @@
 
 The word vocabulary drops white space and never merges across it, nor across a
 full stop or comma that ends a word.  A text is cut there, each distinct chunk is
-encoded once by the library, and texts are put together from the packed ids of
-their chunks.
+encoded once, and texts are put together from the packed ids of their chunks.
+The words of a chunk go through a faster encoder whose cuts are verified; the
+library takes what is left.
 """
 
 from __future__ import annotations
@@ -11,12 +12,16 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 
-CACHE_ENTRIES = 400_000
+from civicforms.llm.merges import END, MergeRules, plain_words
+
+CACHE_ENTRIES = 300_000
 #: A full stop or comma after another sign: there the two may be one word of the pattern.
 _CLUSTER = re.compile(r"(?:[^\w\s]|_)[.,]\s")
 #: Python calls these white space, the vocabulary's pattern does not.
@@ -34,6 +39,21 @@ def lower_chunks(text: str) -> list[str]:
     return text.split(" ")
 
 
+def numbered(place: dict[str, int], chunked: list[list[str]], add: Callable[[list[str]], None]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all chunks of some texts, one after another, and of how many chunks each text has.
+
+    ``place`` holds the numbers known so far; ``add`` enters new chunks into it.
+    """
+    sizes = np.fromiter(map(len, chunked), np.int64, len(chunked))
+    flat = list(chain.from_iterable(chunked))
+    rows = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
+    missing = np.flatnonzero(rows < 0).tolist()
+    if missing:
+        add(list({flat[k] for k in missing}))
+        rows[missing] = [place[flat[k]] for k in missing]
+    return rows, sizes
+
+
 class TwoGenerations(dict):
     """A cache of bounded size: the elder half goes when the younger is full, except what was used again."""
 
@@ -42,24 +62,67 @@ class TwoGenerations(dict):
         self.elder: dict = {}
         self.fill, self.limit = fill, limit
 
-    def ensure(self, wanted: set[str]) -> None:
+    def values_of(self, chunked: list[list[str]]) -> Iterator[list]:
+        """The values of the chunks of each text."""
         if len(self) > self.limit:
             self.elder = dict(self)
             self.clear()
-        new = []
-        for chunk in wanted - self.keys():
-            if (known := self.elder.get(chunk, self)) is not self:
-                self[chunk] = known
-            else:
-                new.append(chunk)
-        if new:
+        flat = list(chain.from_iterable(chunked))
+        values = list(map(self.get, flat))
+        if missing := {c for c, v in zip(flat, values, strict=True) if v is None}:
+            self.update((c, self.elder[c]) for c in missing if c in self.elder)
+            new = [c for c in missing if c not in self]
             self.update(zip(new, self.fill(new), strict=True))
+            values = list(map(self.__getitem__, flat))
+        start = 0
+        for chunks in chunked:
+            yield values[start : start + len(chunks)]
+            start += len(chunks)
+
+
+class WordEncoder:
+    """Packed ids of words: cut by a byte-level encoder with the same merges, verified, else left open.
+
+    Each word gets a closing sign that stands for the vocabulary's word end.  That
+    encoder merges by the resulting token alone, so a cut that the merge rules would not give is found and refused.
+    """
+
+    def __init__(self, path: str, dtype: np.dtype) -> None:
+        import tiktoken
+
+        self.rules, self.dtype = MergeRules(path), dtype
+        byte_of = {char: b for b, char in self.rules.alphabet.items()} | {END: 0}
+        # Ranks: single bytes, bytes that end a word, then the merges in their order.
+        names = [bytes([b]) for b in range(256)] + [bytes([b, 0]) for b in range(1, 256)]
+        base = self.rules.base
+        ids = [base[self.rules.alphabet[b]] for b in range(256)] + [base[self.rules.alphabet[b] + END] for b in range(1, 256)]
+        known = set(names)
+        for made in self.rules.made_in_order:
+            name = bytes(byte_of[c] for c in self.rules.shape[made])
+            if name not in known:
+                known.add(name)
+                names.append(name)
+                ids.append(made)
+        self.ids = np.array(ids, np.int64)
+        self.ends = np.array([n[-1] == 0 for n in names])
+        ranks = {n: r for r, n in enumerate(names)}
+        self.encoder = tiktoken.Encoding(f"words-{zlib.crc32(path.encode())}", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, words: list[str]) -> list[bytes | None]:
+        ranks = self.encoder.encode_to_numpy("\0".join(words) + "\0", disallowed_special=())
+        tokens, ends = self.ids[ranks], np.flatnonzero(self.ends[ranks]) + 1
+        if len(ends) != len(words):
+            return [None] * len(words)
+        starts = np.concatenate([[0], ends[:-1]])
+        bad = self.rules.wrong(tokens, np.repeat(np.arange(len(words)), ends - starts), len(words))
+        packed, size = tokens.astype(self.dtype).tobytes(), self.dtype.itemsize
+        return [None if b else packed[x:y] for x, y, b in zip((starts * size).tolist(), (ends * size).tolist(), bad.tolist(), strict=True)]
 
 
 class ChunkEncoder:
     """Packed ids of whole texts, for a vocabulary whose word-ending tokens carry a suffix."""
 
-    def __init__(self, path: str, dtype: str, suffix: str = "</w>") -> None:
+    def __init__(self, path: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
         from tokenizers import Tokenizer
 
@@ -67,40 +130,32 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype(dtype)
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends_word[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self.words = WordEncoder(path, self.dtype)
         self.cache = TwoGenerations(self._fill)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _together(self, words: list[str]) -> list[bytes]:
-        """Words of letters alone, encoded as one text and cut after the tokens that end a word."""
-        ids = self._ids([" ".join(words)])[0]
-        cuts = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(cuts) != len(words):
-            return [x.tobytes() for x in self._ids(words)]
-        packed, ends = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
-        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words whose cut is verified."""
+        done: dict[str, bytes] = {}
+        for start in range(0, len(words), 4096):
+            part = words[start : start + 4096]
+            done.update((w, ids) for w, ids in zip(part, self.words.encode(part), strict=True) if ids is not None)
+        return done
 
     def _fill(self, chunks: list[str]) -> list[bytes]:
-        done: dict[str, bytes] = {}
-        words = [c for c in chunks if c.isalpha()]
-        for start in range(0, len(words), 256):
-            part = words[start : start + 256]
-            done.update(zip(part, self._together(part), strict=True))
+        done = self._words([c for c in chunks if c.isascii() and c.isalpha() and c.islower()])
+        mixed = {c: plain_words(c) for c in chunks if c not in done and "<|" not in c and "\0" not in c}
+        known = self._words(list(set(chain.from_iterable(mixed.values())) - done.keys())) | done
+        done.update((c, b"".join(ids)) for c, words in mixed.items() if None not in (ids := [known.get(w) for w in words]))
         rest = [c for c in chunks if c not in done]
         for start in range(0, len(rest), 4096):
             part = rest[start : start + 4096]
-            done.update(zip(part, [x.tobytes() for x in self._ids(part)], strict=True))
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            done.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(part, found, strict=True))
         return [done[c] for c in chunks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed in ``dtype``."""
-        chunked = [lower_chunks(t) for t in texts]
-        self.cache.ensure(set().union(*chunked))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in chunked]
+        return [b"".join(values) for values in self.cache.values_of([lower_chunks(t) for t in texts])]
 
 
 @lru_cache(maxsize=2)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicforms.llm.bpe import _types
-from civicforms.llm.chunks import TwoGenerations
+from civicforms.llm.chunks import numbered
 from civicforms.llm.common import id_hash, read, text_slices
 
 BITS = 20
@@ -41,37 +41,81 @@ EPOCHS = 5
 ALPHA, BETA, L1, L2 = 0.4, 1.0, 4.0, 0.2
 THRESHOLD = 0.3
 STEMS = (4, 5, 6, 7)
+#: Chunks of text whose words are kept from slice to slice, and their letters: a bound on memory, not on texts.
+CACHE_CHUNKS, CACHE_LETTERS = 200_000, 8 << 20
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _hashes(chunks: list[str]) -> list[tuple[list[int], list[int]]]:
-    """Hashes of the words of each chunk, and of their stems."""
-    out = []
-    for chunk in chunks:
-        words = _WORD.findall(chunk)
-        stems = {w[:k] for w in words for k in STEMS if len(w) > k}
-        out.append(([xxhash.xxh3_64_intdigest(w) for w in words], [xxhash.xxh3_64_intdigest(s, seed=1) for s in stems]))
-    return out
-
-
-def word_cache() -> TwoGenerations:
-    return TwoGenerations(_hashes, 200_000)
-
-
-def features(texts: list[str], cache: TwoGenerations) -> Iterator[np.ndarray]:
-    """Sorted places of the distinct features of each text."""
-    chunked = [t.lower().split() for t in texts]
-    cache.ensure(set().union(*chunked))
-    shift = np.uint64(64 - BITS)
-    for chunks in chunked:
-        found = [cache[c] for c in chunks]
-        words = np.array([h for own, _ in found for h in own], np.uint64)
-        stems = np.array([h for _, own in found for h in own], np.uint64)
-        pairs = words[:-1] * _PAIR + words[1:]
-        skips = words[:-2] * _SKIP + words[2:]
-        both = np.concatenate([words, stems, pairs, skips])
-        yield np.unique(((both ^ (both >> np.uint64(29))) * _PAIR) >> shift).astype(np.int32)
+class WordTable:
+    """The words of chunks of text as hashes, and the places of their words and stems; packed in arrays.
+
+    With ``weights`` only places of non-zero weight are kept.  It is emptied between two
+    slices of texts when it holds more than ``CACHE_CHUNKS`` chunks or ``CACHE_LETTERS``
+    letters, so it never outgrows those by more than one slice.
+    """
+
+    def __init__(self, weights: np.ndarray | None = None) -> None:
+        self.weights = weights
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.letters = 0
+        self.word_ends, self.place_ends = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.words, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _add(self, new: list[str]) -> None:
+        words, stems, word_counts, stem_counts = [], [], [], []
+        for chunk in new:
+            found = [chunk] if chunk.isascii() and chunk.isalnum() else _WORD.findall(chunk)
+            cut = {w[:k] for w in found for k in STEMS if len(w) > k}
+            words += [xxhash.xxh3_64_intdigest(w) for w in found]
+            stems += [xxhash.xxh3_64_intdigest(x, seed=1) for x in cut]
+            word_counts.append(len(found))
+            stem_counts.append(len(cut))
+        hashes = np.array(words, np.uint64)
+        chunk_of = np.concatenate([np.repeat(np.arange(len(new)), word_counts), np.repeat(np.arange(len(new)), stem_counts)])
+        places = _places(np.concatenate([hashes, np.array(stems, np.uint64)]))
+        if self.weights is not None:
+            used = np.flatnonzero(self.weights[places])
+            places, chunk_of = places[used], chunk_of[used]
+        order = np.argsort(chunk_of, kind="stable")
+        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+        self.letters += sum(map(len, new))
+        self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(word_counts)])
+        self.place_ends = np.concatenate([self.place_ends, self.place_ends[-1] + np.cumsum(np.bincount(chunk_of, minlength=len(new)))])
+        self.words, self.places = np.concatenate([self.words, hashes]), np.concatenate([self.places, places[order]])
+
+    def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place) of the distinct features of some texts, in order of both."""
+        if len(self.row) > CACHE_CHUNKS or self.letters > CACHE_LETTERS:
+            self.clear()
+        rows, sizes = numbered(self.row, [t.lower().split() for t in texts], self._add)
+        text_of = np.repeat(np.arange(len(texts)), sizes)
+        at, owner = _spread(self.word_ends, rows, text_of)
+        words = self.words[at]
+        at, own_place = _spread(self.place_ends, rows, text_of)
+        found = [own_place << BITS | self.places[at]]
+        for gap, multiplier in ((1, _PAIR), (2, _SKIP)):
+            places = _places(words[:-gap] * multiplier + words[gap:])
+            inside = owner[:-gap] == owner[gap:]
+            if self.weights is not None:
+                inside &= self.weights[places] != 0
+            found.append(owner[:-gap][inside] << BITS | places[inside])
+        keys = np.unique(np.concatenate(found))
+        return keys >> BITS, keys & ((1 << BITS) - 1)
+
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    return (((hashes ^ (hashes >> np.uint64(29))) * _PAIR) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _spread(ends: np.ndarray, rows: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all entries of some rows, one after another, and the text of each."""
+    first, counts = ends[rows], ends[rows + 1] - ends[rows]
+    before = np.cumsum(counts) - counts
+    return np.repeat(first - before, counts) + np.arange(int(counts.sum())), np.repeat(text_of, counts)
 
 
 class Ftrl:
@@ -106,9 +150,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, epochs: i
     """Non-zero places, their weights, and the bias."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache()
-        for part, texts in text_slices(batches):
-            places = pa.array([f.tobytes() for f in features(texts, cache)], pa.binary())
+        table = WordTable()
+        for part, texts in text_slices(batches, limit=1 << 20):
+            text, place = table.features(texts)
+            ends = np.searchsorted(text, np.arange(1, len(texts)))
+            places = pa.array([x.tobytes() for x in np.split(place.astype("<i4"), ends)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), places], names=["doc_id", "toxic", "places"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, epochs: i
         model = Ftrl()
         for _ in range(epochs):
             for _, label, places in rows:
-                model.learn(np.frombuffer(places, np.int32), label)
+                model.learn(np.frombuffer(places, "<i4"), label)
         w = model.weights(np.arange(len(model.z)))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["place", "weight"])
@@ -139,9 +185,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: tu
         places, weights, bias = spread.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[places] = weights
-        cache = word_cache()
-        for part, texts in text_slices(batches, text_col, 2 << 20):
-            sums = np.array([bias + dense[f].sum(dtype=np.float64) for f in features(texts, cache)])
+        table = WordTable(dense)
+        for part, texts in text_slices(batches, text_col, 1 << 20):
+            text, place = table.features(texts)
+            sums = bias + np.bincount(text, dense[place], len(texts))
             scores = pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))), pa.float64())
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), scores], names=[*keep, out])
 
