@@ -13,10 +13,14 @@ of their identifier, and holds languages x pieces floats, which bounds what is
 broadcast.  Every document is scored on its whole text.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0.  Words
-longer than ``WORD_PART`` letters are scored in stretches of that length.  Letters
+of any length are summed over all their segmentations: short ones of one length
+together, longer ones from stretch to stretch, carrying the probabilities of the last
+letters.  Only learning cuts words longer than ``SHORT`` letters.  Letters
 outside the vocabulary get a floor probability, the same in all languages.  Ties
 go to the alphabetically first language.  With no training document every text is
-``und``.  Repeated rows get equal results; an empty table gives an empty one.
+``und``.  Repeated rows get equal results; an empty table gives an empty one.  Other
+input columns are dropped unless named in ``keep``, where their names must not be
+those of ``out``.
 """
 
 from __future__ import annotations
@@ -33,18 +37,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicforms.llm.bpe import SUFFIX, _types, byte_alphabet
-from civicforms.llm.chunks import lower_chunks
+from civicforms.llm.chunks import lower_chunks, numbered
 from civicforms.llm.common import id_hash, read, text_slices
 
 SAMPLE_DOCS = 20_000
 ROUNDS = 3
-PIECE_LETTERS = 10
-WORD_PART = 24
+#: Words of more letters are scored one by one, STRETCH letters at a time.
+SHORT, STRETCH = 32, 1 << 14
 FLOOR = 1e-8
 TABLE_BITS = 20
-CACHE_ENTRIES = 400_000
-#: Chunks, and words of one length, that are scored together: bounds on memory, not on texts.
-CHUNKS_AT_ONCE, WORDS_AT_ONCE = 100_000, 50_000
+#: Bytes of scores that are kept from text to text, chunks that are scored together, and numbers held for words of
+#: one length: bounds on memory, not on texts.
+CACHE_BYTES, CHUNKS_AT_ONCE, CELLS = 24 << 20, 50_000, 1 << 20
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -63,9 +67,11 @@ class Pieces:
                 text = bytes(byte_of[c] for c in token.removesuffix(SUFFIX)).decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            if len(text) <= PIECE_LETTERS and _LETTERS.fullmatch(text):
+            if _LETTERS.fullmatch(text):
                 texts.add(text)
         self.texts = sorted(texts)
+        self.longest = max(map(len, self.texts), default=1)
+        self.powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
         keys = np.array([self._key(t) for t in self.texts], np.uint64)
         # Two hash tables without chains: what finds its place taken in the first goes to the second.
         order = np.arange(len(keys))
@@ -101,19 +107,30 @@ class Pieces:
     def __len__(self) -> int:
         return len(self.texts)
 
-    def substrings(self, words: list[str]) -> tuple[np.ndarray, dict[tuple[int, int], np.ndarray]]:
-        """For words of one length: the piece number of each substring, or -1."""
+    def prefixes(self, words: list[str]) -> np.ndarray:
+        """For words of one length: the key of the first i letters of each, in row i."""
         n = len(words[0])
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
         prefix = np.zeros((n + 1, len(words)), np.uint64)
         for i in range(n):
             prefix[i + 1] = prefix[i] * _BASE + points[:, i]
-        powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(PIECE_LETTERS + 1)], np.uint64)
-        found = {}
-        for end in range(1, n + 1):
-            for size in range(1, min(end, PIECE_LETTERS) + 1):
-                found[end - size, end] = self.find(prefix[end] - prefix[end - size] * powers[size])
-        return n, found
+        return prefix
+
+    def between(self, prefix: np.ndarray, start: int, end: int) -> np.ndarray:
+        """The piece number of the letters from ``start`` to ``end`` of each word, or -1."""
+        return self.find(prefix[end] - prefix[start] * self.powers[end - start])
+
+    def ending_at(self, word: str, start: int) -> np.ndarray:
+        """For STRETCH letters of a word: the numbers of the pieces that end there, by size, or -1."""
+        low = max(0, start - self.longest + 1)
+        points = np.frombuffer(word[low : start + STRETCH].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        out = np.full((len(points), self.longest), -1, np.int32)
+        keys = points.copy()
+        out[:, 0] = self.find(keys)
+        for size in range(2, min(len(points), self.longest) + 1):
+            keys = keys[1:] + points[: len(points) - size + 1] * self.powers[size - 1]
+            out[size - 1 :, size - 1] = self.find(keys)
+        return out[start - low :]
 
 
 @lru_cache(maxsize=1)
@@ -121,23 +138,6 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _forward(n: int, found: dict, probs: np.ndarray, count: int) -> tuple[list[np.ndarray], dict]:
-    """alpha[i]: probability of the first i letters, per word and language.  ``probs`` has a last row for unknown pieces."""
-    alpha = [np.ones((count, probs.shape[1]))]
-    steps = {}
-    for end in range(1, n + 1):
-        total = np.zeros((count, probs.shape[1]))
-        for size in range(1, min(end, PIECE_LETTERS) + 1):
-            ids = found[end - size, end]
-            if size > 1 and not (ids >= 0).any():
-                continue
-            step = probs[ids] if size == 1 else np.where(ids[:, None] >= 0, probs[ids], 0.0)
-            steps[end - size, end] = step
-            total += alpha[end - size] * step
-        alpha.append(total)
-    return alpha, steps
-
-
 def _by_length(words: list[str]) -> dict[int, list[int]]:
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
@@ -145,14 +145,50 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
     return groups
 
 
+def _slices(members: list[int], cells_each: int) -> Iterator[list[int]]:
+    """Members in slices that hold about CELLS numbers together."""
+    step = max(1, CELLS // max(1, cells_each))
+    for start in range(0, len(members), step):
+        yield members[start : start + step]
+
+
+def _long_score(table: Pieces, probs: np.ndarray, word: str) -> np.ndarray:
+    """As ``word_scores`` for one word of any length: only the last alphas are carried on, scaled to the newest."""
+    before = np.zeros((table.longest, probs.shape[1]))
+    before[0] = 1.0
+    logs = np.zeros(probs.shape[1])
+    for start in range(0, len(word), STRETCH):
+        for ids in table.ending_at(word, start):
+            sizes = np.flatnonzero(ids >= 0)
+            if len(sizes) and sizes[0] == 0:
+                alpha = (before[sizes] * probs[ids[sizes]]).sum(axis=0)
+            else:
+                alpha = before[0] * probs[-1] + (before[sizes] * probs[ids[sizes]]).sum(axis=0)
+            before = np.vstack([np.ones((1, len(alpha))), before[:-1] / alpha])
+            logs += np.log(alpha)
+    return logs
+
+
 def word_scores(table: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarray:
     """log P(word | language), summed over all segmentations: one row a word."""
     out = np.zeros((len(words), probs.shape[1]))
-    for same_length in _by_length(words).values():
-        for start in range(0, len(same_length), WORDS_AT_ONCE):
-            members = same_length[start : start + WORDS_AT_ONCE]
-            n, found = table.substrings([words[k] for k in members])
-            alpha, _ = _forward(n, found, probs, len(members))
+    for n, same_length in _by_length(words).items():
+        if n > SHORT:
+            for k in same_length:
+                out[k] = _long_score(table, probs, words[k])
+            continue
+        for members in _slices(same_length, n * probs.shape[1]):
+            prefix = table.prefixes([words[k] for k in members])
+            alpha = [np.ones((len(members), probs.shape[1]))]
+            for end in range(1, n + 1):
+                # The last row of ``probs`` is for letters that are no piece.
+                total = alpha[end - 1] * probs[table.between(prefix, end - 1, end)]
+                for size in range(2, min(end, table.longest) + 1):
+                    ids = table.between(prefix, end - size, end)
+                    hit = np.flatnonzero(ids >= 0)
+                    if len(hit):
+                        total[hit] += alpha[end - size][hit] * probs[ids[hit]]
+                alpha.append(total)
             out[members] = np.log(alpha[n])
     return out
 
@@ -160,24 +196,24 @@ def word_scores(table: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarra
 class ChunkScores:
     """Scores of chunks of text, kept from document to document; grows with the distinct chunks of one slice of texts."""
 
-    def __init__(self, table: Pieces, probs: np.ndarray, limit: int = CACHE_ENTRIES) -> None:
-        self.table, self.probs, self.limit = table, probs, limit
+    def __init__(self, table: Pieces, probs: np.ndarray, limit: int = CACHE_BYTES) -> None:
+        # A chunk's text and place in the table take about as much as 16 scores.
+        self.table, self.probs, self.limit = table, probs, limit // (8 * (probs.shape[1] + 16))
+        self.clear()
+
+    def clear(self) -> None:
         self.place: dict[str, int] = {}
         # Row 0 stands for chunks without a letter.
-        self.scores, self.used = np.zeros((1 << 16, probs.shape[1])), 1
+        self.scores, self.used = np.zeros((1 << 12, self.probs.shape[1])), 1
 
-    def ensure(self, wanted: set[str]) -> None:
-        if len(self.place) > self.limit:
-            self.place.clear()
-            self.scores, self.used = np.zeros((1 << 16, self.probs.shape[1])), 1
-        new = list(wanted - self.place.keys())
+    def _add(self, new: list[str]) -> None:
         if self.used + len(new) > len(self.scores):
             more = max(len(self.scores), self.used + len(new) - len(self.scores))
             self.scores = np.concatenate([self.scores, np.zeros((more, self.probs.shape[1]))])
         for start in range(0, len(new), CHUNKS_AT_ONCE):
-            self._add(new[start : start + CHUNKS_AT_ONCE])
+            self._add_some(new[start : start + CHUNKS_AT_ONCE])
 
-    def _add(self, new: list[str]) -> None:
+    def _add_some(self, new: list[str]) -> None:
         words = [letter_words(c) for c in new]
         distinct = list({w for ws in words for w in ws})
         langs = self.probs.shape[1]
@@ -188,40 +224,54 @@ class ChunkScores:
                 self.scores[self.used] = score[ws[0]] if len(ws) == 1 else sum(score[w] for w in ws)
                 self.used += 1
 
-    def of(self, chunks: list[str]) -> np.ndarray | None:
-        """The summed scores of the chunks of a text; nothing if no chunk has a letter."""
-        rows = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        return self.scores[rows].sum(axis=0) if rows.any() else None
+    def of(self, texts: list[str]) -> Iterator[np.ndarray | None]:
+        """The summed scores of the chunks of each text; nothing where no chunk has a letter."""
+        if len(self.place) > self.limit:
+            self.clear()
+        rows, sizes = numbered(self.place, [lower_chunks(t) for t in texts], self._add)
+        ends = np.cumsum(sizes).tolist()
+        for start, end in zip([0, *ends[:-1]], ends, strict=True):
+            own = rows[start:end]
+            yield self.scores[own].sum(axis=0) if own.any() else None
 
 
 def expected_counts(table: Pieces, probs: np.ndarray, words: list[str], lang: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language, given word counts of one language each."""
     total = np.zeros((len(table), probs.shape[1]))
-    for members in _by_length(words).values():
-        rows = np.array(members)
-        own, weight = lang[rows], counts[rows]
-        n, found = table.substrings([words[k] for k in members])
-        alpha, steps = _forward(n, found, probs, len(rows))
-        beta = [np.zeros((len(rows), probs.shape[1])) for _ in range(n)] + [np.ones((len(rows), probs.shape[1]))]
-        for start in range(n - 1, -1, -1):
-            for size in range(1, min(n - start, PIECE_LETTERS) + 1):
-                if (start, start + size) in steps:
-                    beta[start] += steps[start, start + size] * beta[start + size]
-        pick = np.arange(len(rows)), own
-        for (start, end), step in steps.items():
-            ids = found[start, end]
-            use = alpha[start][pick] * step[pick] * beta[end][pick] / alpha[n][pick] * weight
-            known = ids >= 0
-            np.add.at(total, (ids[known], own[known]), use[known])
+    for n, same_length in _by_length(words).items():
+        for members in _slices(same_length, n * table.longest):
+            rows = np.array(members)
+            own, weight = lang[rows], counts[rows]
+            prefix = table.prefixes([words[k] for k in members])
+            alpha, beta, steps = [np.ones(len(rows))], [np.zeros(len(rows)) for _ in range(n)] + [np.ones(len(rows))], {}
+            for end in range(1, n + 1):
+                alpha.append(np.zeros(len(rows)))
+                for size in range(1, min(end, table.longest) + 1):
+                    ids = table.between(prefix, end - size, end)
+                    hit = np.arange(len(rows)) if size == 1 else np.flatnonzero(ids >= 0)
+                    if len(hit):
+                        step = probs[ids[hit], own[hit]]
+                        steps[end - size, end] = hit, ids[hit], step
+                        alpha[end][hit] += alpha[end - size][hit] * step
+            for (start, end), (hit, _, step) in sorted(steps.items(), reverse=True):
+                beta[start][hit] += step * beta[end][hit]
+            for (start, end), (hit, ids, step) in steps.items():
+                use = alpha[start][hit] * step * beta[end][hit] / alpha[n][hit] * weight[hit]
+                known = ids >= 0
+                np.add.at(total, (ids[known], own[hit][known]), use[known])
     return total
 
 
 def letter_words(text: str) -> list[str]:
-    """Lower-case runs of letters, long ones in stretches of WORD_PART letters."""
-    found = _LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) <= WORD_PART:
-        return found
-    return [w[k : k + WORD_PART] for w in found for k in range(0, len(w), WORD_PART)]
+    """Lower-case runs of letters."""
+    return _LETTERS.findall(text.lower())
+
+
+def _in_parts(words: list[str]) -> list[str]:
+    """For learning: long words in stretches of SHORT letters."""
+    if max(map(len, words), default=0) <= SHORT:
+        return words
+    return [w[k : k + SHORT] for w in words for k in range(0, len(w), SHORT)]
 
 
 def training_words(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
@@ -235,7 +285,7 @@ def training_words(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
         seen: dict[str, Counter] = {}
         for part, texts in text_slices(batches):
             for lang, text in zip(part.column("lang").to_pylist(), texts, strict=True):
-                seen.setdefault(lang, Counter()).update(letter_words(text))
+                seen.setdefault(lang, Counter()).update(_in_parts(letter_words(text)))
             if sum(map(len, seen.values())) > 200_000:
                 yield counts(seen)
                 seen.clear()
@@ -303,12 +353,9 @@ def predict(docs: DataFrame, model: Model, path: str, keep: tuple[str, ...] = ("
         langs, prior, probs = spread.value
         cache = ChunkScores(pieces(path), probs)
 
-        for part, texts in text_slices(batches, text_col, 2 << 20):
-            chunked = [lower_chunks(t) for t in texts]
-            cache.ensure(set().union(*chunked))
+        for part, texts in text_slices(batches, text_col, 1 << 20):
             names, scores = [], []
-            for chunks in chunked:
-                total = cache.of(chunks)
+            for total in cache.of(texts):
                 if total is None:
                     names.append(UNKNOWN)
                     scores.append(0.0)
