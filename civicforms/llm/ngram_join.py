@@ -1,18 +1,21 @@
 """Similarity join on word n-grams: adaptive multi-match prefixes, exact verification.
 
 A document is the set of its distinct word n-grams, as 64-bit hashes.  All sets are
-sorted by one global order, rare n-grams first; document frequencies cover
-the whole corpus and are exact up to 255, where they are clipped.  Two sets that meet the threshold share at
+sorted by one global order, rare n-grams first; document frequencies are exact and
+cover the whole corpus.  Two sets that meet the threshold share at
 least ``l`` n-grams within their prefixes of length ``n - ceil(t n) + l``.  Each
 document picks the ``l`` with the least estimated cost, so one whose prefix holds
 frequent n-grams gets a longer prefix, and a pair is verified only if it shares
 the smaller of its two ``l`` within the prefixes.
 
-Equal sets are joined once, as one node.  Links matter for components, so pairs are
-not listed: rounds of *stars* first verify, for each prefix n-gram, one member of
-every component against one of the largest, which joins big groups of near copies
-with few comparisons.  Only pairs that still lie in different components are then
-compared exhaustively, so no link between components is lost.
+Equal sets (by 64-bit digest) are joined once, as one node.  Links matter for
+components, so pairs are not listed: rounds of *stars* verify, for each prefix
+n-gram, one member of every component against one of the largest, as long as that
+finds more than a few links; this joins big groups of near copies with few
+comparisons.  Only pairs that still lie in different components are then compared
+exhaustively, so no link between components is lost.  Those pairs meet by n-gram and
+are let through by size, by place, and by a parity sketch of the two sets: bits that
+differ can't outnumber the n-grams that differ, so it never refuses a link.
 
 Edge cases: a null or blank text has the empty set, links with nothing and is its
 own component.  A text with fewer words than n is one n-gram of all its words.
@@ -32,7 +35,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from civicforms.llm.common import SPACES, Workspace, read, shuffle_width, text_or_empty, text_slices
 from civicforms.llm.components import connected
@@ -41,7 +43,9 @@ from civicforms.llm.lm_score import cuts, deal
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Cost of one prefix row that meets another, and of one verification.
 MEET_COST, VERIFY_COST, MOST_MATCHES = 1.0, 8.0, 4
-STAR_ROUNDS = 2
+#: Rounds of stars at most, and the share of sets that a round must have linked for another one.
+STAR_ROUNDS, STAR_YIELD = 6, 0.01
+SKETCH_WORDS = 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,6 +99,13 @@ def _set_id(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of n-grams that fall on each bit."""
+    bits = 64 * SKETCH_WORDS
+    places = ((grams * _MULT) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 class _Group:
     """A group's documents, their sets, and the distinct n-grams of its distinct sets in order of hash."""
 
@@ -131,12 +142,12 @@ def _send(n: int, buckets: int):
 
 
 def _add_up(key: tuple, table: pa.Table) -> pa.Table:
-    """Document frequency of each n-gram that a group asked for, in the order asked, at most 255."""
+    """Document frequency of each n-gram that a group asked for, in the order asked."""
     rows = table.sort_by("group").to_pylist()
     grams = [np.frombuffer(r["grams"], np.uint64) for r in rows]
     counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), "<u4") for r in rows])
     _, place = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.minimum(np.bincount(place, counts), 255).astype(np.uint8)[place]
+    totals = np.bincount(place, counts).astype("<u4")[place]
     ends = np.cumsum([len(g) for g in grams])
     answers = [zlib.compress(totals[e - len(g) : e].tobytes(), 1) for e, g in zip(ends, grams, strict=True)]
     return pa.table({"group": pa.array([r["group"] for r in rows], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "totals": pa.array(answers, pa.binary())})
@@ -151,7 +162,7 @@ def _sign(n: int):
     def run(key: tuple, texts: pa.Table, totals: pa.Table) -> pa.Table:
         group = _Group(texts.column("payload").to_pylist(), n)
         answers = [zlib.decompress(r["totals"]) for r in totals.sort_by("bucket").to_pylist()]
-        frequency = np.frombuffer(b"".join(answers), np.uint8)[group.place] if len(group.place) else np.zeros(0, np.uint8)
+        frequency = np.frombuffer(b"".join(answers), "<u4")[group.place]
         found, at = {}, 0
         for k in group.first:
             size = len(group.sets[k])
@@ -172,7 +183,7 @@ def text_key() -> Column:
 def signatures(docs: DataFrame, space: Workspace, n: int = WORDS) -> DataFrame:
     """doc_id, text_key, n_shingles, set_id, matches, prefix.  Equal sets of one group have the prefix once.
 
-    Frequencies are exact up to 255: groups of documents send their distinct n-grams to buckets by hash, and get the totals back in the same order.
+    Groups of documents send their distinct n-grams to buckets by hash, and get the totals back in the same order.
     """
     width = shuffle_width(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
@@ -185,25 +196,25 @@ def signatures(docs: DataFrame, space: Workspace, n: int = WORDS) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """set_id, matches, prefix (n-grams) and grams of documents (text, expected set_id, matches, prefix) whose set is as expected."""
+    """set_id, matches, prefix (n-grams), grams and sketch of documents (text, expected set_id, matches, prefix) whose set is as expected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHashes()
         for part, texts in text_slices(batches):
             grams = [shingles(t, words, n) for t in texts]
             right = pa.array([_set_id(g) == e for g, e in zip(grams, part.column("expected").to_pylist(), strict=True)])
-            columns = [part.column("expected"), part.column("matches"), part.column("prefix"), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["set_id", "matches", "prefix", "grams"]).filter(right)
+            columns = [part.column("expected"), part.column("matches"), part.column("prefix"), *(pa.array(x, pa.list_(pa.int64())) for x in ([g.view(np.int64) for g in grams], [sketch(g) for g in grams]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_id", "matches", "prefix", "grams", "sketch"]).filter(right)
 
-    return docs.select("text", "expected", "matches", "prefix").mapInArrow(run, "set_id long, matches int, prefix array<long>, grams array<long>")
+    return docs.select("text", "expected", "matches", "prefix").mapInArrow(run, "set_id long, matches int, prefix array<long>, grams array<long>, sketch array<long>")
 
 
 def _candidates(signed: DataFrame) -> DataFrame:
     """(token, place, set_id, n_shingles, matches) of prefix n-grams that at least two different sets hold."""
     rows = signed.where(F.size("prefix") > 0).select("set_id", "n_shingles", "matches", F.inline("prefix"))
-    of_token = Window.partitionBy("token")
-    rows = rows.withColumns({"least": F.min("set_id").over(of_token), "most": F.max("set_id").over(of_token)})
-    return rows.where("least <> most").drop("least", "most").dropDuplicates(["token", "set_id"])
+    # Grouped first, then joined: the sets of a frequent n-gram are never gathered in one task.
+    shared = rows.groupBy("token").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least <> most")
+    return rows.join(shared.select("token"), "token", "left_semi").dropDuplicates(["token", "set_id"])
 
 
 def _could_link(na: Column, ia: Column, nb: Column, ib: Column) -> Column:
@@ -237,13 +248,20 @@ def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("m.set_id", "o.set_id").alias("a"), F.greatest("m.set_id", "o.set_id").alias("b")).distinct()
 
 
-def _remaining_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs in different components that share enough prefix n-grams and could meet the threshold by size and place."""
+def _few_differ(a: Column, b: Column, na: Column, nb: Column) -> Column:
+    """Whether the sketches leave it possible that two sets meet the threshold."""
+    differ = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, SKETCH_WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    return (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (na + nb)
+
+
+def _remaining_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs in different components that share enough prefix n-grams and could meet the threshold by size, place and sketch."""
     open_tokens = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rows = rows.join(open_tokens, "token", "left_semi")
-    side = lambda x: rows.select(F.col("token").alias(f"t{x}"), *[F.col(c).alias(f"{k}{x}") for c, k in (("set_id", "s"), ("label", "l"), ("n_shingles", "n"), ("matches", "m"), ("place", "i"))])
+    rows = rows.join(open_tokens, "token", "left_semi").join(sets.select("set_id", "sketch"), "set_id")
+    side = lambda x: rows.select(F.col("token").alias(f"t{x}"), *[F.col(c).alias(f"{k}{x}") for c, k in (("set_id", "s"), ("label", "l"), ("n_shingles", "n"), ("matches", "m"), ("place", "i"), ("sketch", "p"))])
     apart = (F.col("sa") < F.col("sb")) & (F.col("la") != F.col("lb"))
-    met = side("a").join(side("b"), (F.col("ta") == F.col("tb")) & apart & _could_link(*[F.col(c) for c in ("na", "ia", "nb", "ib")]))
+    possible = _could_link(*[F.col(c) for c in ("na", "ia", "nb", "ib")]) & _few_differ(*[F.col(c) for c in ("pa", "pb", "na", "nb")])
+    met = side("a").join(side("b"), (F.col("ta") == F.col("tb")) & apart & possible)
     shared = met.groupBy(F.col("sa").alias("a"), F.col("sb").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("ma", "mb")).alias("need"))
     return shared.where("shared >= need").select("a", "b")
 
@@ -280,13 +298,18 @@ def _placed(docs: DataFrame, n: int, star_rounds: int) -> DataFrame:
     space.release()
 
     labels = space.write(nodes.withColumn("label", F.col("set_id")), "labels")
-    for turn in range(star_rounds + 1):
+    enough, turn, stars = STAR_YIELD * labels.count(), 0, star_rounds > 0
+    while True:
         labelled = rows.join(labels, "set_id")
-        pairs = _star_pairs(labelled, turn) if turn < star_rounds else _remaining_pairs(labelled)
+        pairs = _star_pairs(labelled, turn) if stars else _remaining_pairs(labelled, sets)
         edges = space.write(_verified(pairs, sets), f"edges-{turn}")
         labels = _relabel(labels, edges, space, f"turn-{turn}")
+        linked, turn = edges.count(), turn + 1
         del labelled, pairs, edges
         space.release()
+        if not stars:
+            break
+        stars = turn < star_rounds and linked > enough
     space.drop("sets")
 
     return members.join(labels, "set_id", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("label", "set_id").alias("label"))

@@ -109,9 +109,21 @@ def test_elias_fano(steps):
     code = token_output.EliasFano.build(values)
     again, size = token_output.EliasFano.frombytes(memoryview(code.tobytes()), len(values), code.low_bits, int(values[-1]))
     assert size == len(code.tobytes())
+    # Two bits and the low bits a value, besides the select samples.
+    assert 8 * (len(code.low) + len(code.high)) <= len(values) * (2 + max(0, math.log2(max(1, values[-1]) / len(values)))) + len(values) + 24
     assert again.values().tolist() == values.tolist() == [again.select(i) for i in range(len(values))]
 
 
+def test_token_blocks_with_any_identifiers():
+    lowest, highest = -(1 << 63), (1 << 63) - 1
+    for numbers in ([None, None, lowest, -5, -5, 0, highest], [None], [7], [lowest, highest], list(range(-300, 300))):
+        parts = [np.arange(k % 5 + 1, dtype="<u2").tobytes() for k in range(len(numbers))]
+        block = token_output.Block(token_output.pack_block(numbers, parts, 2, 9))
+        assert [block.doc_id(k) for k in range(len(block))] == numbers
+        assert [block.tokens(k).tobytes() for k in range(len(block))] == parts
+        assert block.before == 9
+
+
 def test_exact_dedup(docs):
     con = duckdb.connect()
     con.register("documents", docs.toPandas())
@@ -193,14 +205,54 @@ def test_language_model_is_the_sum_over_segmentations():
         if not word:
             return 1.0
         out = 0.0
-        for k in range(1, min(len(word), langid.PIECE_LETTERS) + 1):
+        for k in range(1, len(word) + 1):
             p = probs[number[word[:k]], lang] if word[:k] in number else langid.FLOOR if k == 1 else 0.0
             out += p * total(word[k:], lang)
         return out
 
-    words = ["mere", "a", "zażółć", "thtion", "qqqq"]
+    words = ["mere", "a", "zażółć", "thtion", "qqqq", "internationally", "recommendations"]
     got = langid.word_scores(table, probs, words)
     assert np.allclose(got, [[math.log(total(w, k)) for k in range(2)] for w in words])
+    # Words of any length, across the border between the two ways and across stretches.
+    assert np.allclose(got, [langid._long_score(table, probs, w) for w in words])
+    long = "recommendationsinternationally" * 3
+    assert np.allclose(langid.word_scores(table, probs, [long, long[:32], long[:33]]), [slow(table, probs, number, w) for w in (long, long[:32], long[:33])])
+    huge = long * 300
+    assert np.allclose(langid.word_scores(table, probs, [huge])[0], slow(table, probs, number, huge))
+
+
+def slow(table, probs, number, word):
+    """The forward algorithm in logarithms, letter by letter, over every piece of the vocabulary."""
+    out, longest = [], max(map(len, number))
+    for lang in range(probs.shape[1]):
+        logs = [0.0]
+        for end in range(1, len(word) + 1):
+            ways = [logs[end - 1] + math.log(probs[number.get(word[end - 1], -1), lang])]
+            ways += [logs[k] + math.log(probs[number[word[k:end]], lang]) for k in range(max(0, end - longest), end - 1) if word[k:end] in number]
+            logs.append(max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways)))
+        out.append(logs[-1])
+    return out
+
+
+def test_piece_counts_are_posteriors_over_segmentations():
+    table = langid.pieces(WORD)
+    probs = np.vstack([np.random.default_rng(3).random((len(table), 2)) * 1e-3, np.full((1, 2), langid.FLOOR)])
+    number = {t: k for k, t in enumerate(table.texts)}
+    words, lang, counts = ["themere", "onto", "ß日x", "onto"], np.array([0, 1, 0, 0]), np.array([2.0, 3.0, 1.0, 5.0])
+
+    def cuts_of(word):
+        if not word:
+            return [[]]
+        return [[word[:k], *rest] for k in range(1, len(word) + 1) if k == 1 or word[:k] in number for rest in cuts_of(word[k:])]
+
+    want = np.zeros((len(table), 2))
+    for word, own, times in zip(words, lang, counts, strict=True):
+        ways = [(cut, math.prod(probs[number.get(p, -1), own] for p in cut)) for cut in cuts_of(word)]
+        for cut, chance in ways:
+            for piece in cut:
+                if piece in number:
+                    want[number[piece], own] += times * chance / sum(c for _, c in ways)
+    assert np.allclose(langid.expected_counts(table, probs, words, lang, counts), want)
 
 
 def test_language_id(spark):

@@ -1,5 +1,7 @@
 """Rows and texts that an earlier version lost or could not take."""
 
+import hashlib
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -109,5 +111,31 @@ def test_language_id_takes_any_number_of_words(spark):
     assert got[0]["lang_pred"] in model.langs
     cache = langid.ChunkScores(langid.pieces(WORD), model.probs, limit=10)
     for part in (words[:40], words[:70_000], words[20:60]):
-        cache.ensure(set(part))
-        assert np.allclose(cache.of(part), langid.word_scores(langid.pieces(WORD), model.probs, part).sum(axis=0))
+        assert np.allclose(next(cache.of([" ".join(part)])), langid.word_scores(langid.pieces(WORD), model.probs, part).sum(axis=0))
+
+
+def test_sketch_never_refuses_a_link():
+    draw = np.random.default_rng(5)
+    for size in (1, 7, 100, 3000):
+        a = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64))
+        for differ in (0, 1, size // 9, size):
+            b = np.unique(np.concatenate([a[differ:], draw.integers(0, 1 << 63, differ, dtype=np.uint64)]))
+            apart = int(np.bitwise_count((ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_runs_merge_in_rounds(spark, bits):
+    # More runs than two rounds of the widest merge can hold, hot and rare texts, missing and extreme identifiers.
+    rows = [(k if k % 7 else None, "hot text" if k % 3 else f"text {k % 40}" + " " * (k % 5)) for k in range(900)]
+    rows += [(-(1 << 63), "hot  text"), ((1 << 63) - 1, "hot  text"), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(300)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(bare(t), []).append((-len(t), i is None, i or 0))
+    got = exact_dedup.exact_groups(df, bits=bits).collect()
+    assert len(got) == len(rows)
+    want = {hashlib.sha256(t.encode()).hexdigest(): (None if min(g)[1] else min(g)[2], len(g)) for t, g in groups.items()}
+    assert {r["text_sha256"]: (r["keep_id"], r["group_size"]) for r in got} == want
+    for r in got:
+        assert r["kept"] == (r["doc_id"] == r["keep_id"]) or r["keep_id"] is None
