@@ -36,9 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicforms.llm.common import SPACES, Workspace, read, shuffle_width, text_or_empty, text_slices
+from civicforms.llm.common import SPACES, Workspace, cuts, read, shuffle_width, text_or_empty, text_slices
 from civicforms.llm.components import connected
-from civicforms.llm.lm_score import cuts, deal
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Cost of one prefix row that meets another, and of one verification.
@@ -49,6 +48,9 @@ SKETCH_WORDS = 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+_DOC = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
@@ -57,6 +59,37 @@ class _WordHashes(dict):
         return value
 
 
+def deal(docs: DataFrame, groups: int) -> DataFrame:
+    """(group, payload): compressed stretches of documents, dealt by a hash of the identifier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[pa.RecordBatch]] = [[] for _ in range(groups)]
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for group, parts in enumerate(waiting):
+                if parts:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, _DOC, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_table(pa.Table.from_batches(parts).combine_chunks())
+                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["group", "payload"])
+                    parts.clear()
+
+        for batch in batches:
+            to = batch.column("to").to_numpy()
+            plain = batch.select(["doc_id", "held_out", "text"])
+            for group in np.unique(to):
+                waiting[group].append(plain.filter(pa.array(to == group)).cast(_DOC) if hasattr(pa.RecordBatch, "cast") else plain.filter(pa.array(to == group)))
+            size += batch.nbytes
+            if size > 64 << 20:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    to = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")), F.lit("deal")), F.lit(groups)).cast("int")
+    return docs.select("doc_id", "held_out", "text", to.alias("to")).mapInArrow(run, "group int, payload binary")
+
+
 def shingles(text: str, words: _WordHashes, n: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams of a text.
 

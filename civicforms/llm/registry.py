@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_chat_format": chat.ORACLE,
+        "op8_lm_score": lm_score.ORACLE,
         "op9_ngram_join": ngram_join.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }

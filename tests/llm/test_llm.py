@@ -278,29 +278,58 @@ def test_toxicity(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
-def test_lm_score(docs, plain):
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in plain}
-    from civicforms.llm.common import id_hash
-
-    got = rows_of(lm_score.score(docs, id_hash() % 10 == 0, groups=3))
-    words = [(i, [*t.encode().lower().split(), None]) for i, t in plain]
-    uni, pair = Counter(), Counter()
+def brute_lm(rows, held):
+    """Scores by dictionaries and recursion over shorter and shorter histories."""
+    words = [(i, [*t.encode().lower().split(), None]) for i, t in rows]
+    counts = Counter()
     for i, w in words:
         if not held[i]:
-            uni.update(w)
-            pair.update(zip([0, *w[:-1]], w, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    p1 = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
-    want = []
+            line = ["<s>", *w]
+            for n in (1, 2, 3):
+                counts.update(tuple(line[k : k + n]) for k in range(n == 1, len(line) - n + 1))
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    counts["<s>",] = counts[None,]
+
+    def p(history, x):
+        if not history:
+            return (counts[x,] + 0.1) / (n + 0.1 * (v + 1))
+        c, keep = counts[history], (lm_score.KEEP_2, lm_score.KEEP_3)[len(history) - 1]
+        if c < (1, lm_score.LEAST_SEEN)[len(history) - 1]:
+            return p(history[1:], x)
+        b = 1 / (1 + keep * math.log1p(c))
+        return (1 - b) * counts[*history, x] / c + b * p(history[1:], x)
+
+    out = []
     for i, w in words:
-        score = 0.0
-        for h, x in zip([0, *w[:-1]], w, strict=True):
-            c = uni[None] if h == 0 else uni[h]
-            b = 1 / (1 + lm_score.KEEP * math.log1p(c)) if c else 1.0
-            score += math.log10((1 - b) * pair[h, x] / max(c, 1) + b * p1(x))
-        want.append((i, held[i], len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), score))
-    assert [g[:5] for g in got] == [w[:5] for w in sorted(want, key=str)]
-    assert np.allclose([g[5:] for g in got], [w[5:] for w in sorted(want, key=str)])
+        line = ["<s>", *w]
+        score = sum(math.log10(p(tuple(line[max(0, k - 2) : k]), line[k])) for k in range(1, len(line)))
+        out.append((i, held[i], len(w), sum(counts[x,] > 0 for x in w), n, sum(math.log10(p((), x)) for x in w), score))
+    return sorted(out, key=str)
+
+
+def test_lm_score(docs, plain):
+    from civicforms.llm.common import id_hash
+
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in plain}
+    for got, want in zip(rows_of(lm_score.score(docs, id_hash() % 10 == 0, buckets=3)), brute_lm(plain, held), strict=True):
+        assert got[:5] == want[:5]
+        assert np.allclose(got[5:], want[5:])
+
+
+def test_lm_backs_off_at_every_depth(spark, monkeypatch):
+    # Held out: known triple, known pair alone, known word alone, unknown word, a history seen once, a long text over many segments and stretches.
+    line = "the cat sat on the mat and the cat sat down"
+    rows = [(1, line), (2, line + " again"), (3, "once seen pair here"), (10, "the cat sat"), (11, "a mat and sat"), (12, "on down"), (13, "zebra the zebra"), (14, "once seen pair"), (15, None), (16, "")]
+    rows += [(20 + k, " ".join([line, "the cat", "dog"][(k * j) % 3] for j in range(400))) for k in range(6)]
+    monkeypatch.setattr(lm_score, "STRETCH_TOKENS", 500)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    held = {i: 10 <= i < 20 or i == 25 for i, _ in rows}
+    want = brute_lm([(i, t or "") for i, t in rows], held)
+    for got, w in zip(rows_of(lm_score.score(df, df["doc_id"].between(10, 19) | (df["doc_id"] == 25), buckets=5, segment=7)), want, strict=True):
+        assert got[:5] == w[:5]
+        assert np.allclose(got[5:], w[5:])
+    # Untrained: every word has the unknown share.
+    assert {round(r["score"], 9) + 0.0 for r in lm_score.score(df, df["doc_id"] > 0).collect()} == {0.0}
 
 
 def test_chat(spark):
