@@ -2,25 +2,28 @@
 
 Every window of ``WINDOW`` bytes has a Shannon entropy.  Entropies far from that
 of ordinary prose are rare, so windows are ranked by how far theirs is.  In each
-run of ``RUN`` neighbouring windows the rarest (leftmost of equals) gets a vote;
-windows with ``VOTES`` or more are the features.  Features are hashed into a chain
-of Bloom filters, a new one every ``PER_FILTER`` features.  Two chains are compared
+run of neighbouring windows the rarest (leftmost of equals) gets a vote; windows with
+votes from a quarter of a run's length are the features.  A run has the fewest
+windows, a power of two up to ``LONGEST_RUN``, that keep a text's runs apart within
+``MOST`` windows: one in a short text, where every window is a feature, twice as many
+whenever the text gets twice as long.  What stands out in long runs also stands out in
+shorter ones, so texts of different lengths share their rarest windows.  Features are
+hashed into a chain
+of Bloom filters, a new one about every ``PER_FILTER`` features.  Two chains are compared
 filter by filter: bits in common beyond those expected by chance, as a share of
 the most there could be, best match for each filter of the shorter chain.
 
 Counts in a sliding window change by one byte at each step, so entropies of whole
-buffers come from 63 shifted comparisons and one running sum, all in integers:
+buffers come from ``WINDOW`` - 1 shifted comparisons and one running sum, all in integers:
 the same text gives the same features wherever it lies.
 
 Edge cases: a null text counts as empty, and an empty text has no feature; two
-empty texts are alike (1), an empty and another are not (0).  Texts below BOTH
-bytes, where runs are few, are told by their small windows, or as a whole; from
-SHORT bytes on also by their features, which come first in the chain, so that texts
-on either side of a border share windows of one size.  All small windows count, or
-where they would not fit in one filter, those of every second, fourth or eighth hash.  Windows of nearly constant bytes are features only in
+empty texts are alike (1), an empty and another are not (0).  A text shorter than a
+window is one feature.  Windows of nearly constant bytes are features only in
 texts that have no others.  Equal identifiers are ordered by text.  Repeated rows
 follow each other.  A table of one row is its own next document; an empty table
-gives an empty result.  Other input columns are dropped.
+gives an empty result.  Null identifiers come first.  Other input columns, whatever
+their names, are dropped.
 """
 
 from __future__ import annotations
@@ -38,12 +41,10 @@ from pyspark.sql.window import Window
 
 from civicforms.llm.common import Workspace, read, shuffle_width, text_slices
 
-WINDOW, RUN, VOTES = 64, 64, 16
-#: Texts below BOTH bytes have few windows to choose from: windows of SMALL bytes count, about MOST_SMALL at most.  From SHORT bytes on the chosen ones count.
-SHORT, BOTH, SMALL, MOST_SMALL = 128, 512, 16, 120
-PER_FILTER, FILTER_BITS, HASHES = 160, 2048, 5
+WINDOW, MOST, LONGEST_RUN = 16, 64, 64
+PER_FILTER, FILTER_BITS, HASHES = 80, 1024, 5
 #: Entropy in bits of a window of ordinary prose, and below which a window says too little.
-TYPICAL, LEAST = 4.0, 1.0
+TYPICAL, LEAST = 3.1, 1.0
 BLOCK = 1 << 17
 
 # c log2 c in fixed point, and its steps: what one more equal byte adds.
@@ -52,7 +53,7 @@ _PART = np.rint(_COUNT * np.log2(np.maximum(_COUNT, 1)) * 65536).astype(np.int64
 _STEP = np.diff(_PART)
 _TYPICAL_SUM = round((np.log2(WINDOW) - TYPICAL) * WINDOW * 65536)
 _FLAT_SUM = round((np.log2(WINDOW) - LEAST) * WINDOW * 65536)
-_WORST = np.int64(1) << 40
+_FLAT_KEY = (1 << 20) + 1
 
 
 def window_sums(data: np.ndarray) -> np.ndarray:
@@ -74,13 +75,12 @@ def window_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _votes(keys: np.ndarray) -> np.ndarray:
-    """For each run of RUN keys the smallest."""
-    span, low = 1, keys
-    while span < RUN:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    return low
+def run_length(size: int) -> int:
+    """Windows to a run in a text of so many bytes."""
+    windows, run = size - WINDOW + 1, 1
+    while run < LONGEST_RUN and windows > MOST * run:
+        run *= 2
+    return run
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,30 +88,30 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum(sizes)
-    starts = ends - sizes
     hashes, owners = [], []
     if len(data) >= WINDOW:
         sums = window_sums(data)
         own = np.repeat(np.arange(len(texts)), sizes)[: len(sums)]
         place = np.arange(len(sums))
-        inside = (place + WINDOW <= ends[own]) & (sizes[own] >= SHORT)
+        left = ends[own] - place - WINDOW  # further windows of the same text
         # Rarest first: greatest distance from the typical entropy; flat windows last.
-        distance = np.abs(sums - _TYPICAL_SUM) >> 12
-        rank = np.where(sums < _FLAT_SUM, (1 << 20) - np.minimum(distance, 1 << 20), (1 << 20) + 1)
-        keys = np.where(inside, (rank << 32) | place, _WORST << 16)
-        chosen = []
-        if len(keys) >= RUN:
-            low = _votes(keys)
-            whole = inside[: len(low)] & (place[: len(low)] + RUN - 1 + WINDOW <= ends[own[: len(low)]])
-            votes = np.bincount(low[whole] & 0xFFFFFFFF, minlength=len(sums))
-            chosen.append(np.flatnonzero(votes >= VOTES))
-        # A text with fewer windows than a run, or none with enough votes, gives its rarest window.
-        has = np.zeros(len(texts), bool)
-        if chosen:
-            has[own[chosen[0]]] = True
-        for k in np.flatnonzero(~has & (sizes >= SHORT)):
-            chosen.append(starts[k] + np.array([keys[starts[k] : ends[k] - WINDOW + 1].argmin()]))
-        at = np.sort(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+        flat = sums >= _FLAT_SUM
+        keys = np.where(flat, _FLAT_KEY, (1 << 20) - np.minimum(np.abs(sums - _TYPICAL_SUM) >> 12, 1 << 20)) << 32 | place
+        runs = np.array([run_length(n) for n in sizes.tolist()])
+        run_of = runs[own]
+        votes, span, low = np.zeros(len(sums), np.int64), 1, keys
+        while True:
+            whole = np.flatnonzero((run_of[: len(low)] == span) & (left[: len(low)] >= span - 1))
+            if len(whole):
+                votes += np.bincount(low[whole] & 0xFFFFFFFF, minlength=len(sums)) >= max(1, span // 4)
+            if span == LONGEST_RUN or len(low) <= span or not (runs > span).any():
+                break
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        at = np.flatnonzero(votes)
+        others = np.zeros(len(texts), bool)
+        others[own[at[~flat[at]]]] = True
+        at = at[~flat[at] | ~others[own[at]]]
         words = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at].copy().view("<u8")
         h = np.full(len(at), 0x243F6A8885A308D3, np.uint64)
         for k in range(words.shape[1]):
@@ -119,18 +119,9 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint64(32)
         hashes.append(h)
         owners.append(own[at])
-    for k in np.flatnonzero((sizes > 0) & (sizes < BOTH)):
-        small = dict.fromkeys(texts[k][i : i + SMALL] for i in range(max(1, sizes[k] - SMALL + 1)))
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in small], np.uint64)
-        step = 1
-        while sizes[k] - SMALL + 1 > MOST_SMALL * step:
-            step *= 2
-        # By high bits, which take no part in the filters; a window kept in a longer text is kept in a shorter one.
-        h = h[(h >> np.uint64(58)) % np.uint64(step) == 0]
-        hashes.append(h)
-        owners.append(np.full(len(h), k))
-    if not owners:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    short = np.flatnonzero((sizes > 0) & (sizes < WINDOW))
+    hashes.append(np.array([xxhash.xxh3_64_intdigest(texts[k]) for k in short], np.uint64))
+    owners.append(short)
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return np.concatenate(hashes)[order], owner[order]
@@ -140,11 +131,12 @@ def fingerprints(texts: list[bytes]) -> list[bytes]:
     """Chained filters of each text, after the number of its features (u32)."""
     hashes, owner = features(texts)
     counts = np.bincount(owner, minlength=len(texts))
-    chains = -(-counts // PER_FILTER)
+    # What would fill less than half of a last filter goes to the one before it.
+    chains = np.where(counts > 0, np.maximum(1, (counts + PER_FILTER // 2) // PER_FILTER), 0)
     first_filter = np.cumsum(chains) - chains
     rank = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
     filters = np.zeros((int(chains.sum()), FILTER_BITS), np.uint8)
-    row = first_filter[owner] + rank // PER_FILTER
+    row = first_filter[owner] + np.minimum(rank // PER_FILTER, chains[owner] - 1)
     for k in range(HASHES):
         filters[row, (hashes >> np.uint64(11 * k)).astype(np.int64) & (FILTER_BITS - 1)] = 1
     packed = np.packbits(filters, axis=1, bitorder="little")
@@ -156,7 +148,7 @@ def _opened(digest: bytes) -> tuple[np.ndarray, np.ndarray]:
     filters = np.frombuffer(digest[4:], np.uint64).reshape(-1, FILTER_BITS // 64)
     sizes = np.full(len(filters), PER_FILTER)
     if len(filters):
-        sizes[-1] = count - PER_FILTER * (len(filters) - 1)
+        sizes[-1] = count - PER_FILTER * (len(filters) - 1)  # from a half to three halves of the others
     return filters, sizes
 
 

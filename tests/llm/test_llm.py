@@ -191,8 +191,8 @@ def test_fingerprints(docs, plain, spark):
 def test_window_entropy():
     data = np.random.default_rng(1).integers(97, 105, 500).astype(np.uint8)
     sums = fingerprints.window_sums(data) / 65536
-    for k in (0, 7, 436):
-        counts = Counter(data[k : k + 64].tolist())
+    for k in (0, 7, 436, 484):
+        counts = Counter(data[k : k + fingerprints.WINDOW].tolist())
         assert abs(sums[k] - sum(c * math.log2(c) for c in counts.values())) < 0.01
 
 
