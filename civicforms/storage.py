@@ -57,7 +57,11 @@ class Workspace:
         return self.spark.table(name)
 
     def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of phases whose results are written."""
+        """Let Spark's cleaner remove the shuffle files of phases whose results are written.
+
+        The session holds on to its latest plan, so a trivial one is run first.
+        """
+        self.spark.range(1).collect()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
