@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from civicforms.functions import rules
 from civicforms.functions.text import blank_to_null, fold, xml_escape
@@ -131,15 +132,28 @@ def procedure_tree(procedures: DataFrame) -> DataFrame:
 
 def _tree(df: DataFrame, node: Column, name: str, item: Column) -> DataFrame:
     groups = df.groupBy("county_bucket", node).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
-    # Totals come from the groups, a few rows a county, not from the rows again.
-    totals = groups.groupBy("county_bucket").agg(F.sum("n").alias("total"))
-    return groups.join(totals, "county_bucket").select(F.col("county_bucket").alias("county"), name, "n", "total", "items")
+    # Totals come from the groups, one row an organisation, not from the rows again.
+    return groups.select(F.col("county_bucket").alias("county"), name, "n", F.sum("n").over(Window.partitionBy("county_bucket")).alias("total"), "items")
+
+
+def _romanian(name: str, pinned: str, first: bool) -> list[Column]:
+    """Order by a name in Romanian, with one value pinned first or last."""
+    pin = F.when(F.col(name) == pinned, 0 if first else 1).otherwise(1 if first else 0)
+    return [pin, F.collate(name, "ro"), F.col(name)]
 
 
 def tree_order(tree: DataFrame, name: str, pinned: str, first: bool) -> DataFrame:
     """A tree in Romanian order with one county pinned first or last (O1, O2)."""
-    pin = F.when(F.col("county") == pinned, 0 if first else 1).otherwise(1 if first else 0)
-    return tree.orderBy(pin, F.collate("county", "ro"), F.collate(name, "ro"), "county", name)
+    return tree.orderBy(*_romanian("county", pinned, first), F.collate(name, "ro"), name)
+
+
+def tree_positions(tree: DataFrame, name: str, pinned: str, first: bool) -> DataFrame:
+    """The place of each county among the counties, and of each node within its county, in that order (O1, O2)."""
+    # Places of counties come from one row each; those of nodes are counted county by county.
+    counties = tree.select("county").distinct()
+    counties = counties.withColumn("county_place", F.row_number().over(Window.orderBy(*_romanian("county", pinned, first))))
+    placed = tree.join(F.broadcast(counties), "county")
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy("county").orderBy(F.collate(name, "ro"), name)))
 
 
 def tree_totals(df: DataFrame, name: str) -> DataFrame:
@@ -162,6 +176,12 @@ def present_counties(templates: DataFrame) -> DataFrame:
     return templates.select(F.col("county_bucket").alias("county")).distinct().withColumn("position", F.element_at(order, F.col("county"))).where("position IS NOT NULL")
 
 
+def public_counties(procedures: DataFrame) -> DataFrame:
+    """Every county bucket of the procedures with its place: nationwide first, then in Romanian order."""
+    found = procedures.select(F.col("county_bucket").alias("county")).distinct()
+    return found.withColumn("place", F.row_number().over(Window.orderBy(*_romanian("county", PROCEDURE_NATIONAL, True))))
+
+
 def fields_by_type(fields: DataFrame) -> DataFrame:
     """Fields of each type in each template, and how many are hidden."""
     return fields.groupBy("template_id", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if("hidden").alias("hidden"))

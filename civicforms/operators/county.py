@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +38,24 @@ def canonicalize_county(c: Column) -> Column:
     return F.element_at(_map([(_plain(x), x) for x in rules.COUNTIES]), fold(c))
 
 
+def _first_of(hay: Column, patterns: list[str], keys: list[str], values: list[str], key: Callable[[Column], Column] = lambda m: m) -> Column:
+    """The value of the first pattern in the list that occurs as words.
+
+    One search finds, at every place, the first pattern that matches there; looking
+    ahead lets matches overlap, so none is hidden by another.
+    """
+    first = {k: i for i, k in reversed(list(enumerate(keys)))}
+    rank = _map([(k, i) for k, i in first.items()])
+    found = F.regexp_extract_all(hay, F.lit(java_pattern(rf"\b(?=((?:{'|'.join(patterns)})\b))")), 1)
+    best = F.array_min(F.transform(found, lambda m: F.element_at(rank, key(m))))
+    return F.when(F.size(found) > 0, F.element_at(F.array(*[F.lit(v) for v in values]), best + 1))
+
+
 def derive_county_from_text(c: Column) -> Column:
     """The first county, in list order, that occurs as words in a text; dash and blank are one."""
-    hay = fold(c)
-    spelled = {x: re.sub(r"[-\s]+", r"[-\\s]+", _plain(x)) for x in rules.COUNTIES}
-    return F.coalesce(*[F.when(hay.rlike(java_pattern(rf"\b{w}\b")), F.lit(x)) for x, w in spelled.items()])
+    plain = [_plain(x) for x in rules.COUNTIES]
+    dashed = lambda m: F.regexp_replace(m, r"[-\s]+", "-")
+    return _first_of(fold(c), [re.sub(r"[-\s]+", r"[-\\s]+", x) for x in plain], [re.sub(r"[-\s]+", "-", x) for x in plain], list(rules.COUNTIES), dashed)
 
 
 def is_national(c: Column) -> Column:
@@ -57,11 +71,7 @@ def derive_county_from_org(org: Column, city: Column, skip_national: bool = Fals
     """The county of an institution: exact name, sector, city, nationwide pattern, longest place in its name."""
     plain, hay, places = _plain, fold(org), _by_length()
     by_city = F.coalesce(F.element_at(_map(rules.places()), city), F.element_at(_map([(plain(k), v) for k, v in reversed(places)]), fold(city)))
-    # One pattern tells which names hold any place at all; only those are searched place by place, the longest first.
-    words = [re.escape(plain(k)) for k, _ in places]
-    any_place = java_pattern(r"\b(?:" + "|".join(words) + r")\b")
-    by_place = [F.when(hay.rlike(java_pattern(rf"\b{w}\b")), F.lit(v)) for w, (_, v) in zip(words, places, strict=True)]
-    token = F.when(hay.rlike(any_place), F.coalesce(*by_place))
+    token = _first_of(hay, [re.escape(plain(k)) for k, _ in places], [plain(k) for k, _ in places], [v for _, v in places])
     steps = [
         F.element_at(_map([(plain(k), v) for k, v in rules.institutions()]), hay),
         F.when(org.rlike(java_pattern(SECTOR, False)), F.lit(CAPITAL)),

@@ -61,8 +61,8 @@ def unique_procedure_ids(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("procedure_id").isNotNull()).groupBy("procedure_id").agg(F.min("ordinal").alias("first_ordinal"))
 
 
-def pending_work(wanted: DataFrame, key: str, *done: DataFrame) -> DataFrame:
-    """Rows of which no finished set has the key."""
+def pending_work(wanted: DataFrame, key: str, *done: DataFrame, limit: int | None = None, order: str = "ordinal") -> DataFrame:
+    """Rows of which no finished set has the key (J6); with ``limit`` the first so many of the queue."""
     for table in done:
         wanted = wanted.join(table.select(key).distinct(), key, "left_anti")
-    return wanted
+    return wanted if limit is None else wanted.orderBy(order, key).limit(limit)

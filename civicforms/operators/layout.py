@@ -18,6 +18,8 @@ DEFAULT_PAGE_HEIGHT = 841.89
 
 # Thresholds of the detector, in points.
 LEADER_SIGNS, LEADER_SHARE = 4, 0.5
+#: Side of a cell of the grid that boxes meet in.
+CELL = 64
 BOX_LEAST, BOX_MOST, BOX_ASPECT = 5, 15, 2
 UNDERLINE_HEIGHT, UNDERLINE_WIDTH = 2, 30
 DIGIT_LEAST, DIGIT_MOST, DIGITS_IN_ROW, ROW_TOLERANCE = 8, 25, 13, 3
@@ -261,15 +263,16 @@ def nearest_label_px(fields: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def assign_field_names(fields: DataFrame) -> DataFrame:
-    """Names unique in a document: label as identifier, numbered from its second use; a clash takes page and place."""
+    """Names unique in a document: label as identifier, numbered from its second use; a clash takes the page, further ones their place too."""
     usable = F.coalesce(is_readable("label") & (F.length("label") >= 2), F.lit(False))
     base = F.when(usable, F.coalesce(F.nullif(to_field_name("label"), F.lit("")), F.lit("field"))).otherwise("field")
     order = ["page", "pos"]
     rows = fields.withColumn("base", base).withColumn("use", F.row_number().over(Window.partitionBy("doc_id", "base").orderBy(*order)))
     rows = rows.withColumn("name", F.when(F.col("use") > 1, F.concat_ws("_", "base", "use")).otherwise(F.col("base")))
     rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "name").orderBy(*order)))
-    clash = F.concat(F.col("name"), F.lit("_p"), F.col("page").cast("string"), F.lit("_"), F.col("pos").cast("string"))
-    return rows.withColumn("field_name", F.when(F.col("again") > 1, clash).otherwise(F.col("name"))).drop("base", "use", "name", "again")
+    clash = F.concat(F.col("name"), F.lit("_p"), F.col("page").cast("string"))
+    further = F.concat(clash, F.lit("_"), F.col("pos").cast("string"))
+    return rows.withColumn("field_name", F.when(F.col("again") > 2, further).when(F.col("again") == 2, clash).otherwise(F.col("name"))).drop("base", "use", "name", "again")
 
 
 def field_order(fields: DataFrame) -> DataFrame:
@@ -310,6 +313,13 @@ def needs_review(avg_confidence: Column, n_written: Column, n_detected: Column)
     return (avg_confidence < 0.75) | (n_detected == 0) | (n_written < 0.8 * n_detected)
 
 
+def _in_cells(boxes: DataFrame, box: str) -> DataFrame:
+    """Boxes once for each cell of the page's grid that they touch."""
+    cells = lambda at, size: F.sequence(F.floor(at / CELL), F.floor((at + F.greatest(size, F.lit(0.0))) / CELL))
+    wide = boxes.withColumn("cell_x", F.explode(cells(F.col(f"{box}.x"), F.col(f"{box}.w"))))
+    return wide.withColumn("cell_y", F.explode(cells(F.col(f"{box}.y"), F.col(f"{box}.h"))))
+
+
 def iou_pairs(truth: DataFrame, detected: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of true and detected boxes of a page that overlap enough."""
     box = lambda n: F.struct(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]).alias(n)
@@ -317,7 +327,10 @@ def iou_pairs(truth: DataFrame, detected: DataFrame, least: float = 0.5) -> Data
     b = detected.select(*PAGE, F.col("pos").alias("di"), box("b"))
     # Boxes that do not meet are dropped before the division.
     meet = (F.col("a.x") < F.col("b.x") + F.col("b.w")) & (F.col("b.x") < F.col("a.x") + F.col("a.w")) & (F.col("a.y") < F.col("b.y") + F.col("b.h")) & (F.col("b.y") < F.col("a.y") + F.col("a.h"))
-    return a.join(b, PAGE).where(meet).select(*PAGE, "gi", "di", iou(F.col("a"), F.col("b")).alias("iou")).where(F.col("iou") >= least)
+    # A pair counts in the one cell that holds the first corner of its overlap.
+    corner = lambda c: F.floor(F.greatest(f"a.{c}", f"b.{c}") / CELL) == F.col(f"cell_{c}")
+    pairs = _in_cells(a, "a").join(_in_cells(b, "b"), [*PAGE, "cell_x", "cell_y"]).where(meet & corner("x") & corner("y"))
+    return pairs.select(*PAGE, "gi", "di", iou(F.col("a"), F.col("b")).alias("iou")).where(F.col("iou") >= least)
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:

@@ -549,7 +549,13 @@ def page_title(spark, d):
     return view(spark, d, "v_templates").select("id", t.page_title(F.col("name"), F.col("organization"), "Forms").alias("title"), t.html_escape(F.concat(F.lit("<"), "organization", F.lit(">"))).alias("escaped"))
 
 
-@query()
+_ABOUT = """'Completați online formularul „' || name || '"' || CASE WHEN organization <> '' THEN ' emis de ' || organization ELSE '' END || CASE WHEN county <> '' THEN ' (' || county || ')' ELSE '' END
+  || '. Descărcați PDF-ul gata de imprimat sau de transmis prin canalele oficiale.'"""
+
+
+@query(f"""SELECT id, '{{"@context":"https://schema.org","@type":"DigitalDocument","name":"' || name || '","description":"' || replace({_ABOUT}, '"', '\\"') || '","inLanguage":"ro","isAccessibleForFree":true,"fileFormat":"application/pdf","url":"{SITE}/fill/'
+  || id || '"' || CASE WHEN organization <> '' THEN ',"publisher":{{"@type":"GovernmentOrganization","name":"' || organization || '"}}' ELSE '' END
+  || CASE WHEN county <> '' THEN ',"spatialCoverage":{{"@type":"AdministrativeArea","name":"' || county || '"}}' ELSE '' END || '}}' AS record FROM {{v_templates}}""")
 def json_ld(spark, d):
     return view(spark, d, "v_templates").select("id", t.json_ld(F.col("name"), F.col("organization"), F.col("county"), F.concat(F.lit(f"{SITE}/fill/"), "id")).alias("record"))
 
@@ -802,3 +808,130 @@ def no_title_no_docs(spark, d):
 @query("SELECT page_id, CASE WHEN contains(html, '<h1') THEN 'ok' ELSE 'empty' END AS status FROM pages")
 def empty_page_gate(spark, d):
     return html.empty_page_gate(view(spark, d, "pages"), "<h1").select("page_id", "status")
+
+
+# Order, places and single columns ---------------------------------------------------
+
+
+@query(f"""WITH {TEMPLATES}, g AS (SELECT DISTINCT county_bucket AS county, coalesce(nullif(organization, ''), 'Altele') AS organization FROM templates),
+  c AS (SELECT county, row_number() OVER (ORDER BY county = {_q(county.TEMPLATE_NATIONAL)}, county COLLATE ro, county)::INT AS county_place FROM (SELECT DISTINCT county FROM g))
+  SELECT county, organization, county_place, row_number() OVER (PARTITION BY county ORDER BY organization COLLATE ro, organization)::INT AS place FROM g JOIN c USING (county)""")
+def catalog_tree_order(spark, d):
+    placed = catalog.tree_positions(catalog.catalog_tree(_templates(spark, d)), "organization", county.TEMPLATE_NATIONAL, first=False)
+    return placed.select("county", "organization", "county_place", "place")
+
+
+@query(f"""WITH {PROCEDURES}, g AS (SELECT DISTINCT county_bucket AS county, institution FROM procedures),
+  c AS (SELECT county, row_number() OVER (ORDER BY county <> {_q(county.PROCEDURE_NATIONAL)}, county COLLATE ro, county)::INT AS county_place FROM (SELECT DISTINCT county FROM g))
+  SELECT county, institution, county_place, row_number() OVER (PARTITION BY county ORDER BY institution COLLATE ro, institution)::INT AS place FROM g JOIN c USING (county)""")
+def procedure_tree_order(spark, d):
+    placed = catalog.tree_positions(catalog.procedure_tree(_procedures(spark, d)), "institution", county.PROCEDURE_NATIONAL, first=True)
+    return placed.select("county", "institution", "county_place", "place")
+
+
+@query(f"""WITH {PROCEDURES}, g AS (SELECT DISTINCT county_bucket AS county FROM procedures)
+  SELECT county, row_number() OVER (ORDER BY county <> {_q(county.PROCEDURE_NATIONAL)}, county COLLATE ro, county)::INT AS place FROM g""")
+def public_counties(spark, d):
+    return catalog.public_counties(_procedures(spark, d))
+
+
+@query(f"""WITH {ENTRIES}, {PROGRESS} SELECT id FROM entries WHERE download_url IS NOT NULL AND id NOT IN (SELECT source_doc_id FROM progress WHERE source_doc_id IS NOT NULL)
+  ORDER BY ordinal, id LIMIT 25""")
+def pending_work_queue(spark, d):
+    done = linkage.with_progress_ids(view(spark, d, "v_progress")).select(F.col("source_doc_id").alias("id"))
+    return entries.pending_work(entries.filter_downloadable(_entries(spark, d)), "id", done, limit=25).select("id")
+
+
+@query(
+  """SELECT template_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY coalesce(o, 0), pos) AS shown
+  FROM (SELECT template_id, pos, hidden, CASE WHEN pos % 3 = 0 THEN NULL ELSE pos % 7 END AS o FROM {v_fields}) WHERE NOT hidden GROUP BY template_id"""
+)
+def visible_fields(spark, d):
+    fields = view(spark, d, "v_fields").select("template_id", F.struct("pos", F.when(F.col("pos") % 3 != 0, F.col("pos") % 7).alias("order"), "hidden").alias("f"))
+    nested = fields.groupBy("template_id").agg(F.array_sort(F.collect_list("f")).alias("fields"))
+    shown = nested.select("template_id", catalog.visible_fields(F.col("fields")).alias("shown")).where(F.size("shown") > 0)
+    return shown.select("template_id", F.array_join(F.transform("shown", lambda f: f["pos"].cast("string")), ",").alias("shown"))
+
+
+@query("""SELECT 'b' || l_suppkey % 40 AS bundle, 's' || l_partkey AS stem, l_orderkey * 10 + l_linenumber AS output, f.source
+  FROM lineitem LEFT JOIN (SELECT 'b' || p_size % 40 AS bundle, 's' || p_partkey AS stem, min('/src/' || p_brand || '/' || p_type || '.pdf') AS source FROM part GROUP BY 1, 2) f
+    ON f.bundle = 'b' || l_suppkey % 40 AND f.stem = 's' || l_partkey""")
+def locate_source(spark, d):
+    outputs = view(spark, d, "lineitem").select(F.concat(F.lit("b"), F.col("l_suppkey") % 40).alias("bundle"), F.concat(F.lit("s"), "l_partkey").alias("stem"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("output"))
+    files = view(spark, d, "part").select(F.concat(F.lit("b"), F.col("p_size") % 40).alias("bundle"), F.concat(F.lit("s"), "p_partkey").alias("stem"), F.concat(F.lit("/src/"), "p_brand", F.lit("/"), "p_type", F.lit(".pdf")).alias("path"))
+    return linkage.locate_source(outputs, files)
+
+
+@query("SELECT doc_id, page, pos, (row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) - 1)::INT AS \"order\" FROM {v_detected}")
+def field_order(spark, d):
+    return layout.field_order(view(spark, d, "v_detected")).select("doc_id", "page", "pos", "order")
+
+
+@query(r"""SELECT p_partkey, trim(replace(regexp_replace(stem, '_\d+$', ''), '_', ' ')) AS template_name,
+    CASE WHEN path <> '' AND len(string_split(path, '/')) >= 2 THEN string_split(path, '/')[-2] END AS organization,
+    regexp_replace(string_split(regexp_replace(phones, '[/,]', '|', 'g'), '|')[1], '\s', '', 'g') AS phone
+  FROM (SELECT p_partkey, replace(p_name, ' ', '_') || CASE p_partkey % 3 WHEN 0 THEN '_' || p_partkey WHEN 1 THEN '_x' || p_partkey ELSE '__' END AS stem,
+    CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'file.pdf' ELSE p_brand || '/' || p_type || '/f.pdf' END AS path,
+    '02' || p_partkey || ' 1 2' || CASE p_partkey % 3 WHEN 0 THEN ' / 031' WHEN 1 THEN ',0722 3' ELSE '' END AS phones FROM part)""")
+def names_of_files(spark, d):
+    key = F.col("p_partkey")
+    stem = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.when(key % 3 == 0, F.concat(F.lit("_"), key)).when(key % 3 == 1, F.concat(F.lit("_x"), key)).otherwise("__"))
+    path = F.when(key % 5 == 0, "").when(key % 5 == 1, "file.pdf").otherwise(F.concat("p_brand", F.lit("/"), "p_type", F.lit("/f.pdf")))
+    phones = F.concat(F.lit("02"), key, F.lit(" 1 2"), F.when(key % 3 == 0, " / 031").when(key % 3 == 1, ",0722 3").otherwise(""))
+    return view(spark, d, "part").select("p_partkey", t.template_name_from_stem(stem).alias("template_name"), t.organization_from_path(path).alias("organization"), t.phone_href(phones).alias("phone"))
+
+
+@query(f"""SELECT page_id, CASE WHEN href IS NULL OR href = '' THEN NULL WHEN regexp_matches(trim(href), '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN trim(href) WHEN trim(href) LIKE '//%' THEN 'https:' || trim(href)
+    WHEN trim(href) LIKE '/%' THEN '{SITE}' || trim(href) ELSE '{SITE}/' || trim(href) END AS target
+  FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '' WHEN 2 THEN ' /a/' || page_id || ' ' WHEN 3 THEN '//cdn.example/' || page_id WHEN 4 THEN 'mailto:x' || page_id || '@y.ro' ELSE 'rel/' || page_id END AS href FROM pages)""")
+def absolute_url(spark, d):
+    key = F.col("page_id")
+    href = F.when(key % 6 == 0, F.col("url")).when(key % 6 == 1, "").when(key % 6 == 2, F.concat(F.lit(" /a/"), key, F.lit(" "))).when(key % 6 == 3, F.concat(F.lit("//cdn.example/"), key))
+    href = href.when(key % 6 == 4, F.concat(F.lit("mailto:x"), key, F.lit("@y.ro"))).otherwise(F.concat(F.lit("rel/"), key))
+    return view(spark, d, "pages").select("page_id", t.absolute_url(href, SITE).alias("target"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN v = floor(v) + 0.5 THEN 2 * round(v / 2) ELSE floor(v + 0.5) END::INT AS px
+  FROM (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE * CASE l_linenumber % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.25 ELSE 2.75 END AS v FROM lineitem)""")
+def pt_to_px(spark, d):
+    line = F.col("l_linenumber") % 3
+    scale = F.when(line == 0, 0.5).when(line == 1, 1.25).otherwise(2.75)
+    return view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", layout.pt_to_px(F.col("l_quantity").cast("double"), scale).alias("px"))
+
+
+@query("""SELECT event_id, nullif(substr(trim(c), 1, 1000), '') AS comment FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN '  ' || props || ' ' WHEN 2 THEN repeat(props, 60) END AS c FROM events)""")
+def normalize_comment(spark, d):
+    k = F.col("event_id") % 4
+    comment = F.when(k == 0, "  ").when(k == 1, F.concat(F.lit("  "), "props", F.lit(" "))).when(k == 2, F.repeat("props", F.lit(60)))
+    return view(spark, d, "events").select("event_id", t.normalize_comment(comment).alias("comment"))
+
+
+@query("""SELECT event_id, CASE WHEN up < 0 OR down < 0 THEN 'negative' WHEN abs(up - 3) > 1 OR abs(down - 2) > 1 THEN 'step' END AS counter,
+    CASE WHEN length(trim(coalesce(title, ''))) NOT BETWEEN 1 AND 100 THEN 'title' WHEN length(about) > 1000 THEN 'description' END AS proposal
+  FROM (SELECT event_id, event_id % 7 - 1 AS up, event_id % 5 - 1 AS down, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN repeat('t', 101) ELSE repeat('t', 100) END AS title,
+    CASE event_id % 4 WHEN 0 THEN repeat('d', 1001) WHEN 1 THEN NULL ELSE repeat('d', 1000) END AS about FROM events)""")
+def refused_updates(spark, d):
+    k = F.col("event_id")
+    title = F.when(k % 6 == 0, F.lit(None).cast("string")).when(k % 6 == 1, " ").when(k % 6 == 2, "t" * 101).otherwise("t" * 100)
+    about = F.when(k % 4 == 0, "d" * 1001).when(k % 4 == 1, F.lit(None).cast("string")).otherwise("d" * 1000)
+    counter = votes.counter_problem(k % 7 - 1, k % 5 - 1, F.lit(3), F.lit(2))
+    return view(spark, d, "events").select("event_id", counter.alias("counter"), votes.proposal_problem(title, about).alias("proposal"))
+
+
+@query(f"WITH {LIVE} SELECT device_id, value, comment FROM live WHERE template_id = 7")
+def votes_for_template(spark, d):
+    return votes.votes_for_template(view(spark, d, "v_votes"), 7).select("device_id", "value", "comment")
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(least(0.55 + w / 80.0, 0.92), 6)::DOUBLE AS leader, round(least(0.7 + (w - 60) / 600.0, 0.95), 6)::DOUBLE AS underline, (length(l_returnflag) * w * 0.5)::DOUBLE AS width
+  FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity::DOUBLE AS w FROM lineitem)""")
+def line_confidence(spark, d):
+    w = F.col("l_quantity").cast("double")
+    columns = {"leader": F.round(layout.leader_confidence(w), 6), "underline": F.round(layout.underline_confidence(w), 6), "width": layout.estimated_width(F.col("l_returnflag"), w)}
+    return view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(k) for k, c in columns.items()])
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def iso_times(spark, d):
+    iso = t.to_iso_string(F.col("ts"))
+    return view(spark, d, "events").select("event_id", iso.alias("iso"), t.iso_date(iso).alias("day"))
