@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -278,6 +279,44 @@ def test_toxicity(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_toxicity_features_are_those_of_a_loop():
+    mask = (1 << 64) - 1
+    place = lambda h: (((h ^ (h >> 29)) * int(toxicity._PAIR)) & mask) >> (64 - toxicity.BITS)
+    texts = ["", "You are a b c", "you, you! you?", "don't--stop stopping 3rd", "ÎN Română și", LONG[:3000], "x" * 40]
+    weights = np.random.default_rng(7).integers(0, 2, 1 << toxicity.BITS).astype(np.float32)
+    for table, kept in ((toxicity.WordTable(), None), (toxicity.WordTable(weights), weights)):
+        text, found = table.features(texts + texts)
+        for k, t in enumerate(texts + texts):
+            words = [w for chunk in t.lower().split() for w in toxicity._WORD.findall(chunk)]
+            h = [xxhash.xxh3_64_intdigest(w) for w in words]
+            want = {place(x) for x in h} | {place(xxhash.xxh3_64_intdigest(w[:n], seed=1)) for w in words for n in toxicity.STEMS if len(w) > n}
+            want |= {place((a * int(toxicity._PAIR) + b) & mask) for a, b in zip(h, h[1:], strict=False)}
+            want |= {place((a * int(toxicity._SKIP) + b) & mask) for a, b in zip(h, h[2:], strict=False)}
+            assert found[text == k].tolist() == sorted(p for p in want if kept is None or kept[p])
+
+
+def test_ftrl_is_the_update_by_coordinates():
+    draw = np.random.default_rng(8)
+    model, z, n = toxicity.Ftrl(bits=5), [0.0] * 33, [0.0] * 33
+
+    def weight(i):
+        l1 = 0 if i == 32 else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(400):
+        places, label = np.unique(draw.integers(0, 32, draw.integers(0, 9))), int(draw.integers(0, 2))
+        model.learn(places, label)
+        own = [*places.tolist(), 32]
+        w = [weight(i) for i in own]
+        g = 1 / (1 + math.exp(-sum(w))) - label
+        for i, x in zip(own, w, strict=True):
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+            z[i] += g - sigma * x
+            n[i] += g * g
+    assert np.allclose(model.z, z)
+    assert np.allclose(model.weights(np.arange(33)), [weight(i) for i in range(33)])
+
+
 def brute_lm(rows, held):
     """Scores by dictionaries and recursion over shorter and shorter histories."""
     words = [(i, [*t.encode().lower().split(), None]) for i, t in rows]
@@ -356,6 +395,8 @@ def test_empty_tables(spark, docs):
     for df in (
         bpe.round_trip(none, WORD), packing.pack(none, BYTE, 1), token_output.read_blocks(token_output.write_blocks(none, WORD, 2, space)), exact_dedup.exact_groups(none),
         ngram_join.components(none), fingerprints.compare_with_edits(none, Workspace(spark, "empty")), lm_score.score(none, none["doc_id"] < 0),
+        langid.predict(none, langid.fit(none, WORD), WORD), toxicity.score(none, toxicity.fit(none, none.selectExpr("doc_id", "1 AS toxic"))),
+        exact_dedup.drop_exact_duplicates(none), ngram_join.keep_one(none), bpe.encode(none, WORD, keep=("doc_id", "text")),
         chat.read_back(chat.format_windows(none.selectExpr("doc_id AS conv_id", "doc_id AS turn", "text AS role", "text"))),
     ):
         assert df.count() == 0
@@ -387,3 +428,43 @@ def test_pipeline(spark, sf):
     assert all(i == c for i, _, c in brute_components([(r["doc_id"], r["text"]) for r in docs.collect()]))
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {p["doc_id"] for p in packed} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_pipeline_decisions_are_those_of_its_models(spark, sf, tmp_path):
+    """Each stage's rows against a loop over all of its own input, with odd rows added."""
+    import corpus_pipeline
+
+    odd = [(None, "Nur ein kurzer Satz über das Wetter und die Stadt."), (None, "A short sentence about the weather and the town."), (5_000_001, None), (5_000_002, " \n"), (5_000_003, "12 .. 3"), (5_000_004, "x" * 30)]
+    odd += [(5_000_005, "one text under a repeated identifier"), (5_000_005, "another text under a repeated identifier"), (5_000_005, "another  text under a repeated identifier")]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = spark.createDataFrame([(i, t, None, "odd", None) for i, t in odd], docs.schema)
+    docs = Workspace(spark, "decisions").write(docs.unionByName(more).selectExpr("*", "'x' AS lang_pred", "0.5 AS score"), "docs")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+    model = langid.fit(langid.trainable(docs), WORD)
+    table, words = langid.pieces(WORD), {}
+    want = []
+    for i, t in rows:
+        own = langid.letter_words((t or "").lower())
+        words.update((w, langid.word_scores(table, model.probs, [w])[0]) for w in own if w not in words)
+        if own:
+            total = np.log(model.prior) + sum(words[w] for w in own)
+            if 1 / np.exp(total - total.max()).sum() >= corpus_pipeline.LANGUAGE_POSTERIOR:
+                want.append((i, t))
+    left = corpus_pipeline.language_id_stage(spark, docs, sf)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(want, key=str)
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    places, weights, bias = toxicity.fit(docs, toxicity.trainable(labels))
+    weight = dict(zip(places.tolist(), weights.tolist(), strict=True))
+    want = []
+    for i, t in rows:
+        _, found = toxicity.WordTable().features([t or ""])
+        if 1 / (1 + math.exp(-bias - sum(weight.get(p, 0.0) for p in found.tolist()))) < toxicity.THRESHOLD:
+            want.append((i, t))
+    left = corpus_pipeline.toxicity_stage(spark, docs, sf)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(want, key=str)
+    none = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
