@@ -1,4 +1,13 @@
-"""The training-data pipeline: documents in, packed training sequences out."""
+"""The training-data pipeline: documents in, packed training sequences out.
+
+Every stage but the last returns whole rows of its input, with all their columns,
+whatever those are called (names that begin with two underscores are taken).  Null
+and blank texts have no language and go in the first stage; given to a later stage they
+are kept there, as one row by exact dedup.  Rows without an identifier, or that share
+one, are told apart by their text.  Of equal rows exact dedup keeps one.  Ties go to the
+smallest identifier.  Texts are read whole, whatever their length.  An empty table gives
+an empty one in every stage.
+"""
 
 from __future__ import annotations
 
