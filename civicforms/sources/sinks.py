@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicforms.operators.catalog import sitemap_lines
+from civicforms.operators.votes import proposal_problem
+
+#: The store takes this many bytes inline, and this many at most.
+INLINE_LIMIT, STORE_LIMIT = 900_000, 1_000_000
 
-STORE_LIMIT = 1_000_000
 
+def sink_slim_catalog(slim: DataFrame, path: str, generated_at: str | None = None) -> DataFrame:
+    """Write slim rows by name as gzip JSON lines (K1).
 
-def sink_slim_catalog(slim: DataFrame, path: str) -> DataFrame:
-    """Write slim rows by name as gzip JSON lines; returns metrics: rows, JSON bytes, and whether they pass the store's limit (K1)."""
+    Returns one row of metrics: rows, JSON bytes, gzip bytes as written, the form the store
+    takes (``inline`` up to INLINE_LIMIT bytes of JSON, else ``gzip``), whether the gzip form
+    passes the store's limit, and the time of generation.
+    """
+    spark = slim.sparkSession
     slim.orderBy(F.collate("name", "ro"), "id").write.mode("overwrite").json(path, compression="gzip")
+    written = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("gzip_bytes"))
     size = F.sum(F.octet_length(F.to_json(F.struct(*slim.columns))))
-    return slim.agg(F.count(F.lit(1)).alias("count"), F.coalesce(size, F.lit(0)).alias("json_bytes")).withColumn("over_limit", F.col("json_bytes") > STORE_LIMIT)
+    metrics = slim.agg(F.count(F.lit(1)).alias("count"), F.coalesce(size, F.lit(0)).alias("json_bytes"))
+    # Two tables of one row each.
+    both = metrics.withColumn("one", F.lit(1)).join(written.withColumn("one", F.lit(1)), "one").drop("one")
+    form = F.when(F.col("json_bytes") <= INLINE_LIMIT, "inline").otherwise("gzip")
+    generated = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return both.withColumns({"form": form, "over_limit": (form == "gzip") & (F.col("gzip_bytes") > STORE_LIMIT), "generated_at": generated})
 
 
 def sink_procedures_bundle(procedures: DataFrame, path: str) -> None:
@@ -48,10 +60,8 @@ def sink_routed(documents: DataFrame, path: str, threshold: float = 0.99) -> Non
     routed.write.mode("overwrite").partitionBy("status").parquet(path)
 
 
-def sink_proposals(proposals: DataFrame, path: str) -> None:
-    """Append accepted proposals with the time of writing (K7)."""
-    proposals.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def sink_proposals(proposals: DataFrame, path: str) -> DataFrame:
+    """Append proposals (title, description) that nothing speaks against, with the time of writing; returns the refused ones with the reason."""
+    judged = proposals.withColumn("reason", proposal_problem(F.col("title"), F.col("description")))
+    judged.where("reason IS NULL").drop("reason").withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)
+    return judged.where("reason IS NOT NULL")

@@ -18,10 +18,13 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share; a temporary one only where none is named and all run in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="spark-civicforms-"))
     return _fallback[0]
@@ -65,6 +68,18 @@ class Workspace:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def close(self) -> None:
+        """Remove all tables, when no result that reads them is wanted any more."""
+        for table in list(self.names):
+            self.drop(table)
+        self._remove(self.root)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def drop(self, table: str) -> None:
         if table in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(table)}")
