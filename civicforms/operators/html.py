@@ -6,6 +6,7 @@ after it is Spark expressions over the nested result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -37,6 +38,8 @@ TABLES = {
     "laws": ("proc-viz-legi", ("nr", "name", "href")),
 }
 _FLAGS, _LINK = {"required", "e_signature"}, "href"
+#: Pages whose parsed rows are held as Python objects at a time.
+PAGES_AT_ONCE = 64
 
 
 class _Node:
@@ -54,40 +57,53 @@ class _Node:
     def first(self, tag: str, cls: str = "") -> _Node | None:
         return next((n for n in self.walk() if (not tag or n.tag == tag) and (not cls or cls in n.classes)), None)
 
+    def pieces(self, breaks: bool = False) -> Iterator[str]:
+        """Text in its order; with ``breaks`` also a line feed for each break and at the end of each block."""
+        stack: list[_Node | str] = [self]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, str):
+                yield node
+            elif breaks and node.tag == "br":
+                yield "\n"
+            else:
+                if breaks and node.tag in ("p", "div"):
+                    stack.append("\n")
+                stack += reversed(node.children)
+
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(self.pieces())
 
     def lines(self) -> str:
         """Text with breaks and block ends as line feeds, without empty lines."""
-
-        def raw(n: _Node) -> str:
-            inner = "".join(c if isinstance(c, str) else raw(c) for c in n.children)
-            return "\n" if n.tag == "br" else inner + "\n" if n.tag in ("p", "div") else inner
-
-        cleaned = (" ".join(line.split()) for line in raw(self).replace("\xa0", " ").split("\n"))
+        cleaned = (" ".join(line.split()) for line in "".join(self.pieces(breaks=True)).replace("\xa0", " ").split("\n"))
         return "\n".join(line for line in cleaned if line)
 
 
 class _Tree(HTMLParser):
+    """The nodes of a page, nested to any depth."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = _Node("", {})
         self.open = [self.root]
+        self.open_tags: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         node = _Node(tag, dict(attrs))
         self.open[-1].children.append(node)
-        if tag not in _VOID and len(self.open) < 200:
+        if tag not in _VOID:
             self.open.append(node)
+            self.open_tags[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.open[-1].children.append(_Node(tag, dict(attrs)))
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        closed = None
+        while self.open_tags[tag] and closed != tag:
+            closed = self.open.pop().tag
+            self.open_tags[closed] -= 1
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
@@ -149,9 +165,10 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [parse_page(h or "") for h in batch.column("html").to_pylist()]
-            parsed = [pa.array([r[f.name] for r in rows], f.type) for f in list(arrow)[2:]]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *parsed], names=arrow.names)
+            for part in (batch.slice(k, PAGES_AT_ONCE) for k in range(0, batch.num_rows, PAGES_AT_ONCE)):
+                rows = [parse_page(h.as_py() or "") for h in part.column("html")]
+                parsed = [pa.array([r[f.name] for r in rows], f.type) for f in list(arrow)[2:]]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *parsed], names=arrow.names)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 

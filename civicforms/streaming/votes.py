@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -58,30 +58,22 @@ def run_vote_stream(votes: DataFrame, root: str) -> DataFrame:
 def incremental_ingest(source: DataFrame, root: str, key: str, problem: F.Column) -> tuple[DataFrame, DataFrame]:
     """Take in unseen files of a streamed source: good rows and dead letters with a reason.
 
-    The checkpoint remembers which files were read; rows whose key is in the sink already are left out.
+    The checkpoints remember which files were read, and as state which keys were taken in, so that the
+    rows written before are never read again; use the RocksDB state store for many keys.  Of rows with
+    one key the first taken in stays.
     """
-    spark = source.sparkSession
-    schema = source.schema
+    marked = source.withColumn("reason", problem)
+    good = marked.where("reason IS NULL").drop("reason").dropDuplicates([key])
+    return _take_in(good, f"{root}/rows"), _take_in(marked.where("reason IS NOT NULL"), f"{root}/dead")
+
+
+def _take_in(rows: DataFrame, path: str) -> DataFrame:
+    """Append what is there of a stream, each batch as one numbered part that replaces itself when repeated; all rows so far."""
 
     def write(batch: DataFrame, number: int) -> None:
-        marked = batch.withColumn("reason", problem)
-        marked.where("reason IS NOT NULL").write.mode("overwrite").parquet(f"{root}/dead/batch={number}")
-        idempotent_append(spark, marked.where("reason IS NULL").drop("reason"), f"{root}/rows", key, number)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = source.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    numbered = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
-    rows = spark.read.schema(numbered).parquet(f"{root}/rows").drop("batch")
-    return rows, spark.read.parquet(f"{root}/dead").drop("batch")
-
-
-def idempotent_append(spark: SparkSession, rows: DataFrame, path: str, key: str, number: int) -> None:
-    """Append rows with new keys as one numbered part; the same part again replaces itself."""
-    fresh = rows.dropDuplicates([key])
-    try:
-        known = spark.read.parquet(path).where(F.col("batch") != number).select(key)
-        fresh = fresh.join(known, key, "left_anti")
-    except Exception as problem:  # noqa: BLE001  no part is there yet
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
-    fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    numbered = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
+    return rows.sparkSession.read.schema(numbered).parquet(path).drop("batch")

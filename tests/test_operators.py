@@ -1,6 +1,7 @@
 """Order-dependent operators against plain loops, streams against batches, sources and sinks round trip."""
 
 import json
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -104,6 +105,78 @@ def test_procedure_page(spark):
     assert html.flatten(html.parse_procedures(pages, "https://h"), "documents").count() == 1
 
 
+def test_page_nested_to_any_depth():
+    deep = 5_000
+    page = "<div>" * deep + '<h1 class="page-title">in<b>ner</b></h1><p>x</p>' + "</i>" * deep + "</div>" * deep + '<div class="csslabelsmall">after</div><div class="csslabellarge">' + "<p>" * deep + "y<br>z</div>"
+    found = html.parse_page(page)
+    assert (found["title"], found["labels"], found["field_values"], found["paragraphs"]) == ("inner", ["after"], ["y\nz"], deep + 1)
+
+
+def test_running_counters_against_a_loop(spark):
+    rows = [(k % 7 % 3, k, f"2024-01-01 0{k * 7 % 5}:{k % 60:02d}:00", (k * k) % 3 - 1, (k * 5) % 3 - 1) for k in range(200)] + [(None, 900, None, 1, 0), (0, 901, None, 1, 1), (0, 902, None, -1, 1)]
+    df = spark.createDataFrame(rows, "template_id int, event_id int, t string, d_up int, d_down int").withColumn("ts", F.col("t").cast("timestamp"))
+    sums, wanted = {}, {}
+    for template, event, _, up, down in sorted(rows, key=lambda r: (r[2] or "", r[1])):
+        a, b = sums.get(template, (0, 0))
+        sums[template] = a + up, b + down
+        wanted[event] = max(a + up, 0), max(b + down, 0)
+    found = votes.running_counters(df)
+    assert found.columns == [*df.columns, "up", "down"]
+    assert {r["event_id"]: (r["up"], r["down"]) for r in found.collect()} == wanted
+
+
+def test_detection_metrics(spark, sf):
+    truth, found = view(spark, sf, "v_truth"), view(spark, sf, "v_detected")
+    matches = layout.greedy_match(layout.iou_pairs(truth, found)).persist()
+    count = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
+    n_true, n_found, hits = count(truth), count(found), count(matches)
+    rows = layout.detection_metrics(truth, found, matches).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(n_true | n_found)
+    for r in rows:
+        k = r["doc_id"]
+        assert (r["tp"], r["fp"], r["fn"]) == (hits[k], n_found[k] - hits[k], n_true[k] - hits[k])
+        precision, recall = hits[k] / max(n_found[k], 1), hits[k] / max(n_true[k], 1)
+        f1 = 2 * precision * recall / (precision + recall) if hits[k] else 0.0
+        assert all(abs(a - b) < 1e-12 for a, b in zip((r["precision"], r["recall"], r["f1"]), (precision, recall, f1), strict=True))
+
+
+def test_dedupe_near(spark):
+    rows = [(k % 3, k % 2, k, ("text", "checkbox")[k % 5 == 0], float(k * 37 % 60), float(k * 53 % 40), (k * 17 % 10) / 10) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, pos int, type string, x double, y double, confidence double")
+    wanted = []
+    for page, boxes in by_page(df.collect()).items():
+        kept = []
+        for b in sorted(boxes, key=lambda r: r["pos"]):
+            at = next((i for i, k in enumerate(kept) if k["type"] == b["type"] and abs(k["x"] - b["x"]) < 10 and abs(k["y"] - b["y"]) < 10), None)
+            if at is None:
+                kept.append(b)
+            elif b["confidence"] > kept[at]["confidence"]:
+                kept[at] = b
+        wanted += [(*page, k["pos"]) for k in kept]
+    assert sorted((r["doc_id"], r["page"], r["pos"]) for r in layout.dedupe_near(df).collect()) == sorted(wanted)
+
+
+def test_nearest_label_px(spark):
+    fields = [(k % 2, 0, k, 100 + k * 41 % 300, k * 29 % 200, 60, 12) for k in range(40)]
+    texts = [(k % 2, 0, 100 + k, ("Nume", "....", "Adresa mea", "12")[k % 4], k * 67 % 380, k * 31 % 210, 30 + k % 40, 10) for k in range(60)]
+    shape = "doc_id int, page int, pos int, {}x int, y int, w int, h int"
+    df, labels = spark.createDataFrame(fields, shape.format("")), spark.createDataFrame(texts, shape.format("text string, "))
+    readable = {r["text"] for r in labels.where(~t.is_placeholder_ocr("text") & t.is_readable_ocr("text")).collect()}
+    wanted = {}
+    for d, _, pos, x, y, w, h in fields:
+        left, above = [], []
+        for e, _, place, text, lx, ly, lw, lh in texts:
+            if e == d and text in readable:
+                gap, up = x - (lx + lw), y - (ly + lh)
+                if abs((ly + lh / 2) - (y + h / 2)) <= 22 and -20 <= gap <= 600:
+                    left.append((gap, place, text))
+                if 0 <= up <= 70 and lx + lw >= x - 30 and lx <= x + w + 30:
+                    above.append((up, place, text))
+        wanted[pos] = min(left or above, default=(0, 0, None))[2]
+    assert {r["pos"]: r["label"] for r in layout.nearest_label_px(df, labels).collect()} == wanted
+    assert len(set(wanted.values())) > 1
+
+
 def test_sources_and_sinks(spark, sf, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"entries": [{"id": "1"}, {"id": "2"}]}))
     (tmp_path / "n.json").write_text(json.dumps([{"id": "3"}]))
