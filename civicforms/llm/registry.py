@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicforms.llm import bpe, chat, exact_dedup, fingerprints, langid, lm_score, ngram_join, packing, token_output, toxicity
+from civicforms.llm import (
+    ball_codes, bpe, chat, exact_dedup, filter_audit, fingerprints, langid, license_scan, lm_score, ngram_join, packing, token_output, toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_license_scan": license_scan.op12_license_scan,
+        "op13_ball_codes": ball_codes.op13_ball_codes,
     }
 
 
@@ -30,4 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_lm_score": lm_score.ORACLE,
         "op9_ngram_join": ngram_join.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+        "op12_license_scan": license_scan.ORACLE,
+        "op13_ball_codes": ball_codes.ORACLE,
     }
