@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 LONGEST_COMMENT, LONGEST_TITLE = 1000, 100
@@ -28,6 +32,50 @@ def counter_problem(up: Column, down: Column, old_up: Column, old_down: Column)
     return F.when((up < 0) | (down < 0), "negative").when((F.abs(up - old_up) > 1) | (F.abs(down - old_down) > 1), "step")
 
 
+def accepts(up: int | None, down: int | None, old_up: int, old_down: int) -> str | None:
+    """Why a counter write is refused, None if it is accepted: for one write, where each depends on the one accepted before."""
+    if up is None or down is None:
+        return "type"
+    if up < 0 or down < 0:
+        return "negative"
+    return "step" if abs(up - old_up) > 1 or abs(down - old_down) > 1 else None
+
+
+def decide_counter_writes(writes: DataFrame) -> DataFrame:
+    """Writes of counters (template_id, event_id, ts, up, down) with the reason of a refusal, null if accepted.
+
+    A refused write leaves the counters as they were, so each decision needs the one before.  The log
+    of a template is therefore decided in order, with its last accepted counters as the only thing kept;
+    templates are decided in parallel and no log is gathered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        template, old = None, (0, 0)
+        for batch in batches:
+            reasons = []
+            for t, up, down in zip(*(batch.column(c).to_pylist() for c in ("__template", "up", "down")), strict=True):
+                if t != template:
+                    template, old = t, (0, 0)
+                reason = accepts(up, down, *old)
+                if reason is None:
+                    old = up, down
+                reasons.append(reason)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(reasons, pa.string())], names=[*names, "reason"])
+
+    rows = writes.select("template_id", "event_id", "ts", F.col("up").cast("long").alias("up"), F.col("down").cast("long").alias("down"))
+    names = rows.columns
+    # Null templates are one template, kept apart from all others.
+    keyed = rows.withColumn("__template", F.coalesce(F.concat(F.lit("t"), F.col("template_id").cast("string")), F.lit("")))
+    ordered = keyed.repartition("__template").sortWithinPartitions("__template", "ts", "event_id")
+    return ordered.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("reason", T.StringType())]))
+
+
+def accepted_counters(decided: DataFrame) -> DataFrame:
+    """The counters of each template after its last accepted write, and how many writes were refused."""
+    last = F.max_by(F.struct("up", "down"), F.when(F.col("reason").isNull(), F.struct("ts", "event_id")))
+    return decided.groupBy("template_id").agg(last.alias("last"), F.count("reason").alias("refused")).select("template_id", F.coalesce("last.up", F.lit(0)).alias("up"), F.coalesce("last.down", F.lit(0)).alias("down"), "refused")
+
+
 def proposal_problem(title: Column, description: Column) -> Column:
     """Why a proposal is refused."""
     length = F.length(F.trim(F.coalesce(title, F.lit(""))))

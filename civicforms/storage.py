@@ -30,6 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[0]
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path as it takes it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def made(spark: SparkSession, path: str) -> str:
+    """The path, a folder from now on, so that it can be read before anything was written to it."""
+    system, target = file_system(spark, path)
+    system.mkdirs(target)
+    return path
+
+
 class Workspace:
     """Written intermediate tables of one query.
 
@@ -87,8 +100,7 @@ class Workspace:
 
     def _remove(self, path: str) -> None:
         try:
-            context = self.spark.sparkContext
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+            system, target = file_system(self.spark, path)
+            system.delete(target, True)
         except Exception:  # noqa: BLE001  the session may have ended already; a leftover folder is harmless
             pass

@@ -1,79 +1,127 @@
-"""Votes as a stream, and incremental ingestion."""
+"""Votes and counter writes as streams, and incremental ingestion."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from civicforms.operators.votes import valid_votes
+from civicforms.operators.votes import accepts, valid_votes
+from civicforms.streaming.state import ARRIVED, arriving, read_parts, run_to_parts
 
-DELTA = "template_id long, d_up long, d_down long, last_ts timestamp"
-STATE = "value int, ts timestamp, event_id long"
+#: A vote without a time is older than all others.
+NO_TIME = -(1 << 55)
+DELTA = "template_id long, d_up long, d_down long, events long, last_micros long"
 
 
-def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-    """The change that a device's newest vote makes to its template's counters."""
-    value, ts, event_id = state.get if state.exists else (0, None, -1)
-    before = value
-    for frame in frames:
-        for row in frame.itertuples():
-            if ts is None or (row.ts, row.event_id) > (ts, event_id):
-                value, ts, event_id = int(row.value), row.ts, int(row.event_id)
-    state.update((value, ts, event_id))
-    change = lambda sign: int(value == sign) - int(before == sign)
-    yield pd.DataFrame({"template_id": [key[0]], "d_up": [change(1)], "d_down": [change(-1)], "last_ts": [ts]})
+class VoteState(StatefulProcessor):
+    """A device's vote on a template, and for a while the events that were counted.
 
+    The vote is kept for good, because it can be changed at any time.  Identifiers of
+    events are kept as long as a delivery may be repeated; then a timer removes them.
+    """
 
-def vote_deltas(votes: DataFrame) -> DataFrame:
+    def __init__(self, repeat: int) -> None:
+        self.repeat = repeat
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.vote = handle.getValueState("vote", "value int, micros long, event_id long")
+        self.seen = handle.getMapState("seen", "event_id long", "until long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        value, micros, event_id = tuple(self.vote.get()) if self.vote.exists() else (0, None, -1)
+        before, fresh, until = value, 0, 0
+        for row in rows:
+            if self.seen.containsKey((row["event_id"],)):
+                continue
+            until = int(row[ARRIVED].timestamp() * 1000) + self.repeat
+            self.seen.updateValue((row["event_id"],), (until,))
+            fresh += 1
+            if micros is None or (row["micros"], row["event_id"]) > (micros, event_id):
+                value, micros, event_id = row["value"], row["micros"], row["event_id"]
+        if fresh:
+            self.handle.registerTimer(until)
+            self.vote.update((value, micros, event_id))
+            change = lambda sign: int(value == sign) - int(before == sign)
+            yield Row(template_id=key[0], d_up=change(1), d_down=change(-1), events=fresh, last_micros=micros)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for event in [k for k, v in self.seen.iterator() if v[0] <= now]:
+            self.seen.removeKey(event)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def vote_deltas(votes: DataFrame, repeat: float = 86_400.0) -> DataFrame:
     """Counter changes of a stream of votes.
 
-    One small state per (template, device) is kept for good, because a vote can be
-    changed at any time; use the RocksDB state store for many of them.  Rows within
-    a batch may come in any order, and a vote older than the known one is ignored.
+    There is one small state for each (template, device).  Rows may come in any order: a vote older
+    than the known one changes nothing.  An event delivered again within ``repeat`` seconds counts once
+    in ``events``; what is remembered for that is dropped afterwards, as time goes on with later arrivals.
     """
-    keyed = valid_votes(votes).select("template_id", "device_id", "value", "ts", "event_id")
-    return keyed.groupBy("template_id", "device_id").applyInPandasWithState(_follow, DELTA, STATE, "update", GroupStateTimeout.NoTimeout)
+    keyed = arriving(valid_votes(votes).select("template_id", "device_id", "value", F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME)).alias("micros"), "event_id"))
+    return keyed.groupBy("template_id", "device_id").transformWithState(VoteState(round(repeat * 1000)), DELTA, "Update", "EventTime")
 
 
-def run_vote_stream(votes: DataFrame, root: str) -> DataFrame:
+def run_vote_stream(votes: DataFrame, root: str, repeat: float = 86_400.0) -> DataFrame:
     """Consume what is there of a vote stream and return the counters so far; run again to go on.
 
     Deltas are written by batch number, so a batch that is repeated after a failure replaces itself.
     """
+    run_to_parts(vote_deltas(votes, repeat), f"{root}/deltas")
+    deltas = read_parts(votes.sparkSession, T.StructType.fromDDL(DELTA), f"{root}/deltas")
+    total = lambda c, name: F.sum(c).alias(name)
+    return deltas.groupBy("template_id").agg(total("d_up", "up"), total("d_down", "down"), total("events", "events"), F.timestamp_micros(F.nullif(F.max("last_micros"), F.lit(NO_TIME))).alias("last_vote_at"))
+
+
+DECISION = "template_id long, event_id long, up long, down long, reason string"
+
+
+class CounterState(StatefulProcessor):
+    """The counters of a template as the last accepted write left them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counters = handle.getValueState("counters", "up long, down long")
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/deltas/batch={number}")
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        old = tuple(self.counters.get()) if self.counters.exists() else (0, 0)
+        # The writes of one batch are decided in the order in which they were made.
+        for row in sorted(rows, key=lambda r: (r["ts"], r["event_id"])):
+            reason = accepts(row["up"], row["down"], *old)
+            if reason is None:
+                old = row["up"], row["down"]
+            yield Row(template_id=key[0], event_id=row["event_id"], up=row["up"], down=row["down"], reason=reason)
+        self.counters.update(old)
 
-    query = vote_deltas(votes).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    deltas = votes.sparkSession.read.schema(DELTA + ", batch int").parquet(f"{root}/deltas")
-    return deltas.groupBy("template_id").agg(F.sum("d_up").alias("up"), F.sum("d_down").alias("down"), F.max("last_ts").alias("last_vote_at"))
+    def close(self) -> None:
+        pass
+
+
+def run_counter_stream(writes: DataFrame, root: str) -> DataFrame:
+    """Decide on a stream of counter writes (template_id, event_id, ts, up, down); returns all writes so far, with the reason of a refusal."""
+    keyed = writes.select("template_id", "event_id", "ts", "up", "down")
+    run_to_parts(keyed.groupBy("template_id").transformWithState(CounterState(), DECISION, "Update", "None"), f"{root}/decisions")
+    return read_parts(writes.sparkSession, T.StructType.fromDDL(DECISION), f"{root}/decisions").drop("batch")
 
 
 def incremental_ingest(source: DataFrame, root: str, key: str, problem: F.Column) -> tuple[DataFrame, DataFrame]:
     """Take in unseen files of a streamed source: good rows and dead letters with a reason.
 
     The checkpoints remember which files were read, and as state which keys were taken in, so that the
-    rows written before are never read again; use the RocksDB state store for many keys.  Of rows with
-    one key the first taken in stays.
+    rows written before are never read again.  Of rows with one key the first taken in stays.  To try
+    failed rows again, see ``retry``.
     """
     marked = source.withColumn("reason", problem)
-    good = marked.where("reason IS NULL").drop("reason").dropDuplicates([key])
-    return _take_in(good, f"{root}/rows"), _take_in(marked.where("reason IS NOT NULL"), f"{root}/dead")
-
-
-def _take_in(rows: DataFrame, path: str) -> DataFrame:
-    """Append what is there of a stream, each batch as one numbered part that replaces itself when repeated; all rows so far."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    numbered = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
-    return rows.sparkSession.read.schema(numbered).parquet(path).drop("batch")
+    parts = {"rows": marked.where("reason IS NULL").drop("reason").dropDuplicates([key]), "dead": marked.where("reason IS NOT NULL")}
+    for name, rows in parts.items():
+        run_to_parts(rows, f"{root}/{name}", mode="append")
+    good, dead = (read_parts(source.sparkSession, rows.schema, f"{root}/{name}").drop("batch") for name, rows in parts.items())
+    return good, dead
