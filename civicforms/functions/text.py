@@ -89,19 +89,6 @@ def normalize_url(c: Column | str) -> Column:
     return F.when(decoded.isNull() | decoded.contains("�"), plain).otherwise(decoded)
 
 
-def absolute_url(c: Column | str, base: str) -> Column:
-    """Link targets made absolute against a site address; null for an empty one."""
-    href, host = F.trim(col(c)), base.rstrip("/")
-    scheme = host.split("://")[0]
-    return (
-        F.when(col(c).isNull() | (col(c) == ""), F.lit(None).cast("string"))
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.lit(scheme + ":"), href))
-        .when(href.startswith("/"), F.concat(F.lit(host), href))
-        .otherwise(F.concat(F.lit(host + "/"), href))
-    )
-
-
 def html_to_lines(c: Column | str) -> Column:
     """Text of an HTML fragment: breaks and block ends as line feeds, blanks collapsed, empty lines dropped."""
     text = F.regexp_replace(col(c), r"(?i)<br\s*/?>|</(?:p|div)\s*>", "\n")

@@ -10,6 +10,7 @@ from civicforms.functions import rules
 from civicforms.functions.text import blank_to_null, fold, xml_escape
 from civicforms.operators.county import PROCEDURE_NATIONAL, TEMPLATE_NATIONAL
 from civicforms.operators.linkage import keep_by_order
+from civicforms.storage import Workspace
 
 NO_ORGANIZATION, NO_INSTITUTION, NO_GROUP = "Altele", "Necunoscut", "General"
 
@@ -121,17 +122,21 @@ def orphan_forms(documents: DataFrame, forms: DataFrame, templates: DataFrame) -
 
 
 def catalog_tree(templates: DataFrame) -> DataFrame:
-    """County and organisation, their templates by name, and totals; nationwide last (A4, O1, O2).  Needs ``county_bucket``."""
+    """County and organisation, their templates by name in Romanian order, and totals (A4, O1).  Needs ``county_bucket``.
+
+    All items of a node are one row; for nodes of any size see ``item_places``.
+    """
     return _tree(templates, F.coalesce(blank_to_null("organization"), F.lit(NO_ORGANIZATION)).alias("organization"), "organization", F.struct(F.coalesce("name", F.lit("")).alias("label"), "id"))
 
 
 def procedure_tree(procedures: DataFrame) -> DataFrame:
-    """County and institution, their procedures by title, and totals; nationwide first (A5).  Needs ``county_bucket``."""
+    """County and institution, their procedures by title in Romanian order, and totals (A5, O1).  Needs ``county_bucket``; as ``catalog_tree``."""
     return _tree(procedures, F.coalesce("institution", F.lit(NO_INSTITUTION)).alias("institution"), "institution", F.struct(F.coalesce("title", F.lit("")).alias("label"), F.col("procedure_id").alias("id")))
 
 
 def _tree(df: DataFrame, node: Column, name: str, item: Column) -> DataFrame:
-    groups = df.groupBy("county_bucket", node).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
+    groups = df.groupBy("county_bucket", node).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(F.collate(item["label"], "ro").alias("order"), item["label"].alias("label"), item["id"].alias("id")))).alias("items"))
+    groups = groups.withColumn("items", F.transform("items", lambda x: F.struct(x["label"], x["id"])))
     # Totals come from the groups, one row an organisation, not from the rows again.
     return groups.select(F.col("county_bucket").alias("county"), name, "n", F.sum("n").over(Window.partitionBy("county_bucket")).alias("total"), "items")
 
@@ -152,22 +157,45 @@ def tree_positions(tree: DataFrame, name: str, pinned: str, first: bool) -> Data
     # Places of counties come from one row each; those of nodes are counted county by county.
     counties = tree.select("county").distinct()
     counties = counties.withColumn("county_place", F.row_number().over(Window.orderBy(*_romanian("county", pinned, first))))
-    placed = tree.join(F.broadcast(counties), "county")
+    placed = tree.join(counties, "county")
     return placed.withColumn("place", F.row_number().over(Window.partitionBy("county").orderBy(F.collate(name, "ro"), name)))
 
 
+def item_places(df: DataFrame, node: Column, label: Column, item_id: Column) -> DataFrame:
+    """county, node, item and its place among the items of the node, by label in Romanian order and then by id (A4, A5, O1).
+
+    Works for nodes of any size: rows are dealt by ranges of the whole order, so that a large node lies in
+    many partitions.  An item's place is its place within its partition and what the node has in those before.
+    """
+    space = Workspace(df.sparkSession, "item-places")
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.select(F.col("county_bucket").alias("county"), node.alias("node"), F.coalesce(label, F.lit("")).alias("label"), item_id.alias("item"))
+    order = [F.collate("label", "ro"), F.col("label"), F.col("item")]
+    # Written, since the borders of ranges come from a sample and must stay what they are.
+    dealt = space.write(rows.repartitionByRange(width, "county", "node", *order).withColumn("slice", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy("county", "node", "slice").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("county", "node").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(c).alias(f"__{c}") for c in ("county", "node", "slice")], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = dealt.withColumn("place", F.row_number().over(Window.partitionBy("county", "node", "slice").orderBy(*order)))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("county", "node", "slice")]
+    return within.join(before, same).select("county", "node", "item", (F.col("before") + F.col("place")).alias("place"))
+
+
 def tree_totals(df: DataFrame, name: str) -> DataFrame:
     """Counts of each county and institution, each county, and all."""
     return df.rollup("county_bucket", name).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level"))
 
 
-def national_bucket_report(procedures: DataFrame, most: int = 30, samples: int = 3) -> DataFrame:
-    """Nationwide institutions with the most procedures: counts, documents, some titles (A7).  A top-k report."""
-    rows = procedures.where(F.col("county_bucket") == PROCEDURE_NATIONAL)
-    report = rows.groupBy(F.coalesce("institution", F.lit(NO_INSTITUTION)).alias("institution")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.size(F.coalesce("documents", F.array()))).alias("docs"), F.slice(F.array_sort(F.collect_set("title")), 1, samples).alias("titles")
-    )
-    return report.orderBy(F.desc("n"), "institution").limit(most)
+def national_bucket_report(procedures: DataFrame, most: int = 30, samples: int = 3, order: str = "procedure_id") -> DataFrame:
+    """Nationwide institutions with the most procedures: counts, documents, and the titles of the first ones by ``order`` (A7).  A top-k report."""
+    rows = procedures.where(F.col("county_bucket") == PROCEDURE_NATIONAL).withColumn("institution", F.coalesce(blank_to_null("institution"), F.lit("(no institution)")))
+    counts = rows.groupBy("institution").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.coalesce("documents", F.array()))).alias("docs"))
+    top = counts.orderBy(F.desc("n"), "institution").limit(most)
+    # A few rows an institution are kept before anything is gathered.
+    place = F.row_number().over(Window.partitionBy("institution").orderBy(order))
+    first = rows.select("institution", F.coalesce("title", F.lit("(no title)")).alias("title"), place.alias("place")).where(F.col("place") <= samples)
+    titles = first.groupBy("institution").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda x: x["title"]).alias("titles"))
+    return top.join(titles, "institution", "left")
 
 
 def present_counties(templates: DataFrame) -> DataFrame:

@@ -16,10 +16,11 @@ from civicforms.functions.text import clean_label, is_placeholder, is_placeholde
 PAGE = ["doc_id", "page"]
 DEFAULT_PAGE_HEIGHT = 841.89
 
-# Thresholds of the detector, in points.
+# Thresholds of the detector, in points, and the width of a label that has none.
+LABEL_WIDTH = 50
 LEADER_SIGNS, LEADER_SHARE = 4, 0.5
-#: Side of a cell of the grid that boxes meet in.
-CELL = 64
+#: Side of a cell of the grid that boxes meet in, and the most cells a side that a box is put in.
+CELL, CELLS = 64, 16
 BOX_LEAST, BOX_MOST, BOX_ASPECT = 5, 15, 2
 UNDERLINE_HEIGHT, UNDERLINE_WIDTH = 2, 30
 DIGIT_LEAST, DIGIT_MOST, DIGITS_IN_ROW, ROW_TOLERANCE = 8, 25, 13, 3
@@ -30,6 +31,11 @@ def px_to_pt(x: Column, y: Column, w: Column, h: Column, scale: Column, page_hei
     return {"x": x / scale, "y": F.coalesce(page_height, F.lit(DEFAULT_PAGE_HEIGHT)) - y / scale - h / scale, "w": w / scale, "h": h / scale}
 
 
+def pt_from_top(x: Column, y: Column, w: Column, h: Column, page_height: Column) -> dict[str, Column]:
+    """Points from the bottom left to points from the top left: the edge of a box that was its lower one is its upper one."""
+    return {"x": x, "y": F.coalesce(page_height, F.lit(DEFAULT_PAGE_HEIGHT)) - y - h, "w": w, "h": h}
+
+
 def pt_to_px(value: Column, scale: Column) -> Column:
     """Points to whole pixels, halves to even."""
     return F.bround(value * scale, 0).cast("int")
@@ -105,15 +111,22 @@ def widget_geometry(w: Column, h: Column, font: Column, kind: Column) -> dict[st
 
 
 def leader_fields(elements: DataFrame) -> DataFrame:
-    """Fields from texts that are leaders."""
+    """Fields from texts that are leaders; a text without a width gets one by its length."""
     rows = elements.where("kind = 'text'").withColumn("context", detect_leader(F.col("text"))).where("context IS NOT NULL")
     confidence = F.when(F.col("context") == "dot_sequence", 0.95).otherwise(0.93)
-    return rows.select(*PAGE, "pos", F.lit("text").alias("type"), "x", (F.col("y") - 2).alias("y"), "w", (F.col("h") + 4).alias("h"), confidence.alias("confidence"), "context")
+    width = F.when(F.coalesce("w", F.lit(0)) == 0, estimated_width(F.col("text"), F.col("h"))).otherwise(F.col("w")).alias("w")
+    return rows.select(*PAGE, "pos", F.lit("text").alias("type"), "x", (F.col("y") - 2).alias("y"), width, (F.col("h") + 4).alias("h"), confidence.alias("confidence"), "context")
+
+
+def regular_rects(elements: DataFrame) -> DataFrame:
+    """Rectangles with sizes above zero: one drawn upwards begins at its other edge."""
+    up = F.when(F.col("h") < 0, F.col("y") + F.col("h")).otherwise(F.col("y"))
+    return elements.where("kind = 'rect'").withColumns({"w": F.abs("w"), "h": F.abs("h"), "y": up})
 
 
 def checkbox_fields(elements: DataFrame) -> DataFrame:
     """Fields from small squares."""
-    rows = elements.where("kind = 'rect'").where(classify_rect(F.col("w"), F.col("h")) == "checkbox")
+    rows = regular_rects(elements).where(classify_rect(F.col("w"), F.col("h")) == "checkbox")
     return rows.select(*PAGE, "pos", F.lit("checkbox").alias("type"), "x", "y", "w", "h", F.lit(0.90).alias("confidence"), F.lit("small_square").alias("context"))
 
 
@@ -126,14 +139,19 @@ def cluster_rows_by_y(rects: DataFrame, tolerance: float = ROW_TOLERANCE) -> Dat
 
 
 def digit_box_rows(elements: DataFrame) -> DataFrame:
-    """Rows of at least 13 small boxes as one text field each, with its number of places."""
-    inside = lambda c: (F.col(c) > DIGIT_LEAST) & (F.col(c) < DIGIT_MOST)
+    """Rows of at least 13 small boxes as one text field each, with its number of places.
+
+    Boxes are put in rows by the edge they are drawn from, whatever the sign of their height.
+    """
+    inside = lambda c: (F.abs(c) > DIGIT_LEAST) & (F.abs(c) < DIGIT_MOST)
     rects = elements.where("kind = 'rect'").where(inside("w") & inside("h"))
+    place = F.struct("x", "y", "pos")
     rows = cluster_rows_by_y(rects).groupBy(*PAGE, "band").agg(
-        F.count(F.lit(1)).alias("places"), F.min_by(F.struct("x", "y", "h"), F.struct("x", "y", "pos")).alias("first"), F.max_by(F.col("x") + F.col("w"), F.struct("x", "y", "pos")).alias("right"), F.min("pos").alias("pos")
+        F.count(F.lit(1)).alias("places"), F.min_by(F.struct("x", "y", "h"), place).alias("first"), F.max_by(F.col("x") + F.abs("w"), place).alias("right"), F.min("pos").alias("pos")
     )
     rows = rows.where(F.col("places") >= DIGITS_IN_ROW)
-    return rows.select(*PAGE, "pos", F.col("first.x").alias("x"), F.col("first.y").alias("y"), (F.col("right") - F.col("first.x")).alias("w"), F.col("first.h").alias("h"), F.col("places").alias("max_length"))
+    top = F.when(F.col("first.h") < 0, F.col("first.y") + F.col("first.h")).otherwise(F.col("first.y"))
+    return rows.select(*PAGE, "pos", "band", F.col("first.x").alias("x"), top.alias("y"), (F.col("right") - F.col("first.x")).alias("w"), F.abs("first.h").alias("h"), F.col("places").alias("max_length"))
 
 
 def suppress_checkboxes(checkboxes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -155,7 +173,7 @@ def _scatter(pages: DataFrame, items: Column) -> DataFrame:
 def underlines_not_covered(fields: DataFrame, elements: DataFrame) -> DataFrame:
     """Underlines as fields, unless a field that is there already, or an underline kept before, lies near."""
     there = fields.groupBy(*PAGE).agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("there"))
-    thin = elements.where("kind = 'rect'").where((F.col("h") <= UNDERLINE_HEIGHT) & (F.col("w") >= UNDERLINE_WIDTH))
+    thin = regular_rects(elements).where((F.col("h") <= UNDERLINE_HEIGHT) & (F.col("w") >= UNDERLINE_WIDTH))
     pages = _gather(thin.select(*PAGE, "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w")), F.col("pos")).join(there, PAGE, "left")
     near = lambda a, b: (F.abs(a["y"] - b["y"]) < 15) & (F.abs(a["x"] - b["x"]) < 20)
     covered = lambda acc, u: F.exists(acc, lambda k: near(k, u)) | F.exists(F.coalesce("there", F.array()), lambda k: near(k, u))
@@ -191,21 +209,23 @@ def dedupe_shapes(shapes: DataFrame, distance: float = 4) -> DataFrame:
 
 
 def detect_fields(elements: DataFrame) -> DataFrame:
-    """All fields of each page: leaders, checkboxes, underlines and digit rows, near ones once."""
+    """All fields of each page, near ones once: dots, then underscores, checkboxes, underlines and digit rows."""
     first = leader_fields(elements).unionByName(checkbox_fields(elements))
     rows = digit_box_rows(elements)
     lines = underlines_not_covered(first, elements)
-    boxes = first.where("type = 'checkbox'")
-    text = first.where("type <> 'checkbox'")
-    digits = rows.select(*PAGE, "pos", F.lit("text").alias("type"), "x", "y", "w", "h", F.lit(0.92).alias("confidence"), F.lit("digit_boxes").alias("context"))
-    parts = [text, suppress_checkboxes(boxes, rows), lines, digits]
-    typed = [p.withColumns({c: F.col(c).cast("double") for c in ("x", "y", "w", "h", "confidence")}).withColumn("source", F.lit(k)) for k, p in enumerate(parts)]
+    boxes = suppress_checkboxes(first.where("type = 'checkbox'"), rows)
+    digits = rows.select(*PAGE, "pos", F.lit("text").alias("type"), "x", "y", "w", "h", F.lit(0.92).alias("confidence"), F.lit("digit_boxes").alias("context"), "band")
+    parts = [first.where("context = 'dot_sequence'"), first.where("context = 'underscore_sequence'"), boxes, lines, digits]
+    typed = []
+    for k, part in enumerate(parts):
+        # Arrival order: by kind of source, then place on the page; digit rows from their least y on.
+        own = F.struct(F.lit(k).alias("source"), (F.col("band") if part is digits else F.lit(0)).cast("double").alias("band"), F.col("pos").alias("pos"))
+        numbers = {c: F.col(c).cast("double") for c in ("x", "y", "w", "h", "confidence")}
+        typed.append(part.withColumns(numbers | {"pos": own}).drop("band"))
     union = typed[0]
-    for p in typed[1:]:
-        union = union.unionByName(p)
-    # Arrival order: by kind of source, then place on the page.
-    ordered = union.withColumn("pos", F.struct("source", "pos")).drop("source")
-    return dedupe_near(ordered).withColumn("pos", F.col("pos.pos"))
+    for part in typed[1:]:
+        union = union.unionByName(part)
+    return dedupe_near(union).withColumn("pos", F.col("pos.pos"))
 
 
 def usable_labels(elements: DataFrame) -> DataFrame:
@@ -215,14 +235,15 @@ def usable_labels(elements: DataFrame) -> DataFrame:
 
 
 def _labels(texts: DataFrame) -> DataFrame:
-    return texts.select(*PAGE, F.col("pos").alias("l_pos"), F.col("text").alias("label"), *[F.col(c).alias(f"l_{c}") for c in ("x", "y", "w", "h")])
+    conf = F.col("conf") if "conf" in texts.columns else F.lit(1.0)
+    return texts.select(*PAGE, F.col("pos").alias("l_pos"), F.col("text").alias("label"), conf.cast("double").alias("l_conf"), *[F.col(c).alias(f"l_{c}") for c in ("x", "y", "w", "h")])
 
 
 def _nearest(fields: DataFrame, labels: DataFrame, condition: Column, distance: Column) -> DataFrame:
     """The label with the least distance (then place) for each field for which one meets the condition."""
     met = fields.select(*PAGE, "pos", "x", "y", "w", "h").join(labels, PAGE).where(condition).withColumn("distance", distance)
-    best = met.groupBy(*PAGE, "pos").agg(F.min_by(F.struct("label", "l_pos", "distance"), F.struct("distance", "l_pos")).alias("best"))
-    return best.select(*PAGE, "pos", "best.label", "best.l_pos", "best.distance")
+    best = met.groupBy(*PAGE, "pos").agg(F.min_by(F.struct("label", "l_pos", "distance", "l_conf"), F.struct("distance", "l_pos")).alias("best"))
+    return best.select(*PAGE, "pos", "best.label", "best.l_pos", "best.distance", "best.l_conf")
 
 
 def nearest_label_left(fields: DataFrame, texts: DataFrame, dy: float = 10, least: float = -10, most: float = 300) -> DataFrame:
@@ -232,23 +253,24 @@ def nearest_label_left(fields: DataFrame, texts: DataFrame, dy: float = 10, leas
 
 
 def nearest_label_above(fields: DataFrame, texts: DataFrame, most: float = 25, slack: float = 30) -> DataFrame:
-    """The label next above each field that overlaps it sideways."""
+    """The label next above each field that overlaps it sideways; a label without a width counts as 50 wide."""
     up = F.col("l_y") - F.col("y")
-    beside = (F.col("l_x") + F.col("l_w") >= F.col("x") - slack) & (F.col("l_x") <= F.col("x") + F.col("w") + slack)
+    width = F.when(F.coalesce("l_w", F.lit(0)) == 0, LABEL_WIDTH).otherwise(F.col("l_w"))
+    beside = (F.col("l_x") + width >= F.col("x") - slack) & (F.col("l_x") <= F.col("x") + F.col("w") + slack)
     return _nearest(fields, _labels(texts), up.between(0, most) & beside, up)
 
 
 def nearest_label(fields: DataFrame, texts: DataFrame, far: float = 150) -> DataFrame:
     """Left label, or the one above if there is none on the left or it is far and the other nearer."""
-    left = nearest_label_left(fields, texts).withColumnsRenamed({"label": "left_label", "distance": "left_distance"}).drop("l_pos")
-    above = nearest_label_above(fields, texts).withColumnsRenamed({"label": "above_label", "distance": "above_distance"}).drop("l_pos")
+    left = nearest_label_left(fields, texts).withColumnsRenamed({"label": "left_label", "distance": "left_distance"}).drop("l_pos", "l_conf")
+    above = nearest_label_above(fields, texts).withColumnsRenamed({"label": "above_label", "distance": "above_distance"}).drop("l_pos", "l_conf")
     both = fields.join(left, [*PAGE, "pos"], "left").join(above, [*PAGE, "pos"], "left")
     take_above = F.col("above_label").isNotNull() & (F.col("left_label").isNull() | ((F.col("left_distance") > far) & (F.col("above_distance") < F.col("left_distance"))))
     return both.withColumn("label", F.when(take_above, F.col("above_label")).otherwise(F.col("left_label"))).drop("left_label", "left_distance", "above_label", "above_distance")
 
 
 def nearest_label_px(fields: DataFrame, texts: DataFrame) -> DataFrame:
-    """The raster variant: the left label by middle lines, else the one above; readable, no leader."""
+    """The raster variant: the left label by middle lines, else the one above; readable, no leader; with its confidence, if texts have one as ``conf``."""
     texts = texts.where(~is_placeholder_ocr("text") & is_readable_ocr("text"))
     labels = _labels(texts)
     gap = F.col("x") - (F.col("l_x") + F.col("l_w"))
@@ -257,9 +279,9 @@ def nearest_label_px(fields: DataFrame, texts: DataFrame) -> DataFrame:
     up = F.col("y") - (F.col("l_y") + F.col("l_h"))
     beside = (F.col("l_x") + F.col("l_w") >= F.col("x") - 30) & (F.col("l_x") <= F.col("x") + F.col("w") + 30)
     above = _nearest(fields, labels, up.between(0, 70) & beside, up)
-    a, b = (d.select(*PAGE, "pos", F.col("label").alias(n)) for d, n in ((left, "left_label"), (above, "above_label")))
-    both = fields.join(a, [*PAGE, "pos"], "left").join(b, [*PAGE, "pos"], "left")
-    return both.withColumn("label", F.coalesce("left_label", "above_label")).drop("left_label", "above_label")
+    a, b = (d.select(*PAGE, "pos", F.struct("label", "l_conf").alias(n)) for d, n in ((left, "__left"), (above, "__above")))
+    both = fields.join(a, [*PAGE, "pos"], "left").join(b, [*PAGE, "pos"], "left").withColumn("__best", F.coalesce("__left", "__above"))
+    return both.withColumns({"label": F.col("__best.label"), "label_conf": F.col("__best.l_conf")}).drop("__left", "__above", "__best")
 
 
 def assign_field_names(fields: DataFrame) -> DataFrame:
@@ -314,14 +336,24 @@ def needs_review(avg_confidence: Column, n_written: Column, n_detected: Column)
 
 
 def _in_cells(boxes: DataFrame, box: str) -> DataFrame:
-    """Boxes once for each cell of the page's grid that they touch."""
-    cells = lambda at, size: F.sequence(F.floor(at / CELL), F.floor((at + F.greatest(size, F.lit(0.0))) / CELL))
-    wide = boxes.withColumn("cell_x", F.explode(cells(F.col(f"{box}.x"), F.col(f"{box}.w"))))
-    return wide.withColumn("cell_y", F.explode(cells(F.col(f"{box}.y"), F.col(f"{box}.h"))))
+    """Boxes once for each cell of the page's grid that they touch; ones of more than CELLS cells a side not at all."""
+    first = lambda c: F.floor(F.col(f"{box}.{c}") / CELL)
+    last = lambda c, size: F.floor((F.col(f"{box}.{c}") + F.greatest(F.col(f"{box}.{size}"), F.lit(0.0))) / CELL)
+    few = _few_cells(box)
+    cells = lambda c, size: F.when(few, F.sequence(first(c), last(c, size))).otherwise(F.array().cast("array<bigint>"))
+    return boxes.withColumn("cell_x", F.explode(cells("x", "w"))).withColumn("cell_y", F.explode(cells("y", "h")))
+
+
+def _few_cells(box: str) -> Column:
+    spans = [F.floor((F.col(f"{box}.{c}") + F.greatest(F.col(f"{box}.{s}"), F.lit(0.0))) / CELL) - F.floor(F.col(f"{box}.{c}") / CELL) for c, s in (("x", "w"), ("y", "h"))]
+    return F.coalesce((spans[0] < CELLS) & (spans[1] < CELLS), F.lit(False))
 
 
 def iou_pairs(truth: DataFrame, detected: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs of true and detected boxes of a page that overlap enough."""
+    """Pairs of true and detected boxes of a page that overlap enough.
+
+    Boxes meet in cells of a grid.  One that would lie in very many cells is joined with the boxes of its page.
+    """
     box = lambda n: F.struct(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]).alias(n)
     a = truth.select(*PAGE, F.col("pos").alias("gi"), box("a"))
     b = detected.select(*PAGE, F.col("pos").alias("di"), box("b"))
@@ -329,7 +361,9 @@ def iou_pairs(truth: DataFrame, detected: DataFrame, least: float = 0.5) -> Data
     meet = (F.col("a.x") < F.col("b.x") + F.col("b.w")) & (F.col("b.x") < F.col("a.x") + F.col("a.w")) & (F.col("a.y") < F.col("b.y") + F.col("b.h")) & (F.col("b.y") < F.col("a.y") + F.col("a.h"))
     # A pair counts in the one cell that holds the first corner of its overlap.
     corner = lambda c: F.floor(F.greatest(f"a.{c}", f"b.{c}") / CELL) == F.col(f"cell_{c}")
-    pairs = _in_cells(a, "a").join(_in_cells(b, "b"), [*PAGE, "cell_x", "cell_y"]).where(meet & corner("x") & corner("y"))
+    pairs = _in_cells(a, "a").join(_in_cells(b, "b"), [*PAGE, "cell_x", "cell_y"]).where(meet & corner("x") & corner("y")).drop("cell_x", "cell_y")
+    wide_a, wide_b = a.where(~_few_cells("a")), b.where(~_few_cells("b"))
+    pairs = pairs.unionByName(wide_a.join(b, PAGE).where(meet)).unionByName(wide_b.join(a.where(_few_cells("a")), PAGE).where(meet))
     return pairs.select(*PAGE, "gi", "di", iou(F.col("a"), F.col("b")).alias("iou")).where(F.col("iou") >= least)
 
 

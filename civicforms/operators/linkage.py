@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +15,10 @@ from civicforms.functions.text import doc_id_from_stem, normalize_url, sanitize_
 def keep_by_order(df: DataFrame, key: str | list[str], ordinal: str, keep: str = "first") -> DataFrame:
     """One row per key: the first (W1) or the last (W2) in the given order."""
     keys = [key] if isinstance(key, str) else key
-    order = F.col(ordinal).asc() if keep == "first" else F.col(ordinal).desc()
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    turn = F.Column.asc if keep == "first" else F.Column.desc
+    # Of equal ordinals the other columns decide, so that the result does not depend on chance.
+    rest = [F.col(c) for c, kind in df.dtypes if c not in {*keys, ordinal} and "map<" not in kind]
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*[turn(c) for c in [F.col(ordinal), *rest]])))
     return ranked.where("__rank = 1").drop("__rank")
 
 
@@ -124,7 +129,62 @@ def placement_plan(templates: DataFrame, placed: DataFrame) -> DataFrame:
     return plan.select("id", "kind", "target", F.when(F.col("folder").eqNullSafe(F.col("target")), "in_place").otherwise("move").alias("action"))
 
 
-def next_free_name(name: Column, taken: Column, most: int = 99) -> Column:
-    """The name, or the first of name_2 .. name_<most> that is not taken; the last if all are."""
+LAST_SUFFIX = 99
+
+
+def next_free_name(name: Column, taken: Column, most: int = LAST_SUFFIX) -> Column:
+    """The name, or the first of name_2 .. name_<most> that is not taken; the last if all are (W13, one file)."""
     tries = F.concat(F.array(name), F.transform(F.sequence(F.lit(2), F.lit(most)), lambda i: F.concat(name, F.lit("_"), i.cast("string"))))
     return F.coalesce(F.try_element_at(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(1)), F.concat(name, F.lit(f"_{most}")))
+
+
+def free_names(files: DataFrame, existing: DataFrame, most: int = LAST_SUFFIX) -> DataFrame:
+    """Names for new files (id, folder, base, ordinal) beside existing ones (folder, name), as if named one after another.
+
+    The k-th new file of a base takes the base's k-th free name; further ones the last.  Where bases of a folder
+    differ by a numbered ending alone, as ``x`` and ``x_2``, a name given to one is no longer free for
+    the other; those few families are named in order, with the names they hold as all that is kept.
+    """
+    root = lambda c: F.regexp_replace(c, r"(_([2-9]|[1-9][0-9]))+$", "")
+    rows = files.select("id", "folder", "base", "ordinal").withColumn("root", root("base"))
+    mixed = rows.groupBy("folder", "root").agg(F.min("base").alias("a"), F.max("base").alias("b")).where("a <> b").select("folder", "root")
+    key = ["folder", "root"]
+    return _free_by_rank(rows.join(mixed, key, "left_anti"), existing, most).unionByName(_free_in_order(rows.join(mixed, key, "left_semi"), existing.withColumn("root", root("name")).join(mixed, key, "left_semi"), most))
+
+
+def _free_by_rank(rows: DataFrame, existing: DataFrame, most: int) -> DataFrame:
+    number = F.explode(F.sequence(F.lit(1), F.lit(most))).alias("number")
+    tries = rows.select("folder", "base").distinct().select("folder", "base", number)
+    tries = tries.withColumn("name", F.when(F.col("number") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("number").cast("string"))))
+    free = tries.join(existing.select("folder", "name"), ["folder", "name"], "left_anti")
+    free = free.withColumn("rank", F.row_number().over(Window.partitionBy("folder", "base").orderBy("number"))).select("folder", "base", "rank", "name")
+    # Only as many files of a base as there can be names are ranked; Spark drops the others before they are moved.
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("folder", "base").orderBy("ordinal", "id"))).where(F.col("rank") <= most)
+    named = ranked.join(free, ["folder", "base", "rank"]).select("id", "name")
+    last = F.concat(F.col("base"), F.lit(f"_{most}"))
+    return rows.join(named, "id", "left").select("id", "folder", F.coalesce("name", last).alias("name"))
+
+
+def _free_in_order(rows: DataFrame, existing: DataFrame, most: int) -> DataFrame:
+    there = existing.select("folder", "root", F.lit(False).alias("new"), F.col("name").alias("base"))
+    both = rows.withColumn("new", F.lit(True)).unionByName(there, allowMissingColumns=True)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, taken = None, set()
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                if (r["folder"], r["root"]) != family:
+                    family, taken = (r["folder"], r["root"]), set()
+                name = r["base"]
+                if r["new"]:
+                    tries = (name if k == 1 else f"{name}_{k}" for k in range(1, most + 1))
+                    name = next((t for t in tries if t not in taken), f"{name}_{most}")
+                    found.append((r["id"], r["folder"], name))
+                taken.add(name)
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(n).type) for c, n in zip(columns, ("id", "folder", "base"), strict=True)], names=["id", "folder", "name"])
+
+    ordered = both.repartition("folder", "root").sortWithinPartitions("folder", "root", "new", "ordinal", "id")
+    return ordered.mapInArrow(run, f"id {kind}, folder string, name string")

@@ -30,3 +30,11 @@ def merge_field_annotations(new: DataFrame, old: DataFrame) -> DataFrame:
     rows = new.join(before, ["template_id", "name"], "left")
     kept = {c: F.when(F.col("old").isNotNull(), F.col(f"old.{c}")).otherwise(F.col(c)) for c in ANNOTATIONS}
     return rows.withColumns(kept).drop("old")
+
+
+def replaced_templates(templates: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Templates with the version after a form was replaced: one more for each that has new fields, 1 where none was given before."""
+    changed = replaced.select("template_id").distinct().withColumn("__changed", F.lit(True))
+    rows = templates.join(changed, templates["id"] == changed["template_id"], "left").drop("template_id")
+    version = F.coalesce("version", F.lit(1))
+    return rows.withColumn("version", F.when(F.col("__changed"), version + 1).otherwise(version)).drop("__changed")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civicforms.functions import rules
 from civicforms.functions import text as t
+from civicforms.functions import urls
 from civicforms.operators import catalog, county, entries, html, layout, linkage, validation, votes
 from civicforms.plans.views import view, with_views
 from civicforms.storage import Workspace
@@ -238,9 +239,18 @@ def doc_to_procedure(spark, d):
     return linkage.doc_to_procedure(view(spark, d, "v_progress"), _entries(spark, d))
 
 
-@query(r"SELECT pos, CASE WHEN download_url LIKE '%\%zz%' ESCAPE '\' THEN trim(download_url) ELSE replace(trim(download_url), '%20', ' ') END AS url FROM {v_proc_docs}")
+#: Addresses before and after escapes are decoded as decodeURI does.
+ESCAPES = (
+    ("https://x/%C8%9B%20a", "https://x/ț a"), ("https://x/%C8%9B%2Fb%3f", "https://x/ț%2Fb%3f"), ("https://x/%zz%20", "https://x/%zz%20"), ("https://x/%C4%20", "https://x/%C4%20"),
+    ("https://x/a+b%26c%25", "https://x/a+b%26c%"), ("%F0%9F%98%80%5E", "😀^"), ("f%20_", "f _"),
+)
+
+
+@query("SELECT pos, CASE pos % 8 " + " ".join(f"WHEN {k} THEN {_q(after)}" for k, (_, after) in enumerate(ESCAPES)) + " END || '/' || (pos % 50) AS url FROM {v_proc_docs}")
 def normalize_url(spark, d):
-    return view(spark, d, "v_proc_docs").select("pos", t.normalize_url("download_url").alias("url"))
+    given = F.create_map(*[F.lit(x) for k, (before, _) in enumerate(ESCAPES) for x in (k, before)])
+    url = F.concat(F.lit("  "), F.try_element_at(given, (F.col("pos") % 8).cast("int")), F.lit("/"), F.col("pos") % 50, F.lit(" "))
+    return view(spark, d, "v_proc_docs").select("pos", t.normalize_url(url).alias("url"))
 
 
 @query(f"""WITH {ENTRIES}, e AS (SELECT CASE WHEN download_url LIKE '%\\%zz%' ESCAPE '\\' THEN download_url ELSE replace(download_url, '%20', ' ') END AS url, id FROM entries
@@ -266,9 +276,10 @@ def procedures_in_scope(spark, d):
     return linkage.procedures_in_scope(view(spark, d, "v_procedures"), view(spark, d, "v_progress"), _entries(spark, d))[0].select("procedure_id", "title")
 
 
-@query(f"WITH {_SCOPE} SELECT procedure_id FROM wanted WHERE procedure_id NOT IN (SELECT procedure_id FROM {{v_procedures}})")
+@query(f"WITH {_SCOPE} SELECT procedure_id FROM wanted WHERE procedure_id NOT IN (SELECT procedure_id FROM {{v_procedures}} WHERE title IS NOT NULL)")
 def missing_scrape(spark, d):
-    return linkage.procedures_in_scope(view(spark, d, "v_procedures"), view(spark, d, "v_progress"), _entries(spark, d))[1]
+    # Pages without a title count as not scraped.
+    return linkage.procedures_in_scope(view(spark, d, "v_procedures").where("title IS NOT NULL"), view(spark, d, "v_progress"), _entries(spark, d))[1]
 
 
 @query(f"""WITH {ENTRIES}, f AS (SELECT institution AS organization, county AS listed_county FROM entries WHERE institution <> '' AND county IS NOT NULL QUALIFY row_number() OVER (PARTITION BY institution ORDER BY ordinal) = 1)
@@ -394,14 +405,14 @@ def orphan_forms(spark, d):
     return catalog.orphan_forms(*_forms(spark, d))
 
 
-@query(f"""WITH {TEMPLATES}, g AS (SELECT county_bucket AS county, coalesce(nullif(organization, ''), 'Altele') AS organization, count(*) AS n, string_agg(id, ',' ORDER BY name, id) AS ids FROM templates GROUP BY 1, 2)
+@query(f"""WITH {TEMPLATES}, g AS (SELECT county_bucket AS county, coalesce(nullif(organization, ''), 'Altele') AS organization, count(*) AS n, string_agg(id, ',' ORDER BY coalesce(name, '') COLLATE ro, coalesce(name, ''), id) AS ids FROM templates GROUP BY 1, 2)
   SELECT county, organization, n, sum(n) OVER (PARTITION BY county)::BIGINT AS total, ids FROM g""")
 def catalog_tree(spark, d):
     tree = catalog.catalog_tree(_templates(spark, d))
     return tree.select("county", "organization", "n", "total", F.array_join("items.id", ",").alias("ids"))
 
 
-@query(f"""WITH {PROCEDURES}, g AS (SELECT county_bucket AS county, institution, count(*) AS n, string_agg(procedure_id, ',' ORDER BY coalesce(title, ''), procedure_id) AS ids FROM procedures GROUP BY 1, 2)
+@query(f"""WITH {PROCEDURES}, g AS (SELECT county_bucket AS county, institution, count(*) AS n, string_agg(procedure_id, ',' ORDER BY coalesce(title, '') COLLATE ro, coalesce(title, ''), procedure_id) AS ids FROM procedures GROUP BY 1, 2)
   SELECT county, institution, n, sum(n) OVER (PARTITION BY county)::BIGINT AS total, ids FROM g""")
 def procedure_tree(spark, d):
     tree = catalog.procedure_tree(_procedures(spark, d))
@@ -414,9 +425,23 @@ def tree_totals_rollup(spark, d):
 
 
 @query(f"""WITH {PROCEDURES}, k AS (SELECT procedure_id, count(*) AS k FROM {{v_proc_docs}} GROUP BY 1)
-  SELECT institution, count(*) AS n, sum(coalesce(k, 0))::BIGINT AS docs FROM procedures LEFT JOIN k USING (procedure_id) WHERE county_bucket = 'Național' GROUP BY 1 ORDER BY n DESC, institution LIMIT 30""")
+  SELECT coalesce(nullif(institution, ''), '(no institution)') AS institution, count(*) AS n, sum(coalesce(k, 0))::BIGINT AS docs, array_to_string(list(coalesce(title, '(no title)') ORDER BY procedure_id)[:3], ' + ') AS titles
+  FROM procedures LEFT JOIN k USING (procedure_id) WHERE county_bucket = 'Național' GROUP BY 1 ORDER BY n DESC, institution LIMIT 30""")
 def national_bucket_report(spark, d):
-    return catalog.national_bucket_report(_nested_procedures(spark, d)).select("institution", "n", "docs")
+    return catalog.national_bucket_report(_nested_procedures(spark, d)).withColumn("titles", F.array_join("titles", " + "))
+
+
+_PLACED = "SELECT county, node, item, row_number() OVER (PARTITION BY county, node ORDER BY label COLLATE ro, label, item) AS place FROM"
+
+
+@query(f"WITH {TEMPLATES} {_PLACED} (SELECT county_bucket AS county, coalesce(nullif(organization, ''), 'Altele') AS node, id AS item, coalesce(name, '') AS label FROM templates)")
+def catalog_item_places(spark, d):
+    return catalog.item_places(_templates(spark, d), F.coalesce(t.blank_to_null("organization"), F.lit(catalog.NO_ORGANIZATION)), F.col("name"), F.col("id"))
+
+
+@query(f"WITH {PROCEDURES} {_PLACED} (SELECT county_bucket AS county, institution AS node, procedure_id AS item, coalesce(title, '') AS label FROM procedures)")
+def procedure_item_places(spark, d):
+    return catalog.item_places(_procedures(spark, d), F.coalesce("institution", F.lit(catalog.NO_INSTITUTION)), F.col("title"), F.col("procedure_id"))
 
 
 @query(f"WITH {TEMPLATES} SELECT DISTINCT county_bucket AS county FROM templates WHERE county_bucket IN ({', '.join(map(_q, [*rules.COUNTIES, county.TEMPLATE_NATIONAL]))})")
@@ -574,7 +599,7 @@ def _first_fields(spark: SparkSession, d: str) -> DataFrame:
     return layout.leader_fields(elements).unionByName(layout.checkbox_fields(elements))
 
 
-@query(f"WITH {_FIRST} SELECT doc_id, page, pos, type, x, y, w, h, confidence::DOUBLE AS confidence, context FROM first_fields")
+@query(f"WITH {_FIRST} SELECT doc_id, page, pos, type, x, y, w::DOUBLE AS w, h, confidence::DOUBLE AS confidence, context FROM first_fields")
 def leader_and_box_fields(spark, d):
     return _first_fields(spark, d)
 
@@ -624,16 +649,6 @@ def detection_metrics(spark, d):
     return layout.detection_metrics(truth, found, layout.greedy_match(layout.iou_pairs(truth, found)))
 
 
-@query()
-def detect_fields(spark, d):
-    return layout.detect_fields(view(spark, d, "v_elements")).select("doc_id", "page", "pos", "type", "x", "y", "w", "h", "confidence", "context")
-
-
-@query()
-def digit_box_rows(spark, d):
-    return layout.digit_box_rows(view(spark, d, "v_elements"))
-
-
 @query()
 def dedupe_overlap(spark, d):
     rows = view(spark, d, "v_detected").withColumns({c: F.col(c).cast("double") for c in ("x", "y", "w", "h")})
@@ -711,6 +726,32 @@ def merge_field_annotations(spark, d):
     return validation.merge_field_annotations(new, old).select("template_id", "pos", "label", "section")
 
 
+@query("""SELECT t.id, CASE WHEN ordinal % 4 = 0 THEN 1 ELSE ordinal % 4 END + CASE WHEN f.template_id IS NULL THEN 0 ELSE 1 END AS version
+  FROM {v_templates} t LEFT JOIN (SELECT DISTINCT template_id FROM {v_form} WHERE pos % 9 = 0) f ON f.template_id = t.id""")
+def replaced_templates(spark, d):
+    rows = view(spark, d, "v_templates").withColumn("version", F.when(F.col("ordinal") % 4 != 0, F.col("ordinal") % 4))
+    return validation.replaced_templates(rows, view(spark, d, "v_form").where("pos % 9 = 0")).select("id", "version")
+
+
+@query(r"""WITH f AS (SELECT p_partkey AS id, concat('d', p_size % 5) AS folder, CASE p_partkey % 6 WHEN 0 THEN 'f' WHEN 1 THEN 'g_2' WHEN 2 THEN 'g' ELSE concat('x', p_partkey % 9) END AS base FROM part),
+    e AS (SELECT DISTINCT concat('d', s_suppkey % 5) AS folder, concat('x', s_suppkey % 9, CASE WHEN s_suppkey % 2 = 0 THEN '_3' ELSE '' END) AS name FROM supplier),
+    r AS (SELECT *, regexp_replace(base, '(_([2-9]|[1-9][0-9]))+$', '') AS root FROM f),
+    t AS (SELECT folder, regexp_replace(name, '(_([2-9]|[1-9][0-9]))+$', '') AS root, list(name) AS names FROM e GROUP BY ALL),
+    g AS (SELECT folder, root, list(id ORDER BY id) AS ids, list([base] ORDER BY id) AS bases FROM r GROUP BY ALL),
+    n AS (
+      SELECT g.folder, ids, coalesce(len(names), 0) AS before, list_reduce(bases, lambda acc, b: list_concat(acc, [coalesce(list_filter(
+          list_transform(range(1, 100), lambda k: CASE WHEN k = 1 THEN b[1] ELSE b[1] || '_' || k END), lambda c: NOT list_contains(acc, c))[1], b[1] || '_99')]), coalesce(names, [])) AS given
+      FROM g LEFT JOIN t USING (folder, root)
+    ) SELECT unnest(ids) AS id, folder, unnest(given[before + 1 :]) AS name FROM n""")
+def free_names(spark, d):
+    key = F.col("p_partkey")
+    base = F.when(key % 6 == 0, "f").when(key % 6 == 1, "g_2").when(key % 6 == 2, "g").otherwise(F.concat(F.lit("x"), key % 9))
+    files = view(spark, d, "part").select(key.alias("id"), F.concat(F.lit("d"), F.col("p_size") % 5).alias("folder"), base.alias("base"), key.alias("ordinal"))
+    k = F.col("s_suppkey")
+    existing = view(spark, d, "supplier").select(F.concat(F.lit("d"), k % 5).alias("folder"), F.concat(F.lit("x"), k % 9, F.when(k % 2 == 0, "_3").otherwise("")).alias("name"))
+    return linkage.free_names(files, existing)
+
+
 # Further single operators -------------------------------------------------------------
 
 
@@ -771,13 +812,6 @@ def doc_status(spark, d):
     return layout.doc_status(stats.withColumn("avg_confidence", F.round("avg_confidence", 9))).select("doc_id", "status")
 
 
-@query("SELECT doc_id, page, pos, y::DOUBLE AS band FROM {v_elements} WHERE kind = 'rect'")
-def cluster_rows_by_y(spark, d):
-    # Rows of this table lie 60 apart, so each is its own band.
-    rects = view(spark, d, "v_elements").where("kind = 'rect'").withColumn("y", F.col("y").cast("double"))
-    return layout.cluster_rows_by_y(rects).select("doc_id", "page", "pos", "band")
-
-
 @query()
 def dedupe_near(spark, d):
     rows = _first_fields(spark, d).withColumns({c: F.col(c).cast("double") for c in ("x", "y", "w", "h", "confidence")})
@@ -881,14 +915,23 @@ def names_of_files(spark, d):
     return view(spark, d, "part").select("p_partkey", t.template_name_from_stem(stem).alias("template_name"), t.organization_from_path(path).alias("organization"), t.phone_href(phones).alias("phone"))
 
 
-@query(f"""SELECT page_id, CASE WHEN href IS NULL OR href = '' THEN NULL WHEN regexp_matches(trim(href), '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN trim(href) WHEN trim(href) LIKE '//%' THEN 'https:' || trim(href)
-    WHEN trim(href) LIKE '/%' THEN '{SITE}' || trim(href) ELSE '{SITE}/' || trim(href) END AS target
-  FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '' WHEN 2 THEN ' /a/' || page_id || ' ' WHEN 3 THEN '//cdn.example/' || page_id WHEN 4 THEN 'mailto:x' || page_id || '@y.ro' ELSE 'rel/' || page_id END AS href FROM pages)""")
+#: Links of a page, with the number of the page at #, and what each leads to from SITE/proc/list?all.
+LINK_CASES = (
+    (" /a/# ", "/a/#"), ("", None), ("rel/#", "/proc/rel/#"), ("../up/./#", "/up/#"), ("a/../../../b#", "/b#"), ("?id=#", "/proc/list?id=#"), ("//cdn.example:443/#", "https://cdn.example/#"),
+    ("mailto:x#@y.ro", "mailto:x#@y.ro"), ("\\dir\\#", "/dir/#"), ("/ț #", "/%C8%9B%20#"), ("https://bad host/#", None), ("HTTP://Ex.ro:80/%2e/#?q=a b", "http://ex.ro/#?q=a%20b"), ("/dir/#/..", "/dir/"),
+)
+
+
+def _link_case() -> str:
+    target = lambda v: "NULL" if v is None else _q(SITE + v if v.startswith("/") else v)
+    return "CASE page_id % 13 " + " ".join(f"WHEN {k} THEN {target(v)}" for k, (_, v) in enumerate(LINK_CASES)) + " END"
+
+
+@query(f"SELECT page_id, replace({_link_case()}, '#', page_id::VARCHAR) AS target FROM pages")
 def absolute_url(spark, d):
-    key = F.col("page_id")
-    href = F.when(key % 6 == 0, F.col("url")).when(key % 6 == 1, "").when(key % 6 == 2, F.concat(F.lit(" /a/"), key, F.lit(" "))).when(key % 6 == 3, F.concat(F.lit("//cdn.example/"), key))
-    href = href.when(key % 6 == 4, F.concat(F.lit("mailto:x"), key, F.lit("@y.ro"))).otherwise(F.concat(F.lit("rel/"), key))
-    return view(spark, d, "pages").select("page_id", t.absolute_url(href, SITE).alias("target"))
+    links = F.create_map(*[F.lit(x) for k, (href, _) in enumerate(LINK_CASES) for x in (k, href)])
+    href = F.replace(F.element_at(links, (F.col("page_id") % len(LINK_CASES)).cast("int")), F.lit("#"), F.col("page_id").cast("string"))
+    return view(spark, d, "pages").select("page_id", urls.absolute_url(href, f"{SITE}/proc/list?all").alias("target"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN v = floor(v) + 0.5 THEN 2 * round(v / 2) ELSE floor(v + 0.5) END::INT AS px

@@ -70,6 +70,21 @@ VIEWS = {
           (l_partkey * 7 + l_linenumber) % 500 AS x, CAST(l_quantity AS bigint) % 6 * 60 AS y,
           CASE l_suppkey % 3 WHEN 0 THEN 40 + l_partkey % 60 ELSE 6 + l_partkey % 12 END AS w, CASE l_suppkey % 3 WHEN 0 THEN 2 ELSE 7 + l_partkey % 9 END AS h
         FROM {{lineitem}}""",
+    "v_drawn": """
+        SELECT doc_id, page, pos, kind, text, x % 240 AS x, CASE WHEN pos % 4 = 0 THEN 40 ELSE 0 END + pos % 5 AS y,
+          CASE WHEN kind = 'rect' AND pos % 5 = 0 THEN -w ELSE w END AS w, CASE WHEN kind = 'rect' AND pos % 3 = 0 THEN -h ELSE h END AS h
+        FROM {v_elements}""",
+    "v_drawings": """
+        SELECT doc_id, page, pos, op, x0, y0, x0 + dx AS x1, y0 + dy AS y1
+        FROM (
+          SELECT doc_id, page, pos, CASE pos % 4 WHEN 0 THEN 'l' WHEN 3 THEN 'c' ELSE 're' END AS op, CAST(x % 20 AS double) * 7.25 AS x0, CAST(y AS double) + CAST(pos % 3 AS double) / 4 AS y0,
+            CAST(CASE pos % 4 WHEN 0 THEN 30 + pos % 90 WHEN 1 THEN 5 + pos % 13 ELSE 20 + pos % 400 END * CASE WHEN pos % 7 = 0 THEN -1 ELSE 1 END AS double) AS dx,
+            CASE pos % 4 WHEN 0 THEN CAST(pos % 5 AS double) * 0.375 WHEN 1 THEN CAST(5 + pos % 12 AS double) ELSE CAST(8 + pos % 33 AS double) END AS dy
+          FROM {v_elements}) AS drawn""",
+    "v_items": """
+        SELECT doc_id, page, pos, text, x, y, w, h, CAST(50 + pos % 50 AS double) / 100 AS conf FROM {v_elements} WHERE kind = 'text'""",
+    "v_counter_writes": """
+        SELECT event_id % 50 AS template_id, event_id, ts, event_id * 7 % 6 - 1 AS up, event_id * 5 % 4 AS down FROM {events}""",
     "v_truth": """
         SELECT doc_id, page, pos, x + pos % 3 AS x, y, w + pos % 4 AS w, h FROM {v_elements} WHERE kind = 'rect'""",
     "v_detected": """
@@ -107,5 +122,6 @@ def with_views(sql: str) -> str:
     if not order:
         return body
     if body.upper().startswith("WITH "):
-        return f"WITH {heads},\n{body[5:]}"
+        recursive = "RECURSIVE " * body.upper().startswith("WITH RECURSIVE ")
+        return f"WITH {recursive}{heads},\n{body[5 + len(recursive):]}"
     return f"WITH {heads}\n{body}"

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scan_manifest(spark: SparkSession, path: str, entry: str) -> DataFrame:
@@ -45,15 +46,26 @@ def scan_pages_html(spark: SparkSession, path: str) -> DataFrame:
 DETECTOR = "source string, avgConfidence double, fields array<struct<type: string, page: int, x: double, y: double, width: double, height: double, label: string, confidence: double, context: string>>"
 
 
-def scan_detector_outputs(spark: SparkSession, root: str) -> DataFrame:
-    """Detector files ``*.fields.json`` with bundle, stem and number of fields; a broken one counts none."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.fields.json").option("multiLine", "true").option("mode", "PERMISSIVE").schema(DETECTOR).json(root)
+def scan_detector_outputs(spark: SparkSession, root: str, wanted: DataFrame | None = None, counts: Observation | None = None) -> DataFrame:
+    """Detector files ``*.fields.json`` with bundle, stem and number of fields.
+
+    ``status`` is read, broken or missing: a broken file counts no fields, and neither does one that ``wanted``
+    (bundle, stem) names but that is not there.  With ``counts`` the number of each is taken while the rows are used.
+    """
+    schema = T.StructType([*T.StructType.fromDDL(DETECTOR).fields, T.StructField("__broken", T.StringType())])
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.fields.json").option("multiLine", "true").option("mode", "PERMISSIVE")
+    rows = reader.option("columnNameOfCorruptRecord", "__broken").schema(schema).json(root)
     path = F.col("_metadata.file_path")
-    return rows.select(
-        F.nullif(F.regexp_extract(path, r"/(bundle-\d+)/", 1), F.lit("")).alias("bundle"),
-        F.regexp_extract(path, r"([^/]+)\.fields\.json$", 1).alias("stem"),
-        "source", F.coalesce("avgConfidence", F.lit(0.0)).alias("avg_confidence"), "fields", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"),
+    rows = rows.select(
+        F.nullif(F.regexp_extract(path, r"/(bundle-\d+)/", 1), F.lit("")).alias("bundle"), F.regexp_extract(path, r"([^/]+)\.fields\.json$", 1).alias("stem"),
+        "source", "avgConfidence", "fields", F.when(F.col("__broken").isNotNull(), "broken").otherwise("read").alias("status"),
     )
+    if wanted is not None:
+        rows = wanted.select("bundle", "stem").distinct().join(rows, ["bundle", "stem"], "left")
+    rows = rows.select("bundle", "stem", "source", F.coalesce("avgConfidence", F.lit(0.0)).alias("avg_confidence"), "fields", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"), F.coalesce("status", F.lit("missing")).alias("status"))
+    if counts is None:
+        return rows
+    return rows.observe(counts, *[F.count_if(F.col("status") == s).alias(s) for s in ("read", "broken", "missing")])
 
 
 def scan_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from civicforms.operators.catalog import sitemap_lines
@@ -19,13 +19,13 @@ def sink_slim_catalog(slim: DataFrame, path: str, generated_at: str | None = Non
     takes (``inline`` up to INLINE_LIMIT bytes of JSON, else ``gzip``), whether the gzip form
     passes the store's limit, and the time of generation.
     """
-    spark = slim.sparkSession
-    slim.orderBy(F.collate("name", "ro"), "id").write.mode("overwrite").json(path, compression="gzip")
-    written = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("gzip_bytes"))
+    spark, told = slim.sparkSession, Observation()
     size = F.sum(F.octet_length(F.to_json(F.struct(*slim.columns))))
-    metrics = slim.agg(F.count(F.lit(1)).alias("count"), F.coalesce(size, F.lit(0)).alias("json_bytes"))
-    # Two tables of one row each.
-    both = metrics.withColumn("one", F.lit(1)).join(written.withColumn("one", F.lit(1)), "one").drop("one")
+    # Counted as they are written: above the sort, whose sampling reads what is below it once more.
+    ordered = slim.orderBy(F.collate("name", "ro"), "id")
+    ordered.observe(told, F.count(F.lit(1)).alias("count"), F.coalesce(size, F.lit(0)).alias("json_bytes")).write.mode("overwrite").json(path, compression="gzip")
+    written = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("gzip_bytes"))
+    both = written.withColumns({k: F.lit(told.get[k]).cast("long") for k in ("count", "json_bytes")})
     form = F.when(F.col("json_bytes") <= INLINE_LIMIT, "inline").otherwise("gzip")
     generated = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return both.withColumns({"form": form, "over_limit": (form == "gzip") & (F.col("gzip_bytes") > STORE_LIMIT), "generated_at": generated})

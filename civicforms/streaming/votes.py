@@ -67,7 +67,7 @@ def vote_deltas(votes: DataFrame, repeat: float = 86_400.0) -> DataFrame:
     than the known one changes nothing.  An event delivered again within ``repeat`` seconds counts once
     in ``events``; what is remembered for that is dropped afterwards, as time goes on with later arrivals.
     """
-    keyed = arriving(valid_votes(votes).select("template_id", "device_id", "value", F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME)).alias("micros"), "event_id"))
+    keyed = arriving(valid_votes(votes).select("template_id", "device_id", "value", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NO_TIME)).alias("micros"), "event_id"))
     return keyed.groupBy("template_id", "device_id").transformWithState(VoteState(round(repeat * 1000)), DELTA, "Update", "EventTime")
 
 

@@ -3,10 +3,12 @@
 import json
 from collections import Counter
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from civicforms.functions import text as t
-from civicforms.operators import html, layout, linkage, votes
+from civicforms.functions import urls
+from civicforms.operators import catalog, html, layout, linkage, raster, validation, votes
 from civicforms.plans.views import view
 from civicforms.sources import readers, sinks
 from civicforms.streaming.votes import incremental_ingest
@@ -81,7 +83,7 @@ def test_scalars(spark):
     df = spark.createDataFrame([("sect.firstName_b", "Form_a_12", "bundle-3/a/b_9", "tel: 0721\nE-mail : a@b\ntel: 1/2", " https://x/a%20b%2Fc+d ")], "f string, s string, k string, c string, u string")
     r = df.select(
         t.prettify_field_name("f").alias("pretty"), t.doc_id_from_stem("s").alias("id"), t.template_name_from_stem("s").alias("name"), *[c.alias(n) for n, c in zip(("bundle", "stem"), t.split_progress_key("k"), strict=True)],
-        t.contact_block("c").alias("contact"), t.normalize_url("u").alias("url"), t.absolute_url(F.lit("/a"), "https://h").alias("abs"), t.organization_from_path(F.lit("a/b/c.pdf")).alias("org"),
+        t.contact_block("c").alias("contact"), t.normalize_url("u").alias("url"), urls.absolute_url(F.lit("/a"), "https://h").alias("abs"), t.organization_from_path(F.lit("a/b/c.pdf")).alias("org"),
         linkage.next_free_name(F.lit("n"), F.array(F.lit("n"), F.lit("n_2"))).alias("free"), t.to_iso_string(F.lit("1700000000")).alias("iso"), t.normalize_comment(F.lit("  ")).alias("comment"),
         t.phone_href(F.lit("07 21/08")).alias("phone"), t.match_pattern(F.lit("data nasterii"))["id"].alias("kind"), t.clean_label_ocr(F.lit("1. 2) Nume :")).alias("label"),
     ).first()
@@ -192,6 +194,10 @@ def test_sources_and_sinks(spark, sf, tmp_path):
     files = readers.scan_files_by_suffix(spark, f"{tmp_path}/files", ".pdf")
     assert [r["bundle"] for r in readers.scan_bundles(files).collect()] == [7]
     assert sorted((r["stem"], r["n_fields"]) for r in readers.scan_detector_outputs(spark, f"{tmp_path}/files").collect()) == [("a", 1), ("b", 0)]
+    wanted, counts = spark.createDataFrame([("bundle-7", "a"), ("bundle-7", "b"), ("bundle-9", "c"), (None, "d")], "bundle string, stem string"), Observation()
+    outputs = readers.scan_detector_outputs(spark, f"{tmp_path}/files", wanted, counts).collect()
+    assert sorted((r["stem"], r["n_fields"], r["status"]) for r in outputs) == [("a", 1, "read"), ("b", 0, "broken"), ("c", 0, "missing"), ("d", 0, "missing")]
+    assert counts.get == {"read": 1, "broken": 1, "missing": 2}
 
     slim = view(spark, sf, "v_templates")
     metrics = sinks.sink_slim_catalog(slim, f"{tmp_path}/catalog").first()
@@ -210,3 +216,147 @@ def test_incremental_ingest(spark, tmp_path):
         rows, dead = incremental_ingest(spark.readStream.schema(schema).parquet(incoming), root, "id", problem)
     assert sorted(map(tuple, rows.collect())) == [(1, "a"), (3, "c")]
     assert [r["reason"] for r in dead.collect()] == ["no value"]
+
+
+def test_detect_fields_with_signed_boxes(spark):
+    """A loop over each page: dots, underscores, squares, underlines and digit rows in this order, then near ones once."""
+    texts = ["....", "_____", "....____", "Nume", "a...."]
+    rows = [(k % 2, 0, k, "text", texts[k % 5], k * 37 % 200, k * 11 % 90, (0, 40)[k % 2], 10) for k in range(40)]
+    rows += [(k % 2, 0, 100 + k, "rect", None, k * 29 % 260, k * 17 % 90, (-1, 1)[k % 2] * (9 + k % 4), (-1, 1)[k % 3 == 0] * (9 + k % 3)) for k in range(60)]
+    rows += [(1, 0, 300 + k, "rect", None, 10 + 14 * k, 120 + k % 3, 12, (-1, 1)[k % 2] * 12) for k in range(14)]
+    rows += [(k % 2, 0, 400 + k, "rect", None, k * 31 % 200, k * 13 % 90, (-1, 1)[k % 2] * (40 + k), (-1, 1)[k % 3 == 0]) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, pos int, kind string, text string, x int, y int, w int, h int")
+    wanted = []
+    for doc in (0, 1):
+        page = [r for r in rows if r[0] == doc]
+        drawn = [r for r in page if r[3] == "rect"]
+        top = lambda r: r[6] + min(r[8], 0)
+        fields = []
+        for sign, worth in ((".", 0.95), ("_", 0.93)):
+            for r in page:
+                n = r[4].count(sign) if r[4] else 0
+                if n >= 4 and n / len(r[4]) > 0.5 and not (sign == "_" and r[4].count(".") >= 4 and r[4].count(".") / len(r[4]) > 0.5):
+                    fields.append((r[2], "text", r[5], r[6] - 2, r[7] or len(r[4]) * r[8] * 0.5, r[8] + 4, worth))
+        for r in drawn:
+            w, h = abs(r[7]), abs(r[8])
+            if 5 <= w <= 15 and 5 <= h <= 15 and abs(w - h) <= 2:
+                fields.append((r[2], "checkbox", r[5], top(r), w, h, 0.90))
+        for r in drawn:
+            if abs(r[8]) <= 2 and abs(r[7]) >= 30 and not any(abs(f[3] - top(r)) < 15 and abs(f[2] - r[5]) < 20 for f in fields):
+                fields.append((r[2], "text", r[5], top(r), abs(r[7]), 14, 0.85))
+        groups = []
+        for r in sorted((r for r in drawn if 8 < abs(r[7]) < 25 and 8 < abs(r[8]) < 25), key=lambda r: r[6]):
+            for g in groups:
+                if abs(g[0][6] - r[6]) <= 3:
+                    g.append(r)
+                    break
+            else:
+                groups.append([r])
+        for g in groups:
+            if len(g) >= 13:
+                g.sort(key=lambda r: r[5])
+                first, end = g[0], g[-1][5] + abs(g[-1][7])
+                fields = [f for f in fields if not (f[1] == "checkbox" and abs(f[3] - top(first)) < 5 and first[5] - 5 <= f[2] <= end + 5)]
+                fields.append((min(r[2] for r in g), "text", first[5], top(first), end - first[5], abs(first[8]), 0.92))
+        kept = []
+        for f in fields:
+            at = next((i for i, k in enumerate(kept) if k[1] == f[1] and abs(k[2] - f[2]) < 10 and abs(k[3] - f[3]) < 10), None)
+            if at is None:
+                kept.append(f)
+            elif f[6] > kept[at][6]:
+                kept[at] = f
+        wanted += [(doc, *f) for f in kept]
+    found = [(r["doc_id"], r["pos"], r["type"], r["x"], r["y"], r["w"], r["h"], r["confidence"]) for r in layout.detect_fields(df).collect()]
+    assert sorted(found) == sorted(wanted)
+    assert {"digit_boxes", "underline_rect", "small_square", "dot_sequence"} <= {r["context"] for r in layout.detect_fields(df).collect()}
+
+
+def test_huge_boxes_meet_others_without_very_many_cells(spark):
+    shape = "doc_id int, page int, pos int, x double, y double, w double, h double"
+    truth = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 1e10, 1e10), (1, 0, 2, 5.0, 5.0, 10.0, 10.0), (1, 0, 3, -50.0, 0.0, 2000.0, 40.0)], shape)
+    found = spark.createDataFrame([(1, 0, 7, 0.0, 0.0, 9e9, 1e10), (1, 0, 8, 5.0, 5.0, 10.0, 9.0), (1, 0, 9, 0.0, 0.0, 1950.0, 40.0), (2, 0, 1, 0.0, 0.0, 1e10, 1e10)], shape)
+    assert sorted((r["gi"], r["di"]) for r in layout.iou_pairs(truth, found).collect()) == [(1, 7), (2, 8), (3, 9)]
+
+
+def test_contours_become_shapes(spark):
+    rows = [(1, 0, 1, 10, 10, 300, 3), (1, 0, 2, 12, 11, 302, 4), (1, 0, 3, 10, 10, 59, 3), (1, 0, 4, 10, 50, 60, 5), (1, 0, 5, 90, 90, 20, 22), (1, 0, 6, 95, 90, 20, 22), (1, 0, 7, 90, 90, 20, 30), (1, 0, 8, 90, 200, 60, 4)]
+    shapes = raster.shapes_of_contours(spark.createDataFrame(rows, "doc_id int, page int, pos int, x int, y int, w int, h int"))
+    assert sorted((r["pos"], r["kind"], round(r["conf"], 6)) for r in shapes.collect()) == [(1, "underline", 0.95), (5, "checkbox", 0.8), (8, "underline", 0.7)]
+
+
+def test_points_there_and_back(spark):
+    row = spark.range(1).select(*[F.lit(v).alias(c) for c, v in zip("xywh", (10.0, 20.0, 30.0, 5.0), strict=True)])
+    up = row.select(*[c.alias(k) for k, c in layout.px_to_pt(*map(F.col, "xywh"), F.lit(1.0), F.lit(None).cast("double")).items()])
+    assert tuple(up.first()) == (10.0, 841.89 - 25, 30.0, 5.0)
+    back = up.select(*[c.alias(k) for k, c in layout.pt_from_top(*map(F.col, "xywh"), F.lit(None).cast("double")).items()])
+    assert [round(x, 9) for x in back.first()] == [10.0, 20.0, 30.0, 5.0]
+
+
+LINKS = {
+    "a/b": "https://forms.example/dir/a/b", "/a/../b/./c": "https://forms.example/b/c", "../../x": "https://forms.example/x", "?q=1": "https://forms.example/dir/page.html?q=1",
+    "#f": "https://forms.example/dir/page.html?z=1#f", "": None, "  /x y ": "https://forms.example/x%20y", "//CDN.Example:443/p": "https://cdn.example/p", "http://H:80/": "http://h/",
+    "https:foo": "https://forms.example/dir/foo", "https:///h/x": "https://h/x", "mailto:a@b": "mailto:a@b", "a\\b": "https://forms.example/dir/a/b", "/ă/%2e%2E/ț": "https://forms.example/%C8%9B",
+    "//bad host/": None, "//": None, "http://h:99999/": None, "/a/..": "https://forms.example/", "/a/.": "https://forms.example/a/", "x?y z'#\"": "https://forms.example/dir/x?y%20z%27#%22",
+    "http://u:p@h/": "http://u:p@h/", "/😀": "https://forms.example/%F0%9F%98%80", "http://h:0/": "http://h:0/", "a/./b/../../..": "https://forms.example/", "\tx\n": "https://forms.example/dir/x",
+    "HTTP://ex.ro": "http://ex.ro/", "ftp://h:21/a?#": "ftp://h/a?#", "data:text/x,y z": "data:text/x,y z", "http://h:8a/": None, "http://[::1]:8080/": "http://[::1]:8080/",
+}
+
+
+def test_links_by_the_standard(spark):
+    df = spark.createDataFrame([(k,) for k in LINKS] + [(None,)], "href string")
+    found = {r["href"]: r["u"] for r in df.select("href", urls.absolute_url("href", "https://forms.example/dir/page.html?z=1").alias("u")).collect()}
+    assert found == LINKS | {None: None}
+
+
+def test_names_of_a_batch_are_those_of_a_loop(spark):
+    files = [(k, f"d{k % 3}", ("f", "g", "g_2", "h_99", "long", "g_2_3")[k * k % 6], 1000 - k) for k in range(160)] + [(200 + k, "big", "many", k) for k in range(130)]
+    there = [("d0", "f"), ("d0", "f_3"), ("d1", "g_2"), ("d1", "g_3"), ("d2", "other"), ("big", "many_50"), ("big", "many")]
+    taken, wanted = {}, {}
+    for folder, name in there:
+        taken.setdefault(folder, set()).add(name)
+    for k, folder, base, _ in sorted(files, key=lambda f: f[3]):
+        tries = [base] + [f"{base}_{n}" for n in range(2, 100)]
+        wanted[k] = next((t for t in tries if t not in taken.setdefault(folder, set())), f"{base}_99")
+        taken[folder].add(wanted[k])
+    df, existing = spark.createDataFrame(files, "id int, folder string, base string, ordinal int"), spark.createDataFrame(there, "folder string, name string")
+    assert {r["id"]: r["name"] for r in linkage.free_names(df, existing).collect()} == wanted
+    assert sum(n == "many_99" for n in wanted.values()) > 30
+
+
+def test_places_of_items_in_large_nodes(spark):
+    names = ["șa", "sa", "ță", "ta", "Ana", "ana", "", "zu", "ăi"]
+    rows = [(k, "Cluj" if k % 3 else None, "big" if k % 10 else f"n{k % 4}", names[k % 9] if k % 13 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id int, county_bucket string, organization string, name string")
+    found = catalog.item_places(df, F.col("organization"), F.col("name"), F.col("id")).collect()
+    order = spark.createDataFrame([(n,) for n in names], "n string").orderBy(F.collate("n", "ro"), "n").collect()
+    rank = {r["n"]: k for k, r in enumerate(order)}
+    assert [r["n"] for r in order] == ["", "ana", "Ana", "ăi", "sa", "șa", "ta", "ță", "zu"]
+    groups = {}
+    for k, c, o, n in rows:
+        groups.setdefault((c, o), []).append((rank[n or ""], k))
+    wanted = {k: place for g in groups.values() for place, (_, k) in enumerate(sorted(g), 1)}
+    assert {r["item"]: r["place"] for r in found} == wanted
+
+
+def test_replaced_templates(spark):
+    rows = spark.createDataFrame([("a", 3), ("b", None), ("c", None), ("d", 2)], "id string, version int")
+    found = validation.replaced_templates(rows, spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "template_id string, name string"))
+    assert sorted(map(tuple, found.collect())) == [("a", 4), ("b", 2), ("c", 1), ("d", 2)]
+
+
+def test_names_of_fields_stay_unique(spark):
+    """Labels as names, numbered from their second use; a clash takes the page, further ones their place too."""
+    labels = ["Nume", "Nume", "Nume 2", "Nume", None, "#", "Adresa", "Nume 2", "Nume 2"]
+    df = spark.createDataFrame([(d, k % 2, k, n) for d in (1, 2) for k, n in enumerate(labels)], "doc_id int, page int, pos int, label string")
+    rows = layout.assign_field_names(df).collect()
+    for d in (1, 2):
+        used, names = {}, {}
+        mine = sorted((r for r in rows if r["doc_id"] == d), key=lambda r: (r["page"], r["pos"]))
+        for r in mine:
+            base = {"Nume": "nume", "Nume 2": "nume_2", "Adresa": "adresa"}.get(r["label"], "field")
+            used[base] = used.get(base, 0) + 1
+            name = base if used[base] == 1 else f"{base}_{used[base]}"
+            names[name] = names.get(name, 0) + 1
+            wanted = name if names[name] == 1 else f"{name}_p{r['page']}" if names[name] == 2 else f"{name}_p{r['page']}_{r['pos']}"
+            assert r["field_name"] == wanted
+        assert len({r["field_name"] for r in mine}) == len(labels)

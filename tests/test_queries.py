@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from civicforms.plans.queries import ORACLE, QUERIES
+from civicforms.plans.registry import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
