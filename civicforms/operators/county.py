@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +56,14 @@ def _first_of(hay: Column, patterns: list[str], keys: list[str], values: list[st
 def derive_county_from_text(c: Column) -> Column:
     """The first county, in list order, that occurs as words in a text; dash and blank are one.
 
-    Words are looked up in the list of names all at once; only names of several words are searched for.
+    The search for words runs only over texts that hold a name's first word as letters at all.
     """
-    names = [re.sub(r"[-\s]+", "-", _plain(x)) for x in rules.COUNTIES]
-    plain = F.regexp_replace(F.regexp_replace(fold(c), java_pattern(r"[-\s]+"), "-"), "[^a-z0-9_-]+", " ")
-    single = F.array_intersect(F.split(plain, "[ -]"), F.array(*[F.lit(n) for n in names if "-" not in n]))
-    several = F.array_compact(F.array(*[F.when(plain.contains(n) & plain.rlike(rf"(?<![a-z0-9_]){n}(?![a-z0-9_])"), F.lit(n)) for n in names if "-" in n]))
-    rank = _map([(n, i) for i, n in reversed(list(enumerate(names)))])
-    best = F.array_min(F.transform(F.concat(single, several), lambda n: F.element_at(rank, n)))
-    return F.when(best.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in rules.COUNTIES]), best + 1))
+    plain = [_plain(x) for x in rules.COUNTIES]
+    dashed = lambda m: F.regexp_replace(m, r"[-\s]+", "-")
+    search = lambda f: _first_of(f, [re.sub(r"[-\s]+", r"[-\\s]+", x) for x in plain], [re.sub(r"[-\s]+", "-", x) for x in plain], list(rules.COUNTIES), dashed)
+    firsts = dict.fromkeys(re.split(r"[-\s]", x)[0] for x in plain)
+    some = lambda f: reduce(or_, (f.contains(w) for w in firsts))
+    return F.element_at(F.transform(F.array(fold(c)), lambda f: F.when(some(f), search(f))), 1)
 
 
 def is_national(c: Column) -> Column:

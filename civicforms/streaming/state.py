@@ -16,9 +16,9 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def arriving(rows: DataFrame) -> DataFrame:
-    """Rows of a stream with the time of their batch, behind which the watermark does not lag."""
-    return rows.withColumn(ARRIVED, F.current_timestamp()).withWatermark(ARRIVED, "0 seconds")
+def arriving(rows: DataFrame, lag: float = 0.0) -> DataFrame:
+    """Rows of a stream with the time of their batch; the watermark lags ``lag`` seconds behind it."""
+    return rows.withColumn(ARRIVED, F.current_timestamp()).withWatermark(ARRIVED, f"{round(lag * 1000)} milliseconds")
 
 
 def run_to_parts(rows: DataFrame, path: str, after: Callable[[DataFrame, int], None] | None = None, mode: str = "update") -> None:

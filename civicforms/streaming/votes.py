@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from civicforms.operators.votes import accepts, valid_votes
-from civicforms.streaming.state import ARRIVED, arriving, read_parts, run_to_parts
+from civicforms.streaming.state import arriving, read_parts, run_to_parts
 
 #: A vote without a time is older than all others.
 NO_TIME = -(1 << 55)
@@ -19,42 +19,21 @@ DELTA = "template_id long, d_up long, d_down long, events long, last_micros long
 
 
 class VoteState(StatefulProcessor):
-    """A device's vote on a template, and for a while the events that were counted.
-
-    The vote is kept for good, because it can be changed at any time.  Identifiers of
-    events are kept as long as a delivery may be repeated; then a timer removes them.
-    """
-
-    def __init__(self, repeat: int) -> None:
-        self.repeat = repeat
+    """A device's vote on a template, kept for good, because it can be changed at any time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.vote = handle.getValueState("vote", "value int, micros long, event_id long")
-        self.seen = handle.getMapState("seen", "event_id long", "until long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        value, micros, event_id = tuple(self.vote.get()) if self.vote.exists() else (0, None, -1)
-        before, fresh, until = value, 0, 0
+        value, micros, event_id = tuple(self.vote.get() or (0, None, -1))
+        before, events = value, 0
         for row in rows:
-            if self.seen.containsKey((row["event_id"],)):
-                continue
-            until = int(row[ARRIVED].timestamp() * 1000) + self.repeat
-            self.seen.updateValue((row["event_id"],), (until,))
-            fresh += 1
+            events += 1
             if micros is None or (row["micros"], row["event_id"]) > (micros, event_id):
                 value, micros, event_id = row["value"], row["micros"], row["event_id"]
-        if fresh:
-            self.handle.registerTimer(until)
-            self.vote.update((value, micros, event_id))
-            change = lambda sign: int(value == sign) - int(before == sign)
-            yield Row(template_id=key[0], d_up=change(1), d_down=change(-1), events=fresh, last_micros=micros)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for event in [k for k, v in self.seen.iterator() if v[0] <= now]:
-            self.seen.removeKey(event)
-        return iter(())
+        self.vote.update((value, micros, event_id))
+        change = lambda sign: int(value == sign) - int(before == sign)
+        yield Row(template_id=key[0], d_up=change(1), d_down=change(-1), events=events, last_micros=micros)
 
     def close(self) -> None:
         pass
@@ -64,11 +43,13 @@ def vote_deltas(votes: DataFrame, repeat: float = 86_400.0) -> DataFrame:
     """Counter changes of a stream of votes.
 
     There is one small state for each (template, device).  Rows may come in any order: a vote older
-    than the known one changes nothing.  An event delivered again within ``repeat`` seconds counts once
-    in ``events``; what is remembered for that is dropped afterwards, as time goes on with later arrivals.
+    than the known one changes nothing.  An event delivered again within ``repeat`` seconds of its first
+    arrival counts once in ``events``; what is remembered for that goes once the watermark has passed it.
     """
-    keyed = arriving(valid_votes(votes).select("template_id", "device_id", "value", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NO_TIME)).alias("micros"), "event_id"))
-    return keyed.groupBy("template_id", "device_id").transformWithState(VoteState(round(repeat * 1000)), DELTA, "Update", "EventTime")
+    key = ["template_id", "device_id"]
+    rows = valid_votes(votes).select(*key, "value", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NO_TIME)).alias("micros"), "event_id")
+    once = arriving(rows, repeat).dropDuplicatesWithinWatermark([*key, "event_id"])
+    return once.groupBy(*key).transformWithState(VoteState(), DELTA, "Append", "None")
 
 
 def run_vote_stream(votes: DataFrame, root: str, repeat: float = 86_400.0) -> DataFrame:
@@ -76,7 +57,7 @@ def run_vote_stream(votes: DataFrame, root: str, repeat: float = 86_400.0) -> Da
 
     Deltas are written by batch number, so a batch that is repeated after a failure replaces itself.
     """
-    run_to_parts(vote_deltas(votes, repeat), f"{root}/deltas")
+    run_to_parts(vote_deltas(votes, repeat), f"{root}/deltas", mode="append")
     deltas = read_parts(votes.sparkSession, T.StructType.fromDDL(DELTA), f"{root}/deltas")
     total = lambda c, name: F.sum(c).alias(name)
     return deltas.groupBy("template_id").agg(total("d_up", "up"), total("d_down", "down"), total("events", "events"), F.timestamp_micros(F.nullif(F.max("last_micros"), F.lit(NO_TIME))).alias("last_vote_at"))
