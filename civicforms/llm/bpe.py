@@ -11,13 +11,14 @@ consumed.  Only words with a failing pair are merged exactly, with a heap.
 Edge cases: null text counts as empty and gives no token, the empty id list and
 the empty decoded text.  The strings of special tokens become their ids and are
 kept on decoding, as the tokenizers library does by default.  Texts of any length
-are processed whole; memory is bounded by the slice size and the word cache.
+are processed whole; memory is bounded by the slice size and the bytes of the word cache.
 Repeated rows give repeated results, an empty table an empty one, and other input
-columns are dropped unless they are named in ``keep``.
+columns are dropped unless they are named in ``keep``, which refuses those called as results.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -106,7 +107,8 @@ def _entries(bpe: SpeculativeBPE, chunks: list[str]) -> list[tuple[int, str, str
 
 @lru_cache(maxsize=1)
 def _round_trip_cache(path: str) -> TwoGenerations:
-    return TwoGenerations(lambda chunks: _entries(encoder(path), chunks))
+    weigh = lambda e: sum(map(sys.getsizeof, e)) + sys.getsizeof(e)
+    return TwoGenerations(lambda chunks: _entries(encoder(path), chunks), weigh=weigh)
 
 
 def _round_trips(path: str, texts: list[str]) -> Iterator[tuple[int, str, str]]:
@@ -119,8 +121,14 @@ def _types(docs: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType:
     return T.StructType([docs.schema[k] for k in keep] + T.StructType.fromDDL(more).fields)
 
 
+def _free(keep: tuple[str, ...], *results: str) -> None:
+    if taken := set(keep) & set(results):
+        raise ValueError(f"columns to keep are called as results: {sorted(taken)}")
+
+
 def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Encode and decode each text: ``keep`` columns, n_tokens, ids_text (decimal ids joined by a blank), decoded."""
+    _free(keep, "n_tokens", "ids_text", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, text_col, 2 << 20):
@@ -133,6 +141,7 @@ def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``keep`` columns and ids (array of int) of each text."""
+    _free(keep, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
@@ -145,6 +154,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
     """``keep`` columns and the text of each id list; ids outside the vocabulary are skipped, null gives ''."""
+    _free(keep, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
