@@ -167,9 +167,10 @@ def _send(n: int, buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         group = _Group(table.column("payload").to_pylist(), n)
         at = cuts(group.grams, buckets)
-        rows = [(k, key[0].as_py(), group.grams[a:b].tobytes(), zlib.compress(group.counts[a:b].astype("<u4").tobytes(), 1)) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "group", "grams", "counts"])
+        rows = [(k, key[0].as_py(), group.grams[a:b].tobytes(), zlib.compress(group.counts[a:b].astype("<u4").tobytes(), 1)) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
+        types = {"bucket": pa.int32(), "group": pa.int32(), "grams": pa.binary(), "counts": pa.binary()}
+        columns = zip(*rows, strict=True) if rows else ((),) * len(types)
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
 
     return run
 
@@ -316,6 +317,8 @@ def _placed(docs: DataFrame, n: int, star_rounds: int) -> DataFrame:
     space.release()
     rows = space.write(_candidates(signed), "candidates")
     members = space.write(signed.select("doc_id", "text_key", "n_shingles", "set_id"), "members")
+    if rows.isEmpty():  # no n-gram is in two prefixes, so nothing can link
+        return members.select("doc_id", "text_key", "n_shingles", F.col("set_id").alias("label"))
     nodes = rows.select("set_id").distinct()
 
     # The whole sets of the candidates alone, from one document each; dealt once by set, for all rounds.
@@ -336,8 +339,10 @@ def _placed(docs: DataFrame, n: int, star_rounds: int) -> DataFrame:
         labelled = rows.join(labels, "set_id")
         pairs = _star_pairs(labelled, turn) if stars else _remaining_pairs(labelled, sets)
         edges = space.write(_verified(pairs, sets), f"edges-{turn}")
-        labels = _relabel(labels, edges, space, f"turn-{turn}")
-        linked, turn = edges.count(), turn + 1
+        linked = edges.count()
+        if linked:
+            labels = _relabel(labels, edges, space, f"turn-{turn}")
+        turn += 1
         del labelled, pairs, edges
         space.release()
         if not stars:
