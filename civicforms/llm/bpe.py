@@ -18,7 +18,6 @@ columns are dropped unless they are named in ``keep``, which refuses those calle
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicforms.llm.chunks import TwoGenerations, lower_chunks
+from civicforms.llm.chunks import ENTRY_BYTES, TwoGenerations, lower_chunks
 from civicforms.llm.common import read, text_slices
 from civicforms.llm.merges import END, SUFFIX, MergeRules, byte_alphabet, plain_words  # noqa: F401  some for other modules
 
@@ -107,7 +106,7 @@ def _entries(bpe: SpeculativeBPE, chunks: list[str]) -> list[tuple[int, str, str
 
 @lru_cache(maxsize=1)
 def _round_trip_cache(path: str) -> TwoGenerations:
-    weigh = lambda e: sum(map(sys.getsizeof, e)) + sys.getsizeof(e)
+    weigh = lambda entries: sum([len(ids) + 4 * len(decoded) + ENTRY_BYTES for _, ids, decoded in entries])
     return TwoGenerations(lambda chunks: _entries(encoder(path), chunks), weigh=weigh)
 
 

@@ -11,13 +11,11 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, repeat
-from typing import Any
 
 import numpy as np
 
@@ -25,8 +23,8 @@ from civicforms.llm.merges import END, MergeRules, plain_words
 
 #: Entries of a generation of a cache, and their bytes with all they hold; a bound on memory, not on texts.
 CACHE_ENTRIES, CACHE_BYTES = 300_000, 96 << 20
-#: Bytes that an entry takes in a dictionary beside its key and value.
-ENTRY_BYTES = 100
+#: Bytes that an entry takes at most beside the signs of its key and value, and a sign of a key.
+ENTRY_BYTES, SIGN_BYTES = 200, 4
 #: A full stop or comma after another sign: there the two may be one word of the pattern.
 _CLUSTER = re.compile(r"(?:[^\w\s]|_)[.,]\s")
 #: Python calls these white space, the vocabulary's pattern does not.
@@ -62,19 +60,19 @@ def numbered(place: dict[str, int], chunked: list[list[str]], add: Callable[[lis
 class TwoGenerations(dict):
     """A cache of bounded size: the elder half goes when the younger is full, except what was used again.
 
-    A generation is full by its entries or its bytes, whichever comes first; ``weigh`` gives the bytes of a value.
-    It is looked at between two slices of texts, so the cache never outgrows its bound by more than one slice.
+    A generation is full by its entries or its bytes, whichever comes first; ``weigh`` gives the bytes of some values.
+    Bytes are rather overrated, as if every sign took four.  It is looked at between two slices of texts, so the cache never outgrows its bound by more than one slice.
     """
 
-    def __init__(self, fill: Callable[[list[str]], list], limit: int = CACHE_ENTRIES, most: int = CACHE_BYTES, weigh: Callable[[Any], int] = sys.getsizeof) -> None:
+    def __init__(self, fill: Callable[[list[str]], list], limit: int = CACHE_ENTRIES, most: int = CACHE_BYTES, weigh: Callable[[list], int] = lambda values: sum(map(len, values))) -> None:
         super().__init__()
         self.elder: dict = {}
         self.held = 0
         self.fill, self.limit, self.most, self.weigh = fill, limit, most, weigh
 
-    def _keep(self, entries: list[tuple[str, Any]]) -> None:
-        self.update(entries)
-        self.held += sum([sys.getsizeof(c) + self.weigh(v) + ENTRY_BYTES for c, v in entries])
+    def _keep(self, chunks: list[str], values: list) -> None:
+        self.update(zip(chunks, values, strict=True))
+        self.held += SIGN_BYTES * sum(map(len, chunks)) + self.weigh(values) + ENTRY_BYTES * len(chunks)
 
     def values_of(self, chunked: list[list[str]]) -> Iterator[list]:
         """The values of the chunks of each text."""
@@ -84,9 +82,10 @@ class TwoGenerations(dict):
         flat = list(chain.from_iterable(chunked))
         values = list(map(self.get, flat))
         if missing := {c for c, v in zip(flat, values, strict=True) if v is None}:
-            self._keep([(c, self.elder[c]) for c in missing if c in self.elder])
+            again = [c for c in missing if c in self.elder]
+            self._keep(again, [self.elder[c] for c in again])
             new = [c for c in missing if c not in self]
-            self._keep(list(zip(new, self.fill(new), strict=True)))
+            self._keep(new, self.fill(new))
             values = list(map(self.__getitem__, flat))
         start = 0
         for chunks in chunked:

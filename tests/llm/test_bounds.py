@@ -33,7 +33,7 @@ def test_cache_is_bounded_by_bytes_and_forgets_nothing_it_needs():
 
 def test_long_chunks_through_the_word_cache(monkeypatch):
     bpe._round_trip_cache.cache_clear()
-    monkeypatch.setattr(chunks.TwoGenerations.__init__, "__defaults__", (chunks.CACHE_ENTRIES, 1 << 20, sys.getsizeof))
+    monkeypatch.setattr(chunks.TwoGenerations.__init__, "__defaults__", (chunks.CACHE_ENTRIES, 1 << 20, chunks.TwoGenerations.__init__.__defaults__[2]))
     rng = np.random.default_rng(3)
     texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 400))) for _ in range(400)] * 2
     library = Tokenizer.from_file(WORD)
