@@ -2,8 +2,8 @@
 
 Prefix sums of turn tokens place the turns of a conversation on a line that is
 ruled at every half budget.  The turns that begin between two rules make a
-window, so windows hold whole turns and never more than the budget; a turn longer
-than half the budget gets a window of its own.  Later windows begin with the
+window, so windows hold whole turns; a turn longer than half the budget gets a window of
+its own, and only such a turn, or a long system turn, makes a window exceed the budget.  Later windows begin with the
 system turn and with a few of the turns before them.  What is repeated is never a
 target: the loss mask of a window covers each new assistant text once.
 
