@@ -360,3 +360,33 @@ def test_names_of_fields_stay_unique(spark):
             wanted = name if names[name] == 1 else f"{name}_p{r['page']}" if names[name] == 2 else f"{name}_p{r['page']}_{r['pos']}"
             assert r["field_name"] == wanted
         assert len({r["field_name"] for r in mine}) == len(labels)
+
+
+def test_orders_of_votes(spark):
+    counts = spark.createDataFrame([(1, 5, 5), (2, 0, 9), (3, 9, 1), (4, 3, 0), (5, 1, 1)], "template_id int, up int, down int")
+    assert [r["template_id"] for r in votes.most_downvoted(counts, 4).collect()] == [2, 1, 3, 5]
+    assert [r["template_id"] for r in votes.worst_ratio(counts, 3).collect()] == [2, 1, 3]
+    assert [r["template_id"] for r in votes.worst_ratio(counts).collect()] == [2, 1, 5, 3]
+    rows = [(1, d, (1, -1)[d % 2], f"c{d}" if d != 3 else None, f"2024-01-0{1 + d}", d) for d in range(5)] + [(1, 0, -1, "late", "2024-02-01", 9), (2, 0, -1, "other", "2024-03-01", 10)]
+    live = spark.createDataFrame(rows, "template_id int, device_id int, value int, comment string, t string, event_id int").withColumn("ts", F.col("t").cast("timestamp"))
+    assert [r["device_id"] for r in votes.votes_for_template(live, 1).collect()] == [0, 4, 3, 2, 1]
+    assert sorted(r["comment"] for r in votes.downvote_comments(live).collect()) == ["c1", "late", "other"]
+
+
+def test_filters_that_pass_all_or_one(spark):
+    rows = spark.createDataFrame([(1, "Cluj"), (2, "Arad"), (3, None)], "id int, county_bucket string")
+    assert catalog.filter_county(rows, "__all__").count() == 3
+    assert [r["id"] for r in catalog.filter_county(rows, "Arad").collect()] == [2]
+    files = spark.createDataFrame([(f"/x/bundle-{n}/a{n}.pdf",) for n in (10, 2, 33)] + [("/x/other/b.pdf",)], "path string")
+    assert [r["bundle"] for r in readers.scan_bundles(files).collect()] == [2, 10, 33]
+    assert [r["path"] for r in readers.scan_bundles(files, 10).collect()] == ["/x/bundle-10/a10.pdf"]
+
+
+def test_shapes_near_one_another_count_once(spark):
+    rows = [(1, 0, k, ("cell", "checkbox")[k % 2], k * 7 % 30, k * 3 % 20, 20 + k % 5, 10 + k % 3) for k in range(60)]
+    kept = []
+    for r in rows:
+        if not any(k[3] == r[3] and all(abs(k[i] - r[i]) < 4 for i in (4, 5, 6, 7)) for k in kept):
+            kept.append(r)
+    df = spark.createDataFrame(rows, "doc_id int, page int, pos int, kind string, x int, y int, w int, h int").repartition(3)
+    assert sorted(r["pos"] for r in layout.dedupe_shapes(df).collect()) == sorted(r[2] for r in kept)
