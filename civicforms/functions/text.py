@@ -228,6 +228,7 @@ def page_title(name: Column, organization: Column, site: str) -> Column:
 
 def page_description(name: Column, organization: Column, county: Column) -> Column:
     """Description of a template's page."""
+    # The words of the description.
     issued = F.when(organization != "", F.concat(F.lit(" emis de "), organization)).otherwise("")
     place = F.when(county != "", F.concat(F.lit(" ("), county, F.lit(")"))).otherwise("")
     return F.concat(F.lit("Completați online formularul „"), name, F.lit('"'), issued, place, F.lit(". Descărcați PDF-ul gata de imprimat sau de transmis prin canalele oficiale."))

@@ -21,6 +21,7 @@ from civicforms.functions.text import any_match, fold, java_pattern
 CAPITAL = "Bucuresti"
 TEMPLATE_NATIONAL = "Național / Necunoscut"
 PROCEDURE_NATIONAL = "Național"
+# Fixed value: how names say a sector of the capital.
 SECTOR = r"\bSector(?:ul|ului)?\s*\d\b|\bSector\s+\d\b"
 
 
@@ -72,16 +73,16 @@ def is_national(c: Column) -> Column:
 
 
 def _by_length() -> list[tuple[str, str]]:
-    return sorted(rules.places(), key=lambda p: -len(p[0]))  # stable: ties keep the table's order
+    return sorted(rules.PLACES, key=lambda p: -len(p[0]))  # stable: ties keep the table's order
 
 
 def derive_county_from_org(org: Column, city: Column, skip_national: bool = False) -> Column:
     """The county of an institution: exact name, sector, city, nationwide pattern, longest place in its name."""
     plain, hay, places = _plain, fold(org), _by_length()
-    by_city = F.coalesce(F.element_at(_map(rules.places()), city), F.element_at(_map([(plain(k), v) for k, v in reversed(places)]), fold(city)))
+    by_city = F.coalesce(F.element_at(_map(rules.PLACES), city), F.element_at(_map([(plain(k), v) for k, v in reversed(places)]), fold(city)))
     token = _first_of(hay, [re.escape(plain(k)) for k, _ in places], [plain(k) for k, _ in places], [v for _, v in places])
     steps = [
-        F.element_at(_map([(plain(k), v) for k, v in rules.institutions()]), hay),
+        F.element_at(_map([(plain(k), v) for k, v in rules.INSTITUTIONS]), hay),
         F.when(org.rlike(java_pattern(SECTOR, False)), F.lit(CAPITAL)),
         F.when(city != "", by_city),
     ]

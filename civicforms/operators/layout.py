@@ -18,6 +18,9 @@ DEFAULT_PAGE_HEIGHT = 841.89
 
 # Thresholds of the detector, in points, and the width of a label that has none.
 LABEL_WIDTH = 50
+# How far a label may be from its field, in points (left, above) and in pixels of a page at 200 dots an inch.
+LINE_SLACK, LEFT_LEAST, LEFT_MOST, LEFT_FAR, ABOVE_MOST, SIDE_SLACK = 10, -10, 300, 150, 25, 30
+LINE_SLACK_PX, LEFT_LEAST_PX, LEFT_MOST_PX, ABOVE_MOST_PX, SIDE_SLACK_PX = 22, -20, 600, 70, 30
 LEADER_SIGNS, LEADER_SHARE = 4, 0.5
 #: Side of a cell of the grid that boxes meet in, and the most cells a side that a box is put in.
 CELL, CELLS = 64, 16
@@ -246,13 +249,13 @@ def _nearest(fields: DataFrame, labels: DataFrame, condition: Column, distance:
     return best.select(*PAGE, "pos", "best.label", "best.l_pos", "best.distance", "best.l_conf")
 
 
-def nearest_label_left(fields: DataFrame, texts: DataFrame, dy: float = 10, least: float = -10, most: float = 300) -> DataFrame:
+def nearest_label_left(fields: DataFrame, texts: DataFrame, dy: float = LINE_SLACK, least: float = LEFT_LEAST, most: float = LEFT_MOST) -> DataFrame:
     """The label next to the left of each field on its line."""
     gap = F.col("x") - (F.col("l_x") + F.col("l_w"))
     return _nearest(fields, _labels(texts), (F.abs(F.col("l_y") - F.col("y")) <= dy) & gap.between(least, most), gap)
 
 
-def nearest_label_above(fields: DataFrame, texts: DataFrame, most: float = 25, slack: float = 30) -> DataFrame:
+def nearest_label_above(fields: DataFrame, texts: DataFrame, most: float = ABOVE_MOST, slack: float = SIDE_SLACK) -> DataFrame:
     """The label next above each field that overlaps it sideways; a label without a width counts as 50 wide."""
     up = F.col("l_y") - F.col("y")
     width = F.when(F.coalesce("l_w", F.lit(0)) == 0, LABEL_WIDTH).otherwise(F.col("l_w"))
@@ -260,7 +263,7 @@ def nearest_label_above(fields: DataFrame, texts: DataFrame, most: float = 25, s
     return _nearest(fields, _labels(texts), up.between(0, most) & beside, up)
 
 
-def nearest_label(fields: DataFrame, texts: DataFrame, far: float = 150) -> DataFrame:
+def nearest_label(fields: DataFrame, texts: DataFrame, far: float = LEFT_FAR) -> DataFrame:
     """Left label, or the one above if there is none on the left or it is far and the other nearer."""
     left = nearest_label_left(fields, texts).withColumnsRenamed({"label": "left_label", "distance": "left_distance"}).drop("l_pos", "l_conf")
     above = nearest_label_above(fields, texts).withColumnsRenamed({"label": "above_label", "distance": "above_distance"}).drop("l_pos", "l_conf")
@@ -275,10 +278,10 @@ def nearest_label_px(fields: DataFrame, texts: DataFrame) -> DataFrame:
     labels = _labels(texts)
     gap = F.col("x") - (F.col("l_x") + F.col("l_w"))
     middle = F.abs((F.col("l_y") + F.col("l_h") / 2) - (F.col("y") + F.col("h") / 2))
-    left = _nearest(fields, labels, (middle <= 22) & gap.between(-20, 600), gap)
+    left = _nearest(fields, labels, (middle <= LINE_SLACK_PX) & gap.between(LEFT_LEAST_PX, LEFT_MOST_PX), gap)
     up = F.col("y") - (F.col("l_y") + F.col("l_h"))
-    beside = (F.col("l_x") + F.col("l_w") >= F.col("x") - 30) & (F.col("l_x") <= F.col("x") + F.col("w") + 30)
-    above = _nearest(fields, labels, up.between(0, 70) & beside, up)
+    beside = (F.col("l_x") + F.col("l_w") >= F.col("x") - SIDE_SLACK_PX) & (F.col("l_x") <= F.col("x") + F.col("w") + SIDE_SLACK_PX)
+    above = _nearest(fields, labels, up.between(0, ABOVE_MOST_PX) & beside, up)
     a, b = (d.select(*PAGE, "pos", F.struct("label", "l_conf").alias(n)) for d, n in ((left, "__left"), (above, "__above")))
     both = fields.join(a, [*PAGE, "pos"], "left").join(b, [*PAGE, "pos"], "left").withColumn("__best", F.coalesce("__left", "__above"))
     return both.withColumns({"label": F.col("__best.label"), "label_conf": F.col("__best.l_conf")}).drop("__left", "__above", "__best")

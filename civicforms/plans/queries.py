@@ -64,11 +64,11 @@ def _sql_from_text(e: str) -> str:
 
 
 def _sql_from_org(org: str, city: str, skip_national: bool) -> str:
-    ranked = sorted(rules.places(), key=lambda p: -len(p[0]))
+    ranked = sorted(rules.PLACES, key=lambda p: -len(p[0]))
     steps = [
-        f"CASE {_sql_fold(org)} " + " ".join(f"WHEN {_sql_fold(_q(k))} THEN {_q(v)}" for k, v in rules.institutions()) + " END",
+        f"CASE {_sql_fold(org)} " + " ".join(f"WHEN {_sql_fold(_q(k))} THEN {_q(v)}" for k, v in rules.INSTITUTIONS) + " END",
         f"CASE WHEN {_sql_js(org, county.SECTOR, False)} THEN 'Bucuresti' END",
-        f"CASE WHEN {city} <> '' THEN coalesce(CASE {city} " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in rules.places()) + f" END, CASE {_sql_fold(city)} " + " ".join(f"WHEN {_q(k.lower())} THEN {_q(v)}" for k, v in ranked) + " END) END",
+        f"CASE WHEN {city} <> '' THEN coalesce(CASE {city} " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in rules.PLACES) + f" END, CASE {_sql_fold(city)} " + " ".join(f"WHEN {_q(k.lower())} THEN {_q(v)}" for k, v in ranked) + " END) END",
     ]
     if not skip_national:
         steps.append(f"CASE WHEN {_sql_any(org, rules.NATIONAL)} THEN 'Bucuresti' END")
