@@ -141,6 +141,7 @@ def with_procedure_county(df: DataFrame) -> DataFrame:
     return resolve_once(df, keys, county_bucket=procedure_county(*[F.col(k) for k in keys]))
 
 
+# Names of town halls, councils and prefectures.
 _CITY = ((r"^Primaria\s+Municipiului\s+(.+)$", "municipiu"), (r"^Primaria\s+Orasului\s+(.+)$", "oras"), (r"^Primaria\s+Comunei\s+(.+)$", "comuna"))
 _SECTOR_CITY = r"^Primaria\s+Sectorului\s+(\d+)\s+(.+)$"
 _COUNTY = (r"^Consiliul\s+Judetean\s+(.+)$", r"^Prefectura\s+Judetului\s+(.+)$")
