@@ -56,3 +56,20 @@ def cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins and ends among sorted hashes: equal ranges of hash values."""
     borders = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(hashes, borders), [len(hashes)]])
+
+
+def fewest_hashes(rows: DataFrame, most: int, seed: str) -> DataFrame:
+    """At most ``most`` rows: all, or those whose hash of ``doc_id`` lies below a bound.
+
+    The bound is the hash that comes after the ``most`` smallest, found among about twice
+    as many hashes, so that no task sorts more however many partitions there are.  Rows
+    of one identifier stay or go together.
+    """
+    there = rows.count()
+    if there <= most:
+        return rows
+    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    bound = min((2 * most << 64) // there - (1 << 63), (1 << 63) - 1)
+    near = rows.select(h.alias("h")).where(F.col("h") < F.lit(bound)).orderBy("h").limit(most + 1)
+    found = near.agg(F.count("h").alias("n"), F.max("h").alias("last")).first()
+    return rows.where(h < F.lit(found["last"] if found["n"] > most else bound))

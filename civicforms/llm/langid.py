@@ -8,15 +8,15 @@ expectation maximisation (forward-backward over the distinct words of the traini
 sample, weighted by their counts).  A document's words are independent, so its
 score is the posterior of the languages given all of its words.
 
-The model is fitted on at most ``SAMPLE_DOCS`` labelled documents, chosen by a hash
-of their identifier, and holds languages x pieces floats, which bounds what is
-broadcast.  Every document is scored on its whole text.
+The model is fitted on at most ``SAMPLE_DOCS`` labelled documents, those with the
+smallest hash of their identifier, and holds languages x pieces floats.  That is
+broadcast, so more than ``MOST_LANGS`` languages are refused.  Every document is
+scored on its whole text.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0.  Words
-of any length are summed over all their segmentations: short ones of one length
-together, longer ones from stretch to stretch, carrying the probabilities of the last
-letters.  Only learning cuts words longer than ``SHORT`` letters.  Letters
-outside the vocabulary get a floor probability, the same in all languages.  Ties
+of any length are summed over all their segmentations, in learning as in scoring:
+short ones of one length together, longer ones from stretch to stretch, carrying the
+probabilities of the last letters.  Letters outside the vocabulary get a floor probability, the same in all languages.  Ties
 go to the alphabetically first language.  With no training document every text is
 ``und``.  Repeated rows get equal results; an empty table gives an empty one.  Other
 input columns are dropped unless named in ``keep``, where their names must not be
@@ -36,11 +36,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicforms.llm.bpe import SUFFIX, _types, byte_alphabet
+from civicforms.llm.bpe import SUFFIX, _free, _types, byte_alphabet
 from civicforms.llm.chunks import lower_chunks, numbered
-from civicforms.llm.common import id_hash, read, text_slices
+from civicforms.llm.common import fewest_hashes, id_hash, read, text_slices
 
 SAMPLE_DOCS = 20_000
+#: More distinct values of ``lang`` than any list of languages has say that the column is not clean.
+MOST_LANGS = 1_000
 ROUNDS = 3
 #: Words of more letters are scored one by one, STRETCH letters at a time.
 SHORT, STRETCH = 32, 1 << 14
@@ -49,6 +51,8 @@ TABLE_BITS = 20
 #: Bytes of scores that are kept from text to text, chunks that are scored together, and numbers held for words of
 #: one length: bounds on memory, not on texts.
 CACHE_BYTES, CHUNKS_AT_ONCE, CELLS = 24 << 20, 50_000, 1 << 20
+#: Distinct words, and letters of texts, that one task counts before it hands them on.
+WORDS_HELD, LETTERS_HELD = 200_000, 1 << 25
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -152,21 +156,50 @@ def _slices(members: list[int], cells_each: int) -> Iterator[list[int]]:
         yield members[start : start + step]
 
 
-def _long_score(table: Pieces, probs: np.ndarray, word: str) -> np.ndarray:
-    """As ``word_scores`` for one word of any length: only the last alphas are carried on, scaled to the newest."""
+def _long_steps(table: Pieces, probs: np.ndarray, word: str) -> Iterator[np.ndarray]:
+    """For one word of any length: by how much log P(letters so far) grows with each letter, in each language.
+
+    Only the alphas of the last letters are carried on, scaled to the newest.
+    """
     before = np.zeros((table.longest, probs.shape[1]))
     before[0] = 1.0
-    logs = np.zeros(probs.shape[1])
     for start in range(0, len(word), STRETCH):
         for ids in table.ending_at(word, start):
             sizes = np.flatnonzero(ids >= 0)
-            if len(sizes) and sizes[0] == 0:
-                alpha = (before[sizes] * probs[ids[sizes]]).sum(axis=0)
-            else:
-                alpha = before[0] * probs[-1] + (before[sizes] * probs[ids[sizes]]).sum(axis=0)
+            alpha = (before[sizes] * probs[ids[sizes]]).sum(axis=0)
+            if not len(sizes) or sizes[0] > 0:
+                alpha = alpha + before[0] * probs[-1]
             before = np.vstack([np.ones((1, len(alpha))), before[:-1] / alpha])
-            logs += np.log(alpha)
-    return logs
+            yield np.log(alpha)
+
+
+def _long_score(table: Pieces, probs: np.ndarray, word: str) -> np.ndarray:
+    """As ``word_scores`` for one word of any length."""
+    return sum(_long_steps(table, probs, word), np.zeros(probs.shape[1]))
+
+
+def _long_counts(table: Pieces, probs: np.ndarray, word: str) -> np.ndarray:
+    """As ``expected_counts`` for one word of any length in one language; holds some numbers a letter.
+
+    Backwards, each place passes on the probability that a cut lies there to the places
+    where the piece that ends there can begin.
+    """
+    total = np.zeros(len(table) + 1)
+    logs = np.zeros(len(word) + 1)
+    logs[1:] = np.cumsum([step[0] for step in _long_steps(table, probs[:, None], word)])
+    cut = np.zeros(len(word) + 1)
+    cut[-1] = 1.0
+    for start in reversed(range(0, len(word), STRETCH)):
+        ending = table.ending_at(word, start)
+        for end in range(start + len(ending), start, -1):
+            ids = ending[end - start - 1]
+            # A letter that is no piece is one all the same: the last row of ``probs``.
+            sizes = np.union1d(np.flatnonzero(ids >= 0), [0])
+            begins = end - 1 - sizes
+            uses = cut[end] * probs[ids[sizes]] * np.exp(logs[begins] - logs[end])
+            cut[begins] += uses
+            total[ids[sizes]] += uses
+    return total[:-1]
 
 
 def word_scores(table: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarray:
@@ -239,6 +272,10 @@ def expected_counts(table: Pieces, probs: np.ndarray, words: list[str], lang: np
     """Expected uses of each piece in each language, given word counts of one language each."""
     total = np.zeros((len(table), probs.shape[1]))
     for n, same_length in _by_length(words).items():
+        if n > SHORT:
+            for k in same_length:
+                total[:, lang[k]] += counts[k] * _long_counts(table, probs[:, lang[k]], words[k])
+            continue
         for members in _slices(same_length, n * table.longest):
             rows = np.array(members)
             own, weight = lang[rows], counts[rows]
@@ -267,28 +304,21 @@ def letter_words(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def _in_parts(words: list[str]) -> list[str]:
-    """For learning: long words in stretches of SHORT letters."""
-    if max(map(len, words), default=0) <= SHORT:
-        return words
-    return [w[k : k + SHORT] for w in words for k in range(0, len(w), SHORT)]
-
-
 def training_words(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, word, n) over at most about ``sample`` labelled documents, drawn by a hash of the identifier."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    there = labelled.count()
-    if there > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30)) < F.lit(int(sample / there * (1 << 30))))
+    """(lang, word, n) over at most ``sample`` labelled documents."""
+    labelled = fewest_hashes(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), sample, "language")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
+        letters = 0
         for part, texts in text_slices(batches):
             for lang, text in zip(part.column("lang").to_pylist(), texts, strict=True):
-                seen.setdefault(lang, Counter()).update(_in_parts(letter_words(text)))
-            if sum(map(len, seen.values())) > 200_000:
+                seen.setdefault(lang, Counter()).update(letter_words(text))
+                letters += len(text)
+            if sum(map(len, seen.values())) > WORDS_HELD or letters > LETTERS_HELD:
                 yield counts(seen)
                 seen.clear()
+                letters = 0
         if seen:
             yield counts(seen)
 
@@ -316,7 +346,10 @@ def _normalise(counts: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model:
     """Learn piece probabilities of each language from labelled documents."""
     words = training_words(docs, sample).persist()
-    mass = sorted((r["lang"], r["n"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect())
+    mass = sorted((r["lang"], r["n"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGS + 1).collect())
+    if len(mass) > MOST_LANGS:
+        words.unpersist()
+        raise ValueError(f"more than {MOST_LANGS} distinct values of lang: clean the column first")
     langs = [lang for lang, _ in mass]
     number = {lang: k for k, lang in enumerate(langs)}
     prior = np.array([n for _, n in mass], float) / max(1, sum(n for _, n in mass))
@@ -347,6 +380,7 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, rounds: int = ROU
 
 def predict(docs: DataFrame, model: Model, path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns and, named by ``out``, the predicted language and its posterior (0 for ``und``)."""
+    _free(keep, *out)
     spread = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.probs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
