@@ -1,12 +1,11 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
-Features are the distinct words, their stems (first letters, as many as STEMS
-says), word pairs and pairs with one word between them, hashed into 2**BITS
-places; each counts once a document, whatever its length.  Stems let a word be
-known in inflections that training never saw.
+Features are the distinct words, word pairs and pairs with one word between them,
+hashed into 2**BITS places; each counts once a document, whatever its length.
 FTRL-proximal keeps a learning rate for every coordinate, and its L1 term leaves
 most weights at exactly zero, so the model is a short list of places and weights
-that is small enough to broadcast.
+that is small enough to broadcast.  L1 is large because a long document has thousands
+of features and few of them tell anything.
 
 The model is fitted on at most ``SAMPLE_DOCS`` labelled documents, the ones with the
 smallest hash of their identifier.  That bounds the labels that are broadcast, the
@@ -17,7 +16,8 @@ Edge cases: a null text counts as empty; without any word the score is the bias
 alone.  Rows without a label are not learned from.  A document with several labels
 counts for each.  With no labelled row the score is 0.5 for all and ``predicted``
 follows the threshold.  Repeated rows get equal results; an empty table gives an
-empty one.  Other input columns are dropped unless named in ``keep``.
+empty one.  Other input columns are dropped unless named in ``keep``, where their
+names must not be that of ``out``.
 """
 
 from __future__ import annotations
@@ -31,16 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicforms.llm.bpe import _types
+from civicforms.llm.bpe import _free, _types
 from civicforms.llm.chunks import numbered
-from civicforms.llm.common import id_hash, read, text_slices
+from civicforms.llm.common import fewest_hashes, id_hash, read, text_slices
 
 BITS = 20
 SAMPLE_DOCS = 16_000
 EPOCHS = 5
-ALPHA, BETA, L1, L2 = 0.4, 1.0, 4.0, 0.2
+ALPHA, BETA, L1, L2 = 1.6, 1.0, 12.0, 0.2
 THRESHOLD = 0.3
-STEMS = (4, 5, 6, 7)
 #: Chunks of text whose words are kept from slice to slice, and their letters: a bound on memory, not on texts.
 CACHE_CHUNKS, CACHE_LETTERS = 200_000, 8 << 20
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -48,11 +47,11 @@ _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordTable:
-    """The words of chunks of text as hashes, and the places of their words and stems; packed in arrays.
+    """The words of chunks of text as hashes, packed in one array.
 
-    With ``weights`` only places of non-zero weight are kept.  It is emptied between two
-    slices of texts when it holds more than ``CACHE_CHUNKS`` chunks or ``CACHE_LETTERS``
-    letters, so it never outgrows those by more than one slice.
+    With ``weights`` only features of non-zero weight are given.  It is emptied between
+    two slices of texts when it holds more than ``CACHE_CHUNKS`` chunks or
+    ``CACHE_LETTERS`` letters, so it never outgrows those by more than one slice.
     """
 
     def __init__(self, weights: np.ndarray | None = None) -> None:
@@ -62,47 +61,37 @@ class WordTable:
     def clear(self) -> None:
         self.row: dict[str, int] = {}
         self.letters = 0
-        self.word_ends, self.place_ends = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.words, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ends, self.words = np.zeros(1, np.int64), np.zeros(0, np.uint64)
 
     def _add(self, new: list[str]) -> None:
-        words, stems, word_counts, stem_counts = [], [], [], []
+        words, counts = [], []
         for chunk in new:
             found = [chunk] if chunk.isascii() and chunk.isalnum() else _WORD.findall(chunk)
-            cut = {w[:k] for w in found for k in STEMS if len(w) > k}
             words += [xxhash.xxh3_64_intdigest(w) for w in found]
-            stems += [xxhash.xxh3_64_intdigest(x, seed=1) for x in cut]
-            word_counts.append(len(found))
-            stem_counts.append(len(cut))
-        hashes = np.array(words, np.uint64)
-        chunk_of = np.concatenate([np.repeat(np.arange(len(new)), word_counts), np.repeat(np.arange(len(new)), stem_counts)])
-        places = _places(np.concatenate([hashes, np.array(stems, np.uint64)]))
-        if self.weights is not None:
-            used = np.flatnonzero(self.weights[places])
-            places, chunk_of = places[used], chunk_of[used]
-        order = np.argsort(chunk_of, kind="stable")
+            counts.append(len(found))
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
         self.letters += sum(map(len, new))
-        self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(word_counts)])
-        self.place_ends = np.concatenate([self.place_ends, self.place_ends[-1] + np.cumsum(np.bincount(chunk_of, minlength=len(new)))])
-        self.words, self.places = np.concatenate([self.words, hashes]), np.concatenate([self.places, places[order]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts, dtype=np.int64)])
+        self.words = np.concatenate([self.words, np.array(words, np.uint64)])
 
     def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text, place) of the distinct features of some texts, in order of both."""
         if len(self.row) > CACHE_CHUNKS or self.letters > CACHE_LETTERS:
             self.clear()
         rows, sizes = numbered(self.row, [t.lower().split() for t in texts], self._add)
-        text_of = np.repeat(np.arange(len(texts)), sizes)
-        at, owner = _spread(self.word_ends, rows, text_of)
+        at, owner = _spread(self.ends, rows, np.repeat(np.arange(len(texts)), sizes))
         words = self.words[at]
-        at, own_place = _spread(self.place_ends, rows, text_of)
-        found = [own_place << BITS | self.places[at]]
-        for gap, multiplier in ((1, _PAIR), (2, _SKIP)):
-            places = _places(words[:-gap] * multiplier + words[gap:])
-            inside = owner[:-gap] == owner[gap:]
+        everywhere = np.ones(len(words), bool)
+        found = []
+        for hashes, of, inside in (
+            (words, owner, everywhere),
+            (words[:-1] * _PAIR + words[1:], owner[:-1], owner[:-1] == owner[1:]),
+            (words[:-2] * _SKIP + words[2:], owner[:-2], owner[:-2] == owner[2:]),
+        ):
+            places = _places(hashes)
             if self.weights is not None:
-                inside &= self.weights[places] != 0
-            found.append(owner[:-gap][inside] << BITS | places[inside])
+                inside = inside & (self.weights[places] != 0)
+            found.append(of[inside] << BITS | places[inside])
         keys = np.unique(np.concatenate(found))
         return keys >> BITS, keys & ((1 << BITS) - 1)
 
@@ -139,10 +128,10 @@ class Ftrl:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """text and label of at most ``sample`` labelled rows, those with the smallest hash of their identifier."""
+    """doc_id, text and label of the documents of at most ``sample`` labels, those with the smallest hash of their identifier."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     # At most ``sample`` rows of two numbers: a bounded broadcast.
-    chosen = chosen.orderBy(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), "doc_id", "toxic").limit(sample)
+    chosen = fewest_hashes(chosen, sample, "toxicity")
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
 
@@ -179,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, epochs: i
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", out: str = "score") -> DataFrame:
     """``keep`` columns and, named by ``out``, the probability of being toxic."""
+    _free(keep, out)
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

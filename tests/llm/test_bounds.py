@@ -7,7 +7,8 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from civicforms.llm import bpe, chunks, ngram_join
+from civicforms.llm import bpe, chunks, langid, ngram_join, toxicity
+from civicforms.llm.common import fewest_hashes
 
 WORD = P.path("word_bpe_49k.json")
 
@@ -62,3 +63,41 @@ def test_join_in_which_nothing_can_link(spark):
     assert rows == {(k, max(min(k, 1), k - 4), k) for k in range(12)} | {(None, 0, None), (50, 0, 50)}
     assert ngram_join.keep_one(docs).count() == 14
     assert ngram_join.components(docs.where("false")).collect() == []
+
+
+def test_samples_never_exceed_their_bound(spark):
+    rows = spark.range(0, 3000, 1, 7).selectExpr("nullif(id % 2500, 17) AS doc_id")
+    for most in (0, 1, 40, 2999, 3000):
+        found = [r["doc_id"] for r in fewest_hashes(rows, most, "x").collect()]
+        assert max(0, most - 2) <= len(found) <= most  # of an identifier's two rows none or both
+    first, more = ({r["doc_id"] for r in fewest_hashes(rows, n, "x").collect()} for n in (40, 80))
+    assert first < more
+    same = spark.range(50).selectExpr("id * 0 AS doc_id")
+    assert fewest_hashes(same, 10, "x").count() == 0
+    assert fewest_hashes(rows.where("false"), 5, "x").count() == 0
+
+
+def test_models_refuse_clashing_names_and_a_dirty_language_column(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{'x' * 50} house", f"l{k}", "a") for k in range(4)], "doc_id long, text string, lang string, score string")
+    model = langid.fit(docs, WORD)
+    assert len(model.langs) == 4
+    with pytest.raises(ValueError, match="score"):
+        langid.predict(docs, model, WORD, keep=("doc_id", "score"))
+    with pytest.raises(ValueError, match="score"):
+        toxicity.score(docs, (np.zeros(0, int), np.zeros(0), 0.0), keep=("score",))
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    with pytest.raises(ValueError, match="distinct values of lang"):
+        langid.fit(docs, WORD)
+
+
+def test_word_table_is_emptied_between_slices(monkeypatch):
+    texts = [f"word{k} other{k % 3} same {'long' * 9}" for k in range(60)]
+    want = [toxicity.WordTable().features([t])[1].tolist() for t in texts]
+    for limits in ((10, 1 << 30), (1 << 30, 100)):
+        monkeypatch.setattr(toxicity, "CACHE_CHUNKS", limits[0])
+        monkeypatch.setattr(toxicity, "CACHE_LETTERS", limits[1])
+        table = toxicity.WordTable()
+        for t, places in zip(texts, want, strict=True):
+            assert table.features([t])[1].tolist() == places
+            assert len(table.row) <= 14
+    assert toxicity.WordTable().features(["", "!"])[0].tolist() == []

@@ -256,6 +256,23 @@ def test_piece_counts_are_posteriors_over_segmentations():
     assert np.allclose(langid.expected_counts(table, probs, words, lang, counts), want)
 
 
+def test_piece_counts_of_long_words_are_those_of_short_ones(monkeypatch):
+    table = langid.pieces(WORD)
+    probs = np.vstack([np.random.default_rng(4).random((len(table), 2)) * 1e-3, np.full((1, 2), langid.FLOOR)])
+    words, lang, counts = ["themereonto", "ß日xhouse", "a", "日", "riverandthestones"], np.array([0, 1, 0, 1, 1]), np.array([2.0, 3.0, 1.0, 4.0, 1.0])
+    want = langid.expected_counts(table, probs, words, lang, counts)
+    for stretch in (langid.STRETCH, 3):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        monkeypatch.setattr(langid, "SHORT", 0)
+        assert np.allclose(langid.expected_counts(table, probs, words, lang, counts), want, atol=1e-12)
+        assert np.allclose(langid.word_scores(table, probs, words), [slow(table, probs, {t: k for k, t in enumerate(table.texts)}, w) for w in words])
+    # Every letter that is a piece lies in one piece of each segmentation, however long the word.
+    monkeypatch.undo()
+    word = "".join(np.random.default_rng(5).choice(list("aeinrst"), 40_000))
+    uses = langid._long_counts(table, probs[:, 0], word)
+    assert abs(sum(len(table.texts[k]) * uses[k] for k in np.flatnonzero(uses)) - len(word)) < 1e-3
+
+
 def test_language_id(spark):
     en, fr = "the house of the river and the green tree with stones", "la maison de la rivière et des arbres verts avec pierres"
     rows = [(k, en if k % 2 else fr, "en" if k % 2 else "fr", k) for k in range(40)] + [(90, None, "en", 1), (91, "12 .. 3", None, 1), (92, "the tree", None, 1)]
@@ -289,7 +306,7 @@ def test_toxicity_features_are_those_of_a_loop():
         for k, t in enumerate(texts + texts):
             words = [w for chunk in t.lower().split() for w in toxicity._WORD.findall(chunk)]
             h = [xxhash.xxh3_64_intdigest(w) for w in words]
-            want = {place(x) for x in h} | {place(xxhash.xxh3_64_intdigest(w[:n], seed=1)) for w in words for n in toxicity.STEMS if len(w) > n}
+            want = {place(x) for x in h}
             want |= {place((a * int(toxicity._PAIR) + b) & mask) for a, b in zip(h, h[1:], strict=False)}
             want |= {place((a * int(toxicity._SKIP) + b) & mask) for a, b in zip(h, h[2:], strict=False)}
             assert found[text == k].tolist() == sorted(p for p in want if kept is None or kept[p])
