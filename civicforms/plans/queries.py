@@ -538,6 +538,45 @@ def page_extract(spark, d):
     return rows.select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.size("links").cast("long").alias("n_links"), F.col("paragraphs").cast("long").alias("n_paragraphs"))
 
 
+_LINES = "lines AS (SELECT l_orderkey AS page_id, l_linenumber AS nr, concat('m', min(l_partkey)) AS mode, min(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem GROUP BY 1, 2)"
+_ROW = "SELECT page_id, '{0}' AS part, row_number() OVER (PARTITION BY page_id ORDER BY nr) - 1 AS pos, concat('', nr) AS nr, 'Acte & <' || mode || '>' || chr(10) || 'rev ' || nr AS name, {1} AS kind, {2} AS required, {3} AS e_signature, {4} AS link FROM lines WHERE {5}"
+
+
+@query(f"WITH {_LINES} " + " UNION ALL ".join((
+    _ROW.format("documents", "mode", "flag = 'R'", "status = 'O'", f"CASE WHEN nr % 2 = 0 THEN '{SITE}/f/' || nr || '.pdf' END", "true"),
+    _ROW.format("output_documents", "mode", "false", "false", "'o/' || nr", "nr % 3 = 0"),
+    _ROW.format("laws", "''", "false", "false", "'https://laws.example/?a=1&b=' || nr", "nr % 2 = 1"),
+)))
+def scraped_tables(spark, d):
+    """A page for each order, with a table of documents, of results and of laws; read from its HTML and flattened."""
+    lines = view(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("nr")).agg(*[F.min(f"l_{c}").alias(c) for c in ("partkey", "returnflag", "linestatus")])
+    cell = lambda *parts: F.concat(F.lit("<td>"), *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("</td>"))
+    ok = lambda c: F.when(c, F.lit("<i class='glyphicon glyphicon-ok'></i>")).otherwise("")
+    no, mode = F.col("nr").cast("string"), F.concat(F.lit("m"), "partkey")
+    name = cell("<p>Acte &amp;  &lt;", mode, "&gt;</p>\n <b>rev</b>&nbsp;", no)
+    link = F.when(F.col("nr") % 2 == 0, F.concat(F.lit("<a class=x href='/f/"), no, F.lit(".pdf'>f</a>"))).otherwise("<a>none</a>")
+    tables = {
+        "intrare": (F.lit(True), F.concat(cell(no), name, cell("about"), cell(ok(F.col("returnflag") == "R")), cell(ok(F.col("linestatus") == "O")), cell(mode), cell(link))),
+        "iesire": (F.col("nr") % 3 == 0, F.concat(cell(no), name, cell(mode), cell("<span><a href=o/", no, ">o</a></span>"))),
+    }
+    tables = {f"documente{k}": v for k, v in tables.items()} | {"legi": (F.col("nr") % 2 == 1, F.concat(cell(no), name, cell("<a href='https://laws.example/?a=1&amp;b=", no, "'>l</a>")))}
+    body = lambda when, row: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("nr", row.alias("row"))))), lambda x: F.concat(F.lit("<tr>"), x["row"], F.lit("</tr>"))), "\n")
+    whole = [F.concat(F.lit(f"<table class='table proc-viz-{k}'><tbody><tr class='tabel-header'><td>Nr</td></tr>"), body(*v), F.lit("</tbody></table>")) for k, v in tables.items()]
+    pages = lines.groupBy("page_id").agg(F.concat(F.lit("<h1>Order</h1>"), *whole).alias("html")).withColumn("url", F.lit(SITE))
+    parsed = html.parse_procedures(pages, SITE)
+    # The three lists as one, so that each page is parsed once.
+    def part(column: str, kind, required, e_signature, link: str):
+        item = lambda x, i: F.struct(
+            F.lit(column).alias("part"), i.cast("long").alias("place"), x["nr"].alias("nr"), x["name"].alias("name"), kind(x).alias("kind"), required(x).alias("required"), e_signature(x).alias("e_signature"), x[link].alias("link")
+        )
+        return F.transform(column, item)
+
+    blank, false = lambda x: F.lit(""), lambda x: F.lit(False)
+    documents = part("documents", lambda x: x["type"], lambda x: x["required"], lambda x: x["e_signature"], "download_url")
+    rows = parsed.select("page_id", F.concat(documents, part("output_documents", lambda x: x["type"], false, false, "href"), part("laws", blank, false, false, "href")).alias("rows"))
+    return html.flatten(rows, "rows").drop("pos").withColumnRenamed("place", "pos")
+
+
 @query(r"""SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</(?:p|div)\s*>', chr(10), 'g'), '<[^>]*>', '', 'g'),
   '&nbsp;', ' '), chr(160), ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS lines FROM pages""")
 def html_to_lines(spark, d):
@@ -689,12 +728,14 @@ def born_digital_flag(spark, d):
     return layout.born_digital(rows)
 
 
-@query("SELECT pos, round(x / 2.5, 6) AS x_pt, round(841.89 - y / 2.5 - h / 2.5, 6) AS y_pt, CASE WHEN kind = 'text' THEN greatest(w, 20)::DOUBLE ELSE greatest(w, 8)::DOUBLE END AS w_widget FROM {v_elements}")
+@query("""SELECT pos, round(x / 2.5, 6) AS x_pt, round(841.89 - y / 2.5 - h / 2.5, 6) AS y_pt, CASE WHEN kind = 'text' THEN greatest(w, 20)::DOUBLE ELSE greatest(w, 8)::DOUBLE END AS w_widget,
+  CASE WHEN kind = 'rect' THEN greatest(h, 8) ELSE greatest(h, 12) END::DOUBLE AS h_widget, least(coalesce(nullif(pos % 20, 0), 10), 14)::DOUBLE AS font FROM {v_elements}""")
 def widget_geometry(spark, d):
     rows = view(spark, d, "v_elements")
     pt = layout.px_to_pt(*[F.col(c) for c in ("x", "y", "w", "h")], F.lit(2.5), F.lit(None).cast("double"))
-    sized = layout.widget_geometry(F.col("w").cast("double"), F.col("h").cast("double"), F.lit(None).cast("double"), F.when(F.col("kind") == "rect", "checkbox").otherwise("text"))
-    return rows.select("pos", F.round(pt["x"], 6).alias("x_pt"), F.round(pt["y"], 6).alias("y_pt"), sized["w"].alias("w_widget"))
+    font = F.nullif(F.col("pos") % 20, F.lit(0)).cast("double")
+    sized = layout.widget_geometry(F.col("w").cast("double"), F.col("h").cast("double"), font, F.when(F.col("kind") == "rect", "checkbox").otherwise("text"))
+    return rows.select("pos", F.round(pt["x"], 6).alias("x_pt"), F.round(pt["y"], 6).alias("y_pt"), sized["w"].alias("w_widget"), sized["h"].alias("h_widget"), sized["font"].alias("font"))
 
 
 # Validation -----------------------------------------------------------------------------
@@ -801,10 +842,13 @@ def contact_block(spark, d):
     return found.select("id", F.col("m")["adresa"].alias("adresa"), F.col("m")["telefon"].alias("telefon"))
 
 
-@query("""WITH p AS (SELECT doc_id, pos, round(CASE WHEN pos % 4 = 0 THEN confidence * 0.7 ELSE 0.6 * confidence + 0.4 * 0.9 END, 6) AS combined FROM {v_detected}) SELECT * FROM p""")
+@query("""SELECT doc_id, pos, round(CASE WHEN pos % 4 = 0 THEN confidence * 0.7 ELSE 0.6 * confidence + 0.4 * (50 + pos % 7) / 100 END, 6) AS combined,
+  round(CASE WHEN pos % 3 = 0 THEN confidence * 0.7 ELSE CASE WHEN pos % 11 = 0 THEN 0.5 ELSE 1 END * least(1, least(1, confidence + 0.03) + CASE WHEN pos % 5 = 0 THEN 0.02 ELSE 0 END) END, 6) AS labelled FROM {v_detected}""")
 def combined_confidence(spark, d):
-    given = F.when(F.col("pos") % 4 != 0, F.lit(0.9))
-    return view(spark, d, "v_detected").select("doc_id", "pos", F.round(layout.combined_confidence(F.col("confidence"), given), 6).alias("combined"))
+    pos, confidence = F.col("pos"), F.col("confidence")
+    given = F.when(pos % 4 != 0, (F.lit(50) + pos % 7) / 100.0)
+    labelled = layout.label_confidence(confidence, pos % 3 != 0, pos % 5 == 0, pos % 11 == 0)
+    return view(spark, d, "v_detected").select("doc_id", "pos", F.round(layout.combined_confidence(confidence, given), 6).alias("combined"), F.round(labelled, 6).alias("labelled"))
 
 
 @query(f"WITH {_STATS} SELECT doc_id, CASE WHEN fields = 0 THEN 'NO_FIELDS' WHEN round(avg_confidence, 9) >= 0.75 THEN 'PROCESSED' ELSE 'NEEDS_REVIEW' END AS status FROM stats")
@@ -829,10 +873,17 @@ def filter_org_contains(spark, d):
     return catalog.filter_active(catalog.filter_org_contains(view(spark, d, "v_templates"), "Primaria")).select("id")
 
 
-@query("SELECT procedure_id, coalesce(nullif(institution, ''), nullif(trim(split_part(responsible, ',', 1)), ''), 'Necunoscut') AS institution, (SELECT count(*) FROM {v_proc_docs} x WHERE x.procedure_id = p.procedure_id) AS n_docs FROM {v_procedures} p")
+@query("""SELECT procedure_id, coalesce(nullif(institution, ''), nullif(trim(split_part(responsible, ',', 1)), ''), 'Necunoscut') AS institution, title, county, city,
+  (SELECT count(*) FROM {v_proc_docs} x WHERE x.procedure_id = p.procedure_id) AS n_docs,
+  coalesce((SELECT string_agg(concat_ws('|', CASE WHEN pos % 3 = 0 THEN '' ELSE name END, CASE WHEN pos % 5 = 0 THEN false ELSE required END, coalesce(download_url, '-'), coalesce(source_doc_id, '-')), ';' ORDER BY pos)
+    FROM {v_proc_docs} x WHERE x.procedure_id = p.procedure_id), '') AS documents FROM {v_procedures} p""")
 def project_slim_procedure(spark, d):
-    slim = catalog.project_slim_procedure(_nested_procedures(spark, d))
-    return slim.select("procedure_id", "institution", F.size("documents").cast("long").alias("n_docs"))
+    # Some names and marks are missing, and get their defaults.
+    gaps = {"name": F.when(F.col("pos") % 3 != 0, F.col("name")), "required": F.when(F.col("pos") % 5 != 0, F.col("required"))}
+    nested = linkage.nest_documents(view(spark, d, "v_proc_docs").withColumns(gaps))
+    slim = catalog.project_slim_procedure(_procedures(spark, d).join(nested, "procedure_id", "left"))
+    parts = lambda x: F.concat_ws("|", x["name"], x["required"].cast("string"), F.coalesce(x["download_url"], F.lit("-")), F.coalesce(x["source_doc_id"], F.lit("-")))
+    return slim.select("procedure_id", "institution", "title", "county", "city", F.size("documents").cast("long").alias("n_docs"), F.array_join(F.transform("documents", parts), ";").alias("documents"))
 
 
 @query("SELECT procedure_id FROM {v_procedures} WHERE title IS NULL AND procedure_id NOT IN (SELECT procedure_id FROM {v_proc_docs})")
