@@ -89,10 +89,15 @@ def editable_pairs(documents: DataFrame, procedures: DataFrame, templates: DataF
     return a.unionByName(b).distinct()
 
 
+def _document_ids(documents: DataFrame) -> DataFrame:
+    return documents.select("procedure_id", "source_doc_id").where("source_doc_id IS NOT NULL").distinct()
+
+
 def procedure_forms(documents: DataFrame, templates: DataFrame) -> DataFrame:
     """Distinct (procedure_id, template_id) of active templates with the procedure's id or any of its documents' ids."""
     active = filter_active(templates).select("id", "procedure_id", "source_doc_id")
-    a = documents.select("procedure_id", "source_doc_id").join(active.select("source_doc_id", F.col("id").alias("template_id")), "source_doc_id").select("procedure_id", "template_id")
+    # Each pair of ids meets the templates once, however many documents of a procedure have it.
+    a = _document_ids(documents).join(active.select("source_doc_id", F.col("id").alias("template_id")), "source_doc_id").select("procedure_id", "template_id")
     b = documents.select("procedure_id").distinct().join(active.select("procedure_id", F.col("id").alias("template_id")), "procedure_id")
     return a.unionByName(b).distinct()
 
