@@ -122,7 +122,7 @@ def document_form_pairing(documents: DataFrame, forms: DataFrame, templates: Dat
 
 def orphan_forms(documents: DataFrame, forms: DataFrame, templates: DataFrame) -> DataFrame:
     """Forms of a procedure that none of its documents is paired with."""
-    paired = document_form_pairing(documents, forms, templates).where("template_id IS NOT NULL")
+    paired = document_form_pairing(documents, forms, templates).where("template_id IS NOT NULL").select("procedure_id", "template_id").distinct()
     return forms.join(paired, ["procedure_id", "template_id"], "left_anti")
 
 

@@ -22,3 +22,11 @@ def test_ids_of_documents_meet_templates_once(spark):
     assert {tuple(r) for r in forms.collect()} == by_id | {("1", "t10"), ("1", "t11")}
     assert forms.count() == len(by_id) + 1
     assert re.search(r"Aggregate \[procedure_id, source_doc_id\]", _plan(forms))
+
+
+def test_orphans_meet_each_paired_form_once(spark):
+    documents, templates = _many(spark)
+    orphans = catalog.orphan_forms(documents, catalog.procedure_forms(documents, templates), templates)
+    last = {"t8", "t9", "t10"}
+    assert sorted(map(tuple, orphans.collect())) == sorted([(p, f"t{t}") for p in "01" for t in range(12) if t % 4 < 3 and f"t{t}" not in last] + [("1", "t11")])
+    assert re.search(r"^\+- Aggregate \[procedure_id, template_id\]", _plan(orphans), re.M), _plan(orphans)
