@@ -15,52 +15,34 @@ from civicforms.streaming.state import arriving, read_parts, run_to_parts
 
 #: A vote without a time is older than all others.
 NO_TIME = -(1 << 55)
-DELTA = "template_id long, d_up long, d_down long, events long, last_micros long"
+LIVE = "template_id long, device_id long, vote struct<micros: long, event_id: long, value: int>, events long"
 
 
-class VoteState(StatefulProcessor):
-    """A device's vote on a template, kept for good, because it can be changed at any time."""
+def live_votes(votes: DataFrame, repeat: float = 86_400.0) -> DataFrame:
+    """The live vote of each device on each template that a batch of a stream touched, and how many events it had so far.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.vote = handle.getValueState("vote", "value int, micros long, event_id long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        value, micros, event_id = tuple(self.vote.get() or (0, None, -1))
-        before, events = value, 0
-        for row in rows:
-            events += 1
-            if micros is None or (row["micros"], row["event_id"]) > (micros, event_id):
-                value, micros, event_id = row["value"], row["micros"], row["event_id"]
-        self.vote.update((value, micros, event_id))
-        change = lambda sign: int(value == sign) - int(before == sign)
-        yield Row(template_id=key[0], d_up=change(1), d_down=change(-1), events=events, last_micros=micros)
-
-    def close(self) -> None:
-        pass
-
-
-def vote_deltas(votes: DataFrame, repeat: float = 86_400.0) -> DataFrame:
-    """Counter changes of a stream of votes.
-
-    There is one small state for each (template, device).  Rows may come in any order: a vote older
-    than the known one changes nothing.  An event delivered again within ``repeat`` seconds of its first
-    arrival counts once in ``events``; what is remembered for that goes once the watermark has passed it.
+    There is one small state for each (template, device), kept for good, because a vote can be changed
+    at any time.  Rows may come in any order: a vote older than the known one changes nothing.  An event
+    delivered again within ``repeat`` seconds of its first arrival counts once in ``events``; what is
+    remembered for that goes once the watermark has passed it.
     """
     key = ["template_id", "device_id"]
     rows = valid_votes(votes).select(*key, "value", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NO_TIME)).alias("micros"), "event_id")
     once = arriving(rows, repeat).dropDuplicatesWithinWatermark([*key, "event_id"])
-    return once.groupBy(*key).transformWithState(VoteState(), DELTA, "Append", "None")
+    return once.groupBy(*key).agg(F.max(F.struct("micros", "event_id", "value")).alias("vote"), F.count(F.lit(1)).alias("events"))
 
 
 def run_vote_stream(votes: DataFrame, root: str, repeat: float = 86_400.0) -> DataFrame:
     """Consume what is there of a vote stream and return the counters so far; run again to go on.
 
-    Deltas are written by batch number, so a batch that is repeated after a failure replaces itself.
+    Live votes are written by batch number, so a batch that is repeated after a failure replaces itself; the latest batch
+    that has a key holds all there is of it.
     """
-    run_to_parts(vote_deltas(votes, repeat), f"{root}/deltas", mode="append")
-    deltas = read_parts(votes.sparkSession, T.StructType.fromDDL(DELTA), f"{root}/deltas")
-    total = lambda c, name: F.sum(c).alias(name)
-    return deltas.groupBy("template_id").agg(total("d_up", "up"), total("d_down", "down"), total("events", "events"), F.timestamp_micros(F.nullif(F.max("last_micros"), F.lit(NO_TIME))).alias("last_vote_at"))
+    run_to_parts(live_votes(votes, repeat), f"{root}/deltas")
+    parts = read_parts(votes.sparkSession, T.StructType.fromDDL(LIVE), f"{root}/deltas")
+    live = parts.groupBy("template_id", "device_id").agg(F.max(F.struct("batch", "vote", "events")).alias("last")).select("template_id", "last.vote.*", "last.events")
+    last_vote_at = F.timestamp_micros(F.nullif(F.max("micros"), F.lit(NO_TIME))).alias("last_vote_at")
+    return live.groupBy("template_id").agg(F.count_if(F.col("value") == 1).alias("up"), F.count_if(F.col("value") == -1).alias("down"), F.sum("events").alias("events"), last_vote_at)
 
 
 DECISION = "template_id long, event_id long, up long, down long, reason string"

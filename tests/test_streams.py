@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civicforms.operators import votes
 from civicforms.streaming.retry import ingest_with_retries
 from civicforms.streaming.state import read_parts
-from civicforms.streaming.votes import incremental_ingest, run_counter_stream, run_vote_stream
+from civicforms.streaming.votes import incremental_ingest, live_votes, run_counter_stream, run_vote_stream
 
 VOTE = "template_id long, device_id long, value int, comment string, ts timestamp, event_id long"
 
@@ -38,6 +38,18 @@ def test_vote_stream_counts_a_repeated_event_once(spark, tmp_path):
     assert seen(short) <= 1
 
 
+def test_vote_stream_keeps_its_votes_in_spark_alone(spark, tmp_path):
+    incoming, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    # A vote without an identifier is older than one of the same time with one.
+    add(spark, [(1, 7, 1, None, "2024-01-01 00:00:00", 5), (1, 8, -1, None, None, 6)], incoming)
+    add(spark, [(1, 7, -1, None, "2024-01-01 00:00:00", None), (None, 9, 1, None, "2024-01-01 00:00:00", 7)], incoming)
+    source = spark.readStream.schema(VOTE).option("maxFilesPerTrigger", 1).parquet(incoming)
+    found = {r["template_id"]: tuple(r)[1:4] for r in run_vote_stream(source, root).collect()}
+    assert found == {1: (1, 1, 3), None: (1, 0, 1)}
+    # No call from the JVM to Python for each (template, device).
+    assert "TransformWithState" not in live_votes(source)._jdf.queryExecution().analyzed().toString()
+
+
 def test_sources_without_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     empty = spark.readStream.schema(VOTE).parquet(f"{tmp_path}/in")
