@@ -111,7 +111,7 @@ def _round_trip_cache(path: str) -> TwoGenerations:
 
 
 def _round_trips(path: str, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-    for values in _round_trip_cache(path).values_of([lower_chunks(t) for t in texts]):
+    for values in _round_trip_cache(path).values_of(map(lower_chunks, texts)):
         hits = [e for e in values if e[0]]
         yield sum([e[0] for e in hits]), " ".join([e[1] for e in hits]), " ".join([e[2] for e in hits])
 

@@ -13,7 +13,7 @@ import os
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -26,14 +26,15 @@ CACHE_ENTRIES, CACHE_BYTES = 300_000, 96 << 20
 #: Bytes that an entry takes at most beside the signs of its key and value, and a sign of a key.
 ENTRY_BYTES, SIGN_BYTES = 200, 4
 #: A full stop or comma after another sign: there the two may be one word of the pattern.
-_CLUSTER = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+#: It begins with the stop, which is rare, so that a search passes over all else quickly.
+_CLUSTER = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])\s")
 #: Python calls these white space, the vocabulary's pattern does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def lower_chunks(text: str) -> list[str]:
     """Chunks of a text for a vocabulary that lower-cases, drops white space and never merges across words."""
-    if "<|" not in text and not _SEPARATORS.search(text):
+    if "<|" not in text and not any(map(text.__contains__, _SEPARATORS)):
         low = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
         if low.isascii() or unicodedata.is_normalized("NFC", low):
             if not _CLUSTER.search(low):
@@ -74,23 +75,31 @@ class TwoGenerations(dict):
         self.update(zip(chunks, values, strict=True))
         self.held += SIGN_BYTES * sum(map(len, chunks)) + self.weigh(values) + ENTRY_BYTES * len(chunks)
 
-    def values_of(self, chunked: list[list[str]]) -> Iterator[list]:
-        """The values of the chunks of each text."""
+    def values_of(self, chunked: Iterable[list[str]]) -> list[list]:
+        """The values of the chunks of each text.
+
+        Each text is looked up as it comes, while its chunks are at hand; only those without a value are held until they are filled in together.
+        """
         if len(self) > self.limit or self.held > self.most:
             self.elder, self.held = dict(self), 0
             self.clear()
-        flat = list(chain.from_iterable(chunked))
-        values = list(map(self.get, flat))
-        if missing := {c for c, v in zip(flat, values, strict=True) if v is None}:
+        found, places, chunks_there = [], [], []
+        for chunks in chunked:
+            values = list(map(self.get, chunks))
+            found.append(values)
+            places.append(at := [k for k, v in enumerate(values) if v is None])
+            chunks_there += [chunks[k] for k in at]
+        if chunks_there:
+            missing = set(chunks_there)
             again = [c for c in missing if c in self.elder]
             self._keep(again, [self.elder[c] for c in again])
             new = [c for c in missing if c not in self]
             self._keep(new, self.fill(new))
-            values = list(map(self.__getitem__, flat))
-        start = 0
-        for chunks in chunked:
-            yield values[start : start + len(chunks)]
-            start += len(chunks)
+            filled = map(self.__getitem__, chunks_there)
+            for values, at in zip(found, places, strict=True):
+                for k in at:
+                    values[k] = next(filled)
+        return found
 
 
 class WordEncoder:
@@ -168,7 +177,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed in ``dtype``."""
-        return [b"".join(values) for values in self.cache.values_of([lower_chunks(t) for t in texts])]
+        return [b"".join(values) for values in self.cache.values_of(map(lower_chunks, texts))]
 
 
 @lru_cache(maxsize=2)

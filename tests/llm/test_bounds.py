@@ -1,5 +1,7 @@
 """Bounds on memory, clashing names, and joins in which nothing can link."""
 
+import random
+import re
 import sys
 
 import numpy as np
@@ -32,6 +34,33 @@ def test_cache_is_bounded_by_bytes_and_forgets_nothing_it_needs():
     assert made.count("short") == 1  # what is used again and again stays
 
 
+def test_known_chunks_are_looked_up_once():
+    class Counted(chunks.TwoGenerations):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    cache = Counted(lambda new: [c.encode() for c in new])
+    known = [f"w{k}" for k in range(1000)]
+    cache.values_of([known])
+    Counted.asked = 0
+    texts = [known, [], ["new", *known, "new"], ["other", "w3"]]
+    assert [list(v) for v in cache.values_of(iter(texts))] == [[c.encode() for c in t] for t in texts]
+    # Two new chunks at three places; the 2,001 places of known ones have their values from the first look.
+    assert Counted.asked <= 3
+
+
+def test_quick_searches_find_what_the_plain_ones_do():
+    rng = random.Random(5)
+    plain, separators = re.compile(r"(?:[^\w\s]|_)[.,]\s"), re.compile("[\x1c-\x1f]")
+    signs = "ab_é.,.,!- \n\x1c\x1f\u0301\u2009"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(7))) for _ in range(20_000)]
+    assert all(bool(plain.search(t)) == bool(chunks._CLUSTER.search(t)) for t in texts)
+    assert all(bool(separators.search(t)) == any(c in t for c in chunks._SEPARATORS) for t in texts)
+
+
 def test_long_chunks_through_the_word_cache(monkeypatch):
     bpe._round_trip_cache.cache_clear()
     monkeypatch.setattr(chunks.TwoGenerations.__init__, "__defaults__", (chunks.CACHE_ENTRIES, 1 << 20, chunks.TwoGenerations.__init__.__defaults__[2]))
