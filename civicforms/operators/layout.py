@@ -144,11 +144,12 @@ def cluster_rows_by_y(rects: DataFrame, tolerance: float = ROW_TOLERANCE) -> Dat
 def digit_box_rows(elements: DataFrame) -> DataFrame:
     """Rows of at least 13 small boxes as one text field each, with its number of places.
 
-    Boxes are put in rows by the edge they are drawn from, whatever the sign of their height.
+    Boxes are put in rows by the edge they are drawn from, whatever the sign of their height.  Of boxes
+    of one place the smaller begins a row and the larger ends it.
     """
     inside = lambda c: (F.abs(c) > DIGIT_LEAST) & (F.abs(c) < DIGIT_MOST)
     rects = elements.where("kind = 'rect'").where(inside("w") & inside("h"))
-    place = F.struct("x", "y", "pos")
+    place = F.struct("x", "y", "pos", F.abs("w").alias("w"), F.abs("h").alias("h"), F.col("h").alias("drawn"))
     rows = cluster_rows_by_y(rects).groupBy(*PAGE, "band").agg(
         F.count(F.lit(1)).alias("places"), F.min_by(F.struct("x", "y", "h"), place).alias("first"), F.max_by(F.col("x") + F.abs("w"), place).alias("right"), F.min("pos").alias("pos")
     )
@@ -243,9 +244,9 @@ def _labels(texts: DataFrame) -> DataFrame:
 
 
 def _nearest(fields: DataFrame, labels: DataFrame, condition: Column, distance: Column) -> DataFrame:
-    """The label with the least distance (then place) for each field for which one meets the condition."""
+    """The label with the least distance (then place, then text) for each field for which one meets the condition."""
     met = fields.select(*PAGE, "pos", "x", "y", "w", "h").join(labels, PAGE).where(condition).withColumn("distance", distance)
-    best = met.groupBy(*PAGE, "pos").agg(F.min_by(F.struct("label", "l_pos", "distance", "l_conf"), F.struct("distance", "l_pos")).alias("best"))
+    best = met.groupBy(*PAGE, "pos").agg(F.min_by(F.struct("label", "l_pos", "distance", "l_conf"), F.struct("distance", "l_pos", "label", "l_conf")).alias("best"))
     return best.select(*PAGE, "pos", "best.label", "best.l_pos", "best.distance", "best.l_conf")
 
 

@@ -390,3 +390,21 @@ def test_shapes_near_one_another_count_once(spark):
             kept.append(r)
     df = spark.createDataFrame(rows, "doc_id int, page int, pos int, kind string, x int, y int, w int, h int").repartition(3)
     assert sorted(r["pos"] for r in layout.dedupe_shapes(df).collect()) == sorted(r[2] for r in kept)
+
+
+def test_rows_of_one_place_give_one_answer_in_any_order(spark):
+    """An order by place leaves such rows open; the answer must not follow the order in which they arrive."""
+    shape = "doc_id long, page int, pos long, text string, x long, y long, w long, h long, conf double"
+    fields = spark.createDataFrame([(1, 0, 1, "", 100, 0, 10, 10, 0.0)], shape)
+    texts = [(1, 0, 5, t, 50, 0, 40, 10, c) for t, c in (("Telefon", 0.6), ("Adresa", 0.6), ("Adresa", 0.5), ("Nume", 0.6))]
+    boxes = [(1, 0, k, "rect", None, 20 * k, 0, 10, 10) for k in range(1, 13)]
+    tied = [(1, 0, p, "rect", None, x, 0, w, h) for p, x in ((0, 0), (13, 260)) for w, h in ((12, -9), (9, 12), (9, 11), (-12, 9), (12, 9))]
+    found = []
+    for step in (1, -1):
+        one = lambda rows, shape: spark.createDataFrame(rows[::step], shape).coalesce(1)
+        labels = one(texts, shape)
+        rows = [layout.nearest_label_left(fields, labels), layout.nearest_label_above(fields, labels), layout.nearest_label_px(fields, labels)]
+        rows.append(layout.digit_box_rows(one(boxes + tied, "doc_id long, page int, pos long, kind string, text string, x long, y long, w long, h long")))
+        found.append([[tuple(r) for r in df.collect()] for df in rows])
+    assert found[0] == found[1]
+    assert found[0][0][0][3] == "Adresa" and found[0][3][0][6:8] == (272, 11)
