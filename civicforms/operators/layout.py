@@ -187,7 +187,10 @@ def underlines_not_covered(fields: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def dedupe_near(fields: DataFrame, distance: float = 10) -> DataFrame:
-    """Of fields of one type closer than ``distance``, the more confident, in the place of the first."""
+    """Of fields of one type closer than ``distance``, the more confident, in the place of the first.
+
+    Fields of one ``pos`` follow each other by their other columns.
+    """
     near = lambda a, b: (a["type"] == b["type"]) & (F.abs(a["x"] - b["x"]) < distance) & (F.abs(a["y"] - b["y"]) < distance)
 
     def step(acc: Column, f: Column) -> Column:
