@@ -202,7 +202,7 @@ def dedupe_near(fields: DataFrame, distance: float = 10) -> DataFrame:
 
 
 def dedupe_overlap(fields: DataFrame, ratio: float = 0.5) -> DataFrame:
-    """Fields by falling confidence that overlap none kept before by more than ``ratio``."""
+    """Fields by falling confidence, then ``pos``, then their other columns, that overlap none kept before by more than ``ratio``."""
     pages = _gather(fields, F.struct((-F.col("confidence")).alias("c"), F.col("pos").alias("p")))
     step = lambda acc, f: F.when(F.exists(acc, lambda k: overlap_ratio(f, k) > ratio), acc).otherwise(F.concat(acc, F.array(f)))
     return _scatter(pages, F.aggregate("items", F.slice("items", 1, 0), step))

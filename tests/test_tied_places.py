@@ -9,6 +9,7 @@ from civicforms.plans.registry import ORACLE, QUERIES
 #: Each ORDER BY of a query's SQL that leaves rows open, and the columns that Spark goes by then.
 COMPLETED = {
     "dedupe_near": {"pos": "type, x, y, w, h, confidence, context"},
+    "dedupe_overlap": {"confidence DESC, pos": "x, y, w, h"},
 }
 
 
