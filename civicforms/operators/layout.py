@@ -216,7 +216,10 @@ def dedupe_shapes(shapes: DataFrame, distance: float = 4) -> DataFrame:
 
 
 def detect_fields(elements: DataFrame) -> DataFrame:
-    """All fields of each page, near ones once: dots, then underscores, checkboxes, underlines and digit rows."""
+    """All fields of each page, near ones once: dots, then underscores, checkboxes, underlines and digit rows.
+
+    Elements of one ``pos`` follow each other by their other columns.
+    """
     first = leader_fields(elements).unionByName(checkbox_fields(elements))
     rows = digit_box_rows(elements)
     lines = underlines_not_covered(first, elements)

@@ -10,6 +10,7 @@ from civicforms.plans.registry import ORACLE, QUERIES
 COMPLETED = {
     "dedupe_near": {"pos": "type, x, y, w, h, confidence, context"},
     "dedupe_overlap": {"confidence DESC, pos": "x, y, w, h"},
+    "detect_fields": {"x, y, pos": "abs(w), abs(h), h", "pos": "x, y, w", "source, band, pos": "type, x, y, w, h, confidence, context"},
 }
 
 
@@ -17,7 +18,7 @@ COMPLETED = {
 def tied(tmp_path_factory):
     folder = tmp_path_factory.mktemp("tied")
     con = duckdb.connect()
-    con.execute(f"COPY (SELECT * REPLACE (l_partkey % 4 * 250 + l_partkey % 7 * 1000 AS l_partkey) FROM '/root/testdata/sf0.001/lineitem.parquet') TO '{folder}/lineitem.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT * REPLACE (l_orderkey % 200 + l_partkey % 7 * 1000 AS l_partkey) FROM '/root/testdata/sf0.001/lineitem.parquet') TO '{folder}/lineitem.parquet' (FORMAT parquet)")
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
     return str(folder), con
 
