@@ -93,4 +93,6 @@ def absolute_url(c: Column | str, base: str) -> Column:
         query = F.when((path == "") & (x["query"] == ""), F.lit(b_query)).otherwise(x["query"])
         return F.concat(x["scheme"], F.lit("://"), where, _coded(plain_path(rooted), IN_PATH), query, x["fragment"])
 
-    return F.when(column.isNotNull() & (column != ""), _let(href, resolve))
+    # A path from the root whose signs are all safe and that has no dot segment stays as it is.
+    plain = column.startswith("/") & ~column.contains("//") & ~column.contains("/.") & ~column.rlike(r"[^A-Za-z0-9._~/\-]")
+    return F.when(column.isNotNull() & (column != ""), F.when(plain, F.concat(F.lit(f"{b_scheme}://{b_site}"), column)).otherwise(_let(href, resolve)))
