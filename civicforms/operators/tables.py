@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from civicforms.operators.html import FLAGS, HEADER, LINK, PAGES_AT_ONCE, TABLES, _Node, _Tree, flag_of, link_of, parse_page, rows_of
 
 #: Bytes of HTML that are read at a time, or one page.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 8 << 20
 #: The columns of all tables.
 COLUMNS = tuple(dict.fromkeys(c for _, columns in TABLES.values() for c in columns))
 #: Tags that tell which rows a table has.

@@ -2,13 +2,16 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from civicforms.functions.urls import absolute_url
 from civicforms.operators import tables
-from civicforms.operators.html import FLAGS, HEADER, LINK, TABLES, _Node, parse_page
+from civicforms.operators.html import TABLES, _Node, parse_page
+from civicforms.plans import registry
 
 TEXTS = ("", "x", "a  b", "Acte &amp;  &lt;m1&gt;", "&nbsp;1", "&amp;lt;", "&am", "p;", "&eacute;&#39;&quot;", "&&amp;", "&lt", " \n ", "  z\u0085y", "a > b", "\x1c\t", "ș", "\x00")
 INNER = (
@@ -93,3 +96,17 @@ def test_plain_paths_lead_where_all_others_do(spark):
     found = rows.select("link", absolute_url("link", "https://H.example/p/q?r").alias("short"), absolute_url(F.concat(F.lit(" "), "link"), "https://H.example/p/q?r").alias("long")).collect()
     assert [r for r in found if r["link"] and r["short"] != r["long"]] == []
     assert {r["link"]: r["short"] for r in found}["/f/2.pdf"] == "https://h.example/f/2.pdf"
+
+
+def test_flags_of_repeated_lines_are_those_of_the_sql(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), rng.randrange(1, 8), rng.randrange(99), rng.choice(("A", "N", "R", "S", None)), rng.choice(("F", "O", "P", None))) for _ in range(500)]
+    rows += [(page, nr, 100, "R", "O") for page, nr in {r[:2] for r in rows}]
+    pq.write_table(pa.table({f"l_{c}": v for c, v in zip(("orderkey", "linenumber", "partkey", "returnflag", "linestatus"), zip(*rows, strict=True), strict=True)}), tmp_path / "lineitem.parquet")
+    found = registry.QUERIES["scraped_tables"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    wanted = con.execute(f"SELECT {', '.join(found.columns)} FROM ({registry.ORACLE['scraped_tables']})").fetchall()
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(rows, key=repr) == sorted(wanted, key=repr)
+    assert {r[found.columns.index("required")] for r in rows} == {True, False}
